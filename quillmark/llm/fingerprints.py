@@ -7,8 +7,8 @@ each of several random subsets of the lexicon. Two texts are the more alike the
 these hashes agree.
 
 A term in the lexicon occurs in LOW of all documents, so the lexicon has at most (distinct
-terms a document, on average) / LOW entries, however large the corpus; as such it is sent to
-all executors. Texts are shuffled once, to bring each next to its successor.
+terms a document, on average) / LOW entries, however large the corpus; as such it becomes a
+constant of the plan, looked up as a hash set. Texts are shuffled once, to bring each next to its successor.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from quillmark.llm.common import ascii_lower, words
 LOW, HIGH = 0.001, 0.10
 #: A subset takes the terms whose md5, from this character on, begins below the mark: 16 draws at each of two rates.
 SUBSETS = tuple((2 * k + 1, mark) for mark in ("10", "04") for k in range(16))
-SLOTS = 1 << 16
 
 
 def terms(text: Column) -> Column:
@@ -35,30 +34,23 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return each.withColumn("n", docs.agg(F.count("*")).scalar()).where((F.col("df") >= F.greatest(F.lit(2), low * F.col("n"))) & (F.col("df") <= high * F.col("n"))).select("term", "df")
 
 
-def lexicon_table(lex: DataFrame) -> DataFrame:
-    """The lexicon as one array of SLOTS lists, a term in the slot of its hash."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int")
-    held = lex.groupBy(slot.alias("slot")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    every = lex.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
-    every = every.select("slot", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "terms"))), lambda x: x["terms"]).alias("lexicon"))
+def _quoted(lex: list[str]) -> str:
+    """The terms as SQL strings; one text reaches the planner sooner than as many column objects."""
+    return ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in lex)
 
 
-def with_hashes(rows: DataFrame, text: str, lex: DataFrame) -> DataFrame:
+def with_hashes(rows: DataFrame, text: str, lex: list[str]) -> DataFrame:
     """Adds ``hashes``: sorted md5s of a text's terms in the lexicon, of all its terms if it has none there."""
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int") + 1
-    rows = rows.withColumn("mine", terms(F.col(text))).withColumn("lex", lex.scalar())
-    rows = rows.withColumn("inside", F.filter("mine", lambda t: F.array_contains(F.element_at(F.col("lex"), slot(t)), t))).drop("lex")
+    rows = rows.withColumn("mine", terms(F.col(text)))
+    rows = rows.withColumn("inside", F.expr(f"filter(mine, t -> t in ({_quoted(lex)}))") if lex else F.col("mine"))
     rows = rows.withColumn("used", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("mine"))).drop("mine", "inside")
     return rows.withColumn("hashes", F.array_sort(F.transform("used", lambda t: F.md5(t.cast("binary"))))).drop("used")
 
 
-def fingerprint(hashes: Column) -> Column:
+def fingerprint(hashes: str) -> Column:
     """Eight hex digits of the whole and of each subset, joined by dots; a dash where nothing is left."""
-    drawn = lambda k, mark: F.filter(hashes, lambda t: F.substring(t, k, len(mark)) < mark)
-    sets = [hashes, *[drawn(k, mark) for k, mark in SUBSETS]]
-    piece = lambda h: F.when(F.size(h) > 0, F.substring(F.md5(F.array_join(h, " ").cast("binary")), 1, 8)).otherwise(F.lit("-"))
-    return F.array_join(F.transform(F.array(*sets), piece), ".")
+    sets = ", ".join([hashes, *[f"filter({hashes}, t -> substring(t, {k}, {len(mark)}) < '{mark}')" for k, mark in SUBSETS]])
+    return F.expr(f"array_join(transform(array({sets}), h -> if(size(h) > 0, substring(md5(cast(array_join(h, ' ') as binary)), 1, 8), '-')), '.')")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,16 +101,16 @@ def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     text; a null doc_id comes first. Other columns are ignored; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lex = lexicon_table(lexicon(base, low, high))
+    lex = [r.term for r in lexicon(base, low, high).select("term").collect()]
     one = with_hashes(base, "text", lex)
-    one = one.select("doc_id", "text", fingerprint(F.col("hashes")).alias("fingerprint"))
+    one = one.select("doc_id", "text", fingerprint("hashes").alias("fingerprint"))
     both = with_next(one, ["doc_id", "text"], ["text", "fingerprint"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "fingerprint", "next_fingerprint")
     both = with_hashes(both, "edited", lex)
-    both = both.withColumn("edited_fingerprint", fingerprint(F.col("hashes")))
+    both = both.withColumn("edited_fingerprint", fingerprint("hashes"))
     return both.select("doc_id", "n_chars", "text", "edited", "fingerprint", "edited_fingerprint",
                        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
