@@ -62,7 +62,8 @@ def near_lines(docs: DataFrame) -> DataFrame:
     w = w.withColumn("n", F.size("w"))
     each = w.select(
         "doc_id", "line_no", "n",
-        F.posexplode(F.transform("w", lambda x, i: F.struct(F.xxhash64(x, i).alias("l"), F.xxhash64(x, F.col("n") - i, F.lit(3)).alias("r")))).alias("i", "h"))
+        # the words are bound once: an outer column in a lambda may be worked out for every element
+        F.posexplode(F.expr("transform(array(w), w -> transform(w, (x, i) -> struct(xxhash64(x, i) as l, xxhash64(x, size(w) - i, 3) as r)))[0]")).alias("i", "h"))
     run = W.partitionBy("doc_id", "line_no").orderBy("i")
     upto = run.rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("doc_id", "line_no")

@@ -45,24 +45,16 @@ def matching(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def codes(url: Column, order: int) -> Column:
-    """For each character the number of (preceding ``order`` characters, character)."""
-    s = F.translate(ascii_lower(F.coalesce(url, F.lit(""))), "123456789", "000000000")
-    start = F.array_repeat(F.lit(SYMBOLS - 1), order)
-    one = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.concat(start, one)
-
-
-def grams_of(url: Column, order: int) -> Column:
-    def code(arr, i):
-        total = F.element_at(arr, i)
-        for k in range(1, order + 1):
-            total = total * SYMBOLS + F.element_at(arr, i + k)
-        return total
-
-    arr = codes(url, order)
-    n = F.size(arr) - order
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: code(arr, i))).otherwise(F.array().cast("array<int>"))
+def grams_of(url: str, order: int) -> Column:
+    """For each character the number of (preceding ``order`` characters, character); the array
+    of symbols is bound once, as the only element of an array."""
+    s = f"translate(lower(coalesce({url}, '')), '123456789', '000000000')"
+    one = f"transform(filter(split({s}, ''), c -> c <> ''), c -> instr('{ALPHABET}', c))"
+    code = "a[i]"
+    for k in range(1, order + 1):
+        code = f"({code} * {SYMBOLS} + a[i + {k}])"
+    every = f"if(size(a) > {order}, transform(sequence(0, greatest(size(a) - {order + 1}, 0)), i -> {code}), cast(array() as array<int>))"
+    return F.expr(f"transform(array(concat(array_repeat({SYMBOLS - 1}, {order}), {one})), a -> {every})[0]")
 
 
 def model_table(counts: DataFrame, order: int) -> DataFrame:
@@ -109,13 +101,13 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = 2) -> DataFrame:
     name, verdict = matching(F.col("host"), F.col("path"), rules)
     base = base.select("*", name.alias("rule"), verdict.alias("said"), F.md5("url").substr(1, 1).isin("0", "1", "2", "3").alias("held"))
 
-    learn = base.where("said is not null and not held").select("said", F.explode(grams_of(F.col("url"), order)).alias("gram"))
+    learn = base.where("said is not null and not held").select("said", F.explode(grams_of("url", order)).alias("gram"))
     counts = learn.groupBy("gram").agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("r"))
     both = base.where("said is not null and not held").agg((F.count_if(F.col("said") == "allow") * F.count_if(F.col("said") == "block")).alias("n"))
     llrs = as_array(model_table(counts, order))
 
     scored = base.withColumn("llrs", llrs.scalar()).withColumn("both", both.scalar())
-    total = F.aggregate(grams_of(F.col("url"), order), F.lit(0).cast("long"), lambda s, g: s + F.element_at(F.col("llrs"), g + 1))
+    total = F.aggregate(grams_of("url", order), F.lit(0).cast("long"), lambda s, g: s + F.element_at(F.col("llrs"), g + 1))
     n = F.greatest(F.length(F.coalesce("url", F.lit(""))), F.lit(1))
     scored = scored.withColumn("score", F.when(F.col("both") > 0, F.floor(total / n)).otherwise(F.lit(0)).cast("long")).drop("llrs", "both")
 
