@@ -103,14 +103,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     line is removed). An empty table gives no rows. Input columns named n_lines or n_removed are replaced.
     """
     had = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*had)
     core = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     stay = near_lines(core).where("not near").groupBy("doc_id").agg(F.collect_set("line_no").alias("stay"))
-    all_lines = F.split(F.col("text"), "\n")
-    tagged = docs.join(stay, "doc_id", "left").withColumn("lines", all_lines)
+    # the input's own columns travel in one struct, whatever their names
+    tagged = docs.select("doc_id", F.struct(*had).alias("row")).join(stay, "doc_id", "left").withColumn("lines", F.split(F.col("row.text"), "\n"))
     ok = lambda x, i: (F.length(F.trim(x)) < LEAST) | F.col("doc_id").isNull() | F.coalesce(F.array_contains("stay", i), F.lit(False))
     tagged = tagged.withColumn("left", F.filter("lines", ok))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     return tagged.select(
-        *[F.array_join("left", "\n").alias("text") if c == "text" else F.col(c) for c in had],
-        n.alias("n_lines"), (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("left"))).alias("n_removed"))
+        *[F.array_join("left", "\n").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in had],
+        size("lines").alias("n_lines"), (size("lines") - size("left")).alias("n_removed"))

@@ -1 +1,67 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL of the queries that SQL can express."""
+
+from __future__ import annotations
+
+from quillmark.llm.common import LOWER, UPPER
+from quillmark.llm.fingerprints import HIGH, LOW, SUBSETS
+
+_SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({text}, ''), '{_SPACE}'), lambda w: w <> '')"
+
+
+_LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words(_LOW)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i : i + 3], ' ') for i in range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+_PIECES = "[" + ", ".join(["h", *[f"list_filter(h, lambda t: substring(t, {k}, {len(m)}) < '{m}')" for k, m in SUBSETS]]) + "]"
+
+
+def _fingerprint(text: str) -> str:
+    low = f"translate({text}, '{UPPER}', '{LOWER}')"
+    return f"""SELECT doc_id, array_to_string(list_transform({_PIECES}, lambda s: CASE WHEN len(s) > 0 THEN substring(md5(array_to_string(s, ' ')), 1, 8) ELSE '-' END), '.') AS f
+FROM (SELECT doc_id, list_sort(list_transform(CASE WHEN len(inside) > 0 THEN inside ELSE mine END, lambda t: md5(t))) AS h
+FROM (SELECT doc_id, mine, list_intersect(mine, (SELECT list(term) FROM lex)) AS inside FROM (SELECT doc_id, list_distinct({_words(low)}) AS mine FROM pairs)))"""
+
+
+def _likeness(a: str, b: str) -> str:
+    z = f"list_zip(string_split({a}, '.'), string_split({b}, '.'))"
+    return f"CASE WHEN {a} = {b} THEN 1.0 ELSE coalesce(CAST(len(list_filter({z}, lambda p: p[1] <> '-' AND p[1] = p[2])) AS DOUBLE) / nullif(len(list_filter({z}, lambda p: p[1] <> '-' OR p[2] <> '-')), 0), 0.0) END"
+
+
+FINGERPRINTS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lex AS (SELECT term FROM (SELECT unnest(list_distinct({_words(_LOW)})) AS term FROM documents) GROUP BY term
+  HAVING count(*) >= greatest(2, {LOW} * (SELECT count(*) FROM documents)) AND count(*) <= {HIGH} * (SELECT count(*) FROM documents)),
+o AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER (ORDER BY doc_id), (SELECT min(doc_id) FROM t)) AS next_id FROM t),
+pairs AS (SELECT o.doc_id, o.next_id, o.text, substring(o.text, 1, length(o.text) - length(o.text) // 2) || substring(n.text, 1, length(o.text) // 2) AS edited FROM o JOIN t n ON n.doc_id = o.next_id),
+fp AS ({_fingerprint('text')}), fe AS ({_fingerprint('edited')})
+SELECT p.doc_id, length(p.text) AS n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint, e.f AS edited_fingerprint,
+  CAST({_likeness('a.f', 'e.f')} AS DOUBLE) AS near_edited, CAST({_likeness('a.f', 'b.f')} AS DOUBLE) AS near_next
+FROM pairs p JOIN fp a ON a.doc_id = p.doc_id JOIN fe e ON e.doc_id = p.doc_id JOIN fp b ON b.doc_id = p.next_id
+"""
+
+PASSAGES = f"""
+WITH w AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM win JOIN first USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN left_ USING (doc_id)
+"""
+
+ORACLES = {"op1_minhash": NEAR_DUPLICATES, "op2_fingerprints": FINGERPRINTS, "op6_passages": PASSAGES}
