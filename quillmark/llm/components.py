@@ -31,7 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # every larger neighbour of u goes to the least node near u
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hop = large.join(least, "u")
         now = cut(
