@@ -8,11 +8,11 @@ document with a smaller doc_id.
    documents lie in runs of equal minimizer. A run carries hashes only.
 2. Runs whose minimizer occurs in one document alone cannot repeat and go. Equal runs are
    merged, so a passage that was copied thousands of times is one run.
-3. The words of the remaining distinct runs are fetched. Windows among them whose fingerprint
-   is not shared by two documents go; what is left of a run are its shared pieces.
-4. Equal pieces are merged, and the pieces of a shard (a hash range of minimizers) are put
-   into an FM-index. Every piece is streamed through backward search, which gives for each
-   window the least doc_id that holds it.
+3. The words of the remaining distinct runs are fetched. Where a minimizer has very many
+   distinct runs (a short passage in many surroundings), these are cut down to the windows whose
+   fingerprint two documents share, and equal parts are merged, so that no shard grows with them.
+4. The pieces of a shard (a hash range of minimizers) are put into an FM-index. Every piece is
+   streamed through backward search, which gives for each window the least doc_id that holds it.
 5. Intervals return to all runs, and by doc_id to the documents.
 """
 
@@ -23,15 +23,18 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, grams, hash_words, mix, signed, slices, small_batches, split_words
 from quillmark.llm.fmindex import FmIndex
 
-WINDOW, GRAM = 50, 20
-#: Pieces that one FM-index holds, about.
-SHARD = 3000
+WINDOW, GRAM = 50, 8
+#: Pieces that one FM-index holds, about; distinct runs of one minimizer beyond which they are first cut down to their shared windows.
+SHARD, HOT = 3000, 256
+#: Bytes of a word's hash that an FM-index gets.
+CODE = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,35 +99,39 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, start int, n int, g long, r long")
 
 
-def _pieces(first: DataFrame, window: int) -> DataFrame:
-    """Words and window fingerprints of each distinct run, from the texts of its first holder."""
+def _contents(docs: DataFrame, lists: DataFrame, window: int) -> DataFrame:
+    """Words (six bytes each) of each distinct run, from the text of its first holder; of hot ones also the window fingerprints."""
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, at = split_words(part.column("text"))
                 h = hash_words(flat)
-                out = []
-                for base, runs in zip(at.tolist(), part.column("runs").to_pylist()):
-                    for run in runs:
-                        a = base + run["start"]
-                        n = run["n"]
-                        spans = span_hash(h, np.arange(a, a + n), np.full(n, window))
-                        out.append((run["g"], run["r"], run["lo"], run["hi"], signed(spans), signed(h[a : a + n + window - 1])))
-                if out:
-                    g, r, lo, hi, spans, codes = zip(*out)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x, pa.int64()) for x in (g, r, lo, hi)), pa.array(spans, pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary())],
-                        names=["g", "r", "lo", "hi", "spans", "codes"])
-
-    return first.mapInArrow(work, "g long, r long, lo long, hi long, spans array<long>, codes binary")
+                runs = part.column("runs")
+                first = at[pc.list_parent_indices(runs).to_numpy()]
+                runs = pc.list_flatten(runs)
+                start, n = (pc.struct_field(runs, c).to_numpy().astype(np.int64) for c in ("start", "n"))
+                begin, size = first + start, n + window - 1
+                ends = np.cumsum(size)
+                word = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+                packed = np.ascontiguousarray(h[word].view(np.uint8).reshape(-1, 8)[:, :CODE])
+                bounds = np.concatenate([[0], ends]).astype(np.int32) * CODE
+                codes = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(packed)])
+                hot = pc.struct_field(runs, "hot").to_numpy(zero_copy_only=False).astype(bool)
+                spans = [signed(span_hash(h, np.arange(x, x + k), np.full(k, window))) if y else None for x, k, y in zip(begin, n, hot)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pc.struct_field(runs, c) for c in ("g", "r", "lo", "hi")), pa.array(spans, pa.list_(pa.int64())), codes], names=["g", "r", "lo", "hi", "spans", "codes"])
+
+    return docs.join(lists, "doc_id").select("text", "runs").mapInArrow(work, "g long, r long, lo long, hi long, spans array<long>, codes binary")
 
 
 def _search(window: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = [np.frombuffer(c, np.uint64) for c in pdf.codes]
-        at = np.cumsum([0, *map(len, pieces)])
-        codes = np.unique(np.concatenate(pieces), return_inverse=True)[1] + 1
+        raw = np.frombuffer(b"".join(pdf.codes), np.uint8).reshape(-1, CODE)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :CODE] = raw
+        codes = np.unique(wide.view(np.uint64)[:, 0], return_inverse=True)[1].astype(np.int64) + 1
+        at = np.cumsum([0, *(len(c) // CODE for c in pdf.codes)])
         pieces = [codes[a:b] for a, b in zip(at, at[1:])]
         found = FmIndex(pieces, pdf.lo.to_numpy(), window).matching(pieces)
         return pd.DataFrame({"g": pdf.g, "p": pdf.p, "least": [f.tolist() for f in found]})
@@ -132,42 +139,45 @@ def _search(window: int):
     return work
 
 
+def _shared_parts(hot: DataFrame, window: int) -> DataFrame:
+    """g, r, a, lo, p, codes: the stretches of hot runs whose windows two documents share."""
+    spans = hot.select("g", "r", "lo", "hi", F.posexplode("spans").alias("o", "s"))
+    shared = spans.groupBy("g", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g", "s")
+    hits = spans.join(shared, ["g", "s"], "left_semi").groupBy("g", "r").agg(F.sort_array(F.collect_set("o")).alias("os"))
+    hits = hits.withColumn("z", F.expr("transform(array(os), os -> arrays_zip(filter(os, o -> not array_contains(os, o - 1)), filter(os, o -> not array_contains(os, o + 1))))[0]"))
+    hits = hits.select("g", "r", F.explode("z").alias("z")).select("g", "r", F.col("z")["0"].alias("a"), F.col("z")["1"].alias("b"))
+    part = hits.join(hot.select("g", "r", "lo", "codes"), ["g", "r"])
+    part = part.withColumn("codes", F.expr(f"substring(codes, a * {CODE} + 1, (b - a + {window}) * {CODE})"))
+    return part.select("g", "r", "a", "lo", F.xxhash64("codes").alias("p"), "codes")
+
+
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start, stop (word numbers, stop exclusive) of passages that windows in smaller documents cover."""
     runs = cut(_runs(docs, window))
     many = runs.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")
     runs = cut(runs.join(many, "g", "left_semi"))
     distinct = runs.groupBy("g", "r").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"), F.max("doc_id").alias("hi"))
+    crowded = distinct.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot"))
+    distinct = cut(distinct.join(crowded, "g", "left").select("g", "r", "f", "hi", F.coalesce("hot", F.lit(False)).alias("hot")))
     at = distinct.select(
-        F.col("f.doc_id").alias("doc_id"), F.struct(F.col("f.start").alias("start"), F.col("f.n").alias("n"), "g", "r", F.col("f.doc_id").alias("lo"), "hi").alias("run"))
-    lists = at.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    content = cut(_pieces(docs.join(lists, "doc_id").select("text", "runs"), window))
-    spans = content.select("g", "r", "lo", "hi", F.posexplode("spans").alias("o", "s"))
-    shared = spans.groupBy("g", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g", "s")
-    hits = spans.join(shared, ["g", "s"], "left_semi").groupBy("g", "r").agg(F.sort_array(F.collect_set("o")).alias("os"))
-    # consecutive shared windows make a piece
-    ends = F.filter("os", lambda o: ~F.array_contains("os", o + 1))
-    begins = F.filter("os", lambda o: ~F.array_contains("os", o - 1))
-    hits = hits.select("g", "r", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("z")).select("g", "r", "z.a", "z.b")
-    piece = hits.join(content.select("g", "r", "lo", "codes"), ["g", "r"])
-    piece = piece.withColumn("codes", F.expr(f"substring(codes, a * 8 + 1, (b - a + {window}) * 8)"))
-    piece = cut(piece.withColumn("p", F.xxhash64("codes")))
-    own = piece.groupBy("g", "p").agg(F.min("lo").alias("lo"), F.count("*").alias("times"))
-    body = piece.join(own, ["g", "p", "lo"]).select("g", "p", "lo", "codes").dropDuplicates(["g", "p"])
-    shards = max(1, own.count() // SHARD)
-    least = body.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_search(window), "g long, p long, least array<long>")
-    segs = piece.select("g", "r", "p", "a").join(least, ["g", "p"]).select("g", "r", "a", "least")
-    back = runs.join(segs, ["g", "r"])
+        F.col("f.doc_id").alias("doc_id"), F.struct(F.col("f.start").alias("start"), F.col("f.n").alias("n"), "g", "r", F.col("f.doc_id").alias("lo"), "hi", "hot").alias("run"))
+    content = _contents(docs, at.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), window)
+    pieces = content.where("spans is null").select("g", F.col("r").alias("p"), "lo", "codes")
+    places = distinct.where("not hot").select("g", "r", F.lit(0).alias("a"), F.col("r").alias("p"))
+    if not crowded.isEmpty():
+        part = cut(_shared_parts(cut(content.where("spans is not null")), window))
+        pieces = pieces.unionByName(part.groupBy("g", "p").agg(F.min("lo").alias("lo"), F.first("codes").alias("codes")))
+        places = places.unionByName(part.select("g", "r", "a", "p"))
+    shards = max(1, distinct.count() // SHARD)
+    least = pieces.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_search(window), "g long, p long, least array<long>")
+    back = runs.join(places.join(least, ["g", "p"]).select("g", "r", "a", "least"), ["g", "r"])
     # windows held by a smaller document, as intervals of this run
-    mine = back.select("doc_id", F.col("start"), "a", F.transform("least", lambda m: (m >= 0) & (m < F.col("doc_id"))).alias("gone"))
+    mine = back.select("doc_id", "start", "a", F.expr("transform(array(doc_id), d -> transform(least, m -> m >= 0 and m < d))[0]").alias("gone"))
     mine = mine.where(F.array_contains("gone", True))
-    full = ~F.array_contains("gone", False)
-    whole = F.array(F.struct(F.lit(0).alias("x"), (F.size("gone") - 1).alias("y")))
-    idx = F.sequence(F.lit(0), F.size("gone") - 1)
-    some = F.transform(F.filter(idx, lambda k: F.get("gone", k)), lambda k: F.struct(k.alias("x"), k.alias("y")))
-    mine = mine.select("doc_id", "start", "a", F.explode(F.when(full, whole).otherwise(some)).alias("z"))
-    first = F.col("start") + F.col("a")
-    return mine.select("doc_id", (first + F.col("z.x")).cast("long").alias("start"), (first + F.col("z.y") + window).cast("long").alias("stop"))
+    mine = mine.withColumn("z", F.expr(
+        "if(array_contains(gone, false), transform(filter(transform(gone, (x, k) -> if(x, k, -1)), k -> k >= 0), k -> struct(k as x, k as y)), array(struct(0 as x, size(gone) - 1 as y)))"))
+    mine = mine.select("doc_id", (F.col("start") + F.col("a")).alias("first"), F.explode("z").alias("z"))
+    return mine.select("doc_id", (F.col("first") + F.col("z.x")).cast("long").alias("start"), (F.col("first") + F.col("z.y") + window).cast("long").alias("stop"))
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -180,7 +190,8 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_intervals(docs.where("doc_id is not null"), window)
+    named = docs.where("doc_id is not null")
+    spans = repeated_intervals(named, window)
     lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def work(batches):
@@ -201,4 +212,6 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True
                 yield pa.RecordBatch.from_arrays(cols[: 4 + with_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return docs.join(lists, "doc_id", "left").mapInArrow(work, schema)
+    bare = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:long,stop:long>>"))
+    # the texts' exchange by doc_id is the one that fetches the runs' words, and is made once
+    return named.join(lists, "doc_id", "left").unionByName(bare).mapInArrow(work, schema)
