@@ -39,6 +39,14 @@ def _halves(w, n):
     return F.array_distinct(F.array(*both(here), *both(less)))
 
 
+def _line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, line_no, w: the words of the lines at these places."""
+    lists = places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("nos"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(lists, "doc_id")
+    at = texts.select("doc_id", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
+    return at.select("doc_id", "line_no", words(F.trim(F.element_at("all", F.col("line_no") + 1))).alias("w"))
+
+
 def near_lines(docs: DataFrame) -> DataFrame:
     """Places (doc_id, line_no) of eligible lines, and whether each stays: first (its exact line's
     earliest place), near (an earlier line within one edit)."""
@@ -55,10 +63,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
     alike = halves.join(shared, "half", "left_semi").select("at.doc_id", "at.line_no").distinct()
 
     # word hashes of those lines, from the documents
-    lists = alike.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("nos"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(lists, "doc_id")
-    w = texts.select("doc_id", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
-    w = w.select("doc_id", "line_no", words(F.trim(F.element_at("all", F.col("line_no") + 1))).alias("w"))
+    w = _line_words(docs, alike)
     w = w.withColumn("n", F.size("w"))
     each = w.select(
         "doc_id", "line_no", "n",
@@ -87,7 +92,11 @@ def near_lines(docs: DataFrame) -> DataFrame:
         a = F.col(arr)
         return F.concat(F.slice(a, F.lit(1), F.col(i)), F.slice(a, F.col(i) + 1 + F.col(gone), F.size(a)))
 
-    wa, wb = w.select("doc_id", "line_no", "w"), w.select(F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("w").alias("wb"))
+    # only the lines of candidate pairs are fetched again, once
+    near = cut(near)
+    both = near.select("doc_id", "line_no").unionByName(near.select(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no")))
+    wa = cut(_line_words(docs, both))
+    wb = wa.select(F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("w").alias("wb"))
     sure = near.join(wa, ["doc_id", "line_no"]).join(wb, ["bd", "bl"]).select("doc_id", "line_no", "w", "wb", "v.*")
     sure = sure.where(rest("w", "i", "cut") == rest("wb", "bi", "bc")).select("doc_id", "line_no").distinct()
     kept = firsts.select("at.doc_id", "at.line_no", "n").join(sure.withColumn("near", F.lit(True)), ["doc_id", "line_no"], "left")
