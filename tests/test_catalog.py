@@ -23,7 +23,7 @@ def duck():
 
 def plain(df):
     def cell(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "~"
         if type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
