@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         ends = comp.where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
         first = components(ends.unionByName(more).unionByName(tied))
     out = rows.select("doc_id", *key).join(classes, key, "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -91,7 +91,7 @@ def test_near_duplicates_of_a_large_group_of_near_copies(spark):
 def test_near_duplicates_edge_rows(spark, nothing):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (3, None)]
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("x"))).collect()
-    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in out) == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 3, True), ("None", 1, True)] or len(out) == 5
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in out) == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 3, True), ("None", None, True)]
     assert minhash.near_duplicates(nothing).count() == 0
 
 
