@@ -7,25 +7,27 @@ that it can be, the information -log2 p(kind) that the kind itself carries. A te
 discloses more than GENERALISE of it is generalised where it stands in such a context, more
 than REMOVE of it removed.
 
-A term must make up SUPPORT of a kind's context words. So each kind has at most 1 / SUPPORT
-terms, whatever the corpus, and the lexicon may be sent to all executors.
+A term must stand LEAST times in a kind's contexts, whatever the size of the corpus. Counts and
+the lexicon stay distributed; a lexicon of at most MAX_SMALL terms is sent to all executors, and a
+larger one is joined to the terms of each text, with the same result.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ascii_lower, small_batches, words
+from quillmark.llm.common import ascii_lower, cut, small_batches, words
 
 KINDS = ("email", "ip", "card", "phone")
-GENERALISE, REMOVE, SUPPORT, REACH, LEAST = 0.6, 0.9, 0.001, 6, 5
+GENERALISE, REMOVE, REACH, LEAST = 0.6, 0.9, 6, 5
+#: Terms that are sent to the executors as one dictionary; parts that a common term's rows are dealt to.
+MAX_SMALL, SALTS = 200_000, 32
 #: Characters that do not belong to a term at its ends.
 EDGE = ".,;:!?()[]\"'"
 
@@ -116,11 +118,15 @@ def context_terms(text: str, found: dict) -> list[tuple[str, int, str, int, int]
     return out
 
 
-def disclosing_terms(docs: DataFrame) -> dict[str, dict[str, str]]:
-    """For each kind the terms that disclose it, with ``generalise`` or ``remove``.
+def _terms(text: Column) -> Column:
+    """Array of the terms of a text; a word of EDGE characters alone is an empty term."""
+    return F.transform(words(ascii_lower(text)), lambda w: F.btrim(w, F.lit(EDGE)))
 
-    Counts cover all words of all documents. What reaches the driver is bounded by
-    1 / SUPPORT terms a kind.
+
+def disclosing_terms(docs: DataFrame) -> DataFrame | None:
+    """kind, term, said (``generalise`` or ``remove``) of the terms that disclose a kind; None without matches.
+
+    Counts cover all words of all documents. Only the totals of the kinds reach the driver.
     """
     small_batches(docs.sparkSession)
 
@@ -133,27 +139,38 @@ def disclosing_terms(docs: DataFrame) -> dict[str, dict[str, str]]:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n]), pa.array([t for _, t in n]), pa.array(list(n.values()), pa.int64())], names=["kind", "term", "n"])
 
-    counts = docs.select("text").mapInArrow(near, "kind string, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    counts = cut(docs.select("text").mapInArrow(near, "kind string, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
     totals = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     if not totals:
-        return {}
-    least = F.lit(None).cast("double")
+        return None
+    often = counts.where(F.col("n") >= LEAST)
+    each = docs.select(F.explode(_terms(F.col("text"))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("seen"))
+    # terms that are not judged are summed in one row, of null
+    seen = cut(each.join(often.select("term").distinct(), F.col("w") == F.col("term"), "left").groupBy("term").agg(F.sum("seen").alias("seen")))
+    all_words = seen.agg(F.sum("seen")).first()[0]
+    lift = F.lit(None).cast("double")
     for kind, n in totals.items():
-        least = F.when(F.col("kind") == kind, F.lit(float(max(LEAST, SUPPORT * n)))).otherwise(least)
-    often = counts.where(F.col("n") >= least).collect()
-    terms = sorted({r.term for r in often})
-    lexicon = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string") if terms else None
-    if lexicon is None:
-        return {}
-    each = docs.select(F.explode(words(ascii_lower(F.col("text")))).alias("w")).select(F.btrim("w", F.lit(EDGE)).alias("w")).where("w <> ''")
-    rows = each.join(F.broadcast(lexicon), F.col("w") == F.col("term"), "left").groupBy("term").agg(F.count("*").alias("n")).collect()
-    seen, all_words = {r.term: r.n for r in rows}, sum(r.n for r in rows)
+        lift = F.when(F.col("kind") == kind, F.lit(all_words / n)).otherwise(lift)
+    # the most that a kind can be disclosed is log2(lift)
+    share = F.log2(F.col("n") / F.col("seen") * F.col("lift")) / F.log2("lift")
+    judged = often.join(seen, "term").withColumn("lift", lift).where("lift > 1").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return cut(judged.select("kind", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("said")))
+
+
+def _with_known(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``docs`` with known: the rows of the lexicon whose term stands in the text."""
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    each = docs.select("doc_id", "key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).where("term <> ''").withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    salted = lexicon.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    known = each.join(salted, ["term", "salt"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("kind", "term", "said")).alias("known"))
+    known = known.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "known")
+    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "known")
+
+
+def by_kind(rows) -> dict[str, dict[str, str]]:
     out: dict[str, dict[str, str]] = {}
-    for r in often:
-        most = math.log2(all_words / totals[r.kind])
-        share = math.log2(r.n / seen[r.term] * all_words / totals[r.kind]) / most if most > 0 else 0.0
-        if share >= GENERALISE:
-            out.setdefault(r.kind, {})[r.term] = "remove" if share >= REMOVE else "generalise"
+    for r in rows or ():
+        out.setdefault(r["kind"], {})[r["term"]] = r["said"]
     return out
 
 
@@ -183,20 +200,25 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, with_text: bool = True, max_small: int = MAX_SMALL) -> DataFrame:
     """doc_id, spans (array of kind, start, end; code points, end exclusive) and, if asked for, sanitised text.
 
     Null and empty texts have no spans and an empty text. Repeated rows are treated alike,
     other columns are ignored, and an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lexicon = disclosing_terms(docs)
+    found = disclosing_terms(docs)
+    small = found is None or found.count() <= max_small
+    lexicon = by_kind(found.collect()) if small and found is not None else {}
+    if not small:
+        docs = _with_known(docs, found)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            spans = [disclose(t, lexicon) for t in texts]
+            known = [lexicon] * len(texts) if small else map(by_kind, batch.column("known").to_pylist())
+            spans = [disclose(t, k) for t, k in zip(texts, known)]
             cols = [batch.column("doc_id"), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], kind)]
             if with_text:
                 cols.append(pa.array(map(redact, texts, spans), pa.string()))

@@ -168,6 +168,19 @@ def test_pii_terms(spark, nothing):
     assert pii.sanitise(nothing).count() == 0
 
 
+@pytest.mark.parametrize("max_small", [pii.MAX_SMALL, 0])
+def test_pii_terms_that_are_rare_in_a_large_corpus(spark, max_small):
+    """6 of 12,000 context words, always beside an email: judged as in a small corpus."""
+    rng = random.Random(14)
+    plain = lambda n: " ".join(f"w{rng.randrange(200)}" for _ in range(n))
+    rows = [(k, f"{plain(8)} {'Zanzi' if k < 6 else plain(1)} user{k}@mail.org {plain(9)}") for k in range(1000)] + [(2000 + k, plain(300)) for k in range(200)]
+    rows += [(None, rows[0][1]), (0, rows[0][1])]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), max_small=max_small).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert "Zanzi" not in r.text and [s.kind for s in r.spans] == (["email"] if (r.doc_id or 0) < 2000 else []) + ["remove"] * ((r.doc_id or 0) < 6)
+
+
 def test_urls(spark):
     rng = random.Random(6)
     rows = []
