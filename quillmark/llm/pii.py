@@ -4,8 +4,8 @@ Sanitisation by information theory. Protected entities are the kinds below. Arou
 match lies a context of a few words. Over the whole corpus, a term's pointwise mutual
 information with a kind's contexts, log2 p(kind | term) / p(kind), is compared with the most
 that it can be, the information -log2 p(kind) that the kind itself carries. A term that
-discloses more than GENERALISE of it is generalised where it stands in such a context, more
-than REMOVE of it removed.
+discloses more than GENERALISE of it is generalised, more than REMOVE of it removed, wherever it
+stands: co-occurrence decides what discloses, and a text may give away what it does not spell out.
 
 A term must stand LEAST times in a kind's contexts, whatever the size of the corpus. Counts and
 the lexicon stay distributed; a lexicon of at most MAX_SMALL terms is sent to all executors, and a
@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,8 +94,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return dict(zip(KINDS, (f(text) for f in (emails, addresses, cards, phones))))
 
 
-def context_terms(text: str, found: dict) -> list[tuple[str, int, str, int, int]]:
-    """(kind, number of the word, term, start, end) for words near matches, each once a kind."""
+def context_terms(text: str, found: dict) -> list[tuple[str, str]]:
+    """(kind, term) for words near matches, each word once a kind."""
     if not any(found.values()):
         return []
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -110,11 +111,9 @@ def context_terms(text: str, found: dict) -> list[tuple[str, int, str, int, int]
             first, last = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
             near.update(range(max(0, first - REACH), min(len(spans), last + REACH)))
         for k in sorted(near - taken):
-            word = text[starts[k] : ends[k]]
-            term = word.strip(EDGE)
+            term = text[starts[k] : ends[k]].strip(EDGE)
             if term:
-                at = starts[k] + word.index(term)
-                out.append((kind, k, term.translate(_LOWER), at, at + len(term)))
+                out.append((kind, term.translate(_LOWER)))
     return out
 
 
@@ -124,7 +123,7 @@ def _terms(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
-    """kind, term, said (``generalise`` or ``remove``) of the terms that disclose a kind; None without matches.
+    """term, said (``generalise`` or ``remove``) of the terms that disclose a kind; None without matches.
 
     Counts cover all words of all documents. Only the totals of the kinds reach the driver.
     """
@@ -135,7 +134,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
             n = Counter()
             for text in batch.column("text").to_pylist():
                 if text:
-                    n.update((kind, term) for kind, _, term, _, _ in context_terms(text, base_spans(text)))
+                    n.update(context_terms(text, base_spans(text)))
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n]), pa.array([t for _, t in n]), pa.array(list(n.values()), pa.int64())], names=["kind", "term", "n"])
 
@@ -154,7 +153,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     # the most that a kind can be disclosed is log2(lift)
     share = F.log2(F.col("n") / F.col("seen") * F.col("lift")) / F.log2("lift")
     judged = often.join(seen, "term").withColumn("lift", lift).where("lift > 1").withColumn("share", share).where(F.col("share") >= GENERALISE)
-    return cut(judged.select("kind", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("said")))
+    return cut(judged.groupBy("term").agg(F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise").alias("said")))
 
 
 def _with_known(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -162,29 +161,43 @@ def _with_known(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     docs = docs.withColumn("key", F.xxhash64("text"))
     each = docs.select("doc_id", "key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).where("term <> ''").withColumn("salt", F.pmod("key", F.lit(SALTS)))
     salted = lexicon.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    known = each.join(salted, ["term", "salt"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("kind", "term", "said")).alias("known"))
+    known = each.join(salted, ["term", "salt"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", "said")).alias("known"))
     known = known.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "known")
     return docs.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "known")
 
 
-def by_kind(rows) -> dict[str, dict[str, str]]:
-    out: dict[str, dict[str, str]] = {}
-    for r in rows or ():
-        out.setdefault(r["kind"], {})[r["term"]] = r["said"]
-    return out
+class Said(dict):
+    """What is said of each word; terms are looked up once a word."""
+
+    def __init__(self, terms: dict[str, str]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: str) -> str | None:
+        self[word] = out = self.terms.get(word.strip(EDGE).translate(_LOWER))
+        return out
 
 
-def disclose(text: str, lexicon: dict) -> list[tuple[str, int, int]]:
-    """All spans of a text: the kinds in order, then ``generalise`` and ``remove``, each by start."""
+def disclose(text: str, said: Said) -> list[tuple[str, int, int]]:
+    """All spans of a text: the kinds in order, then ``generalise`` and ``remove``, each by start.
+
+    Words that a match overlaps are left to it.
+    """
     found = base_spans(text)
     out = [(kind, a, b) for kind in KINDS for a, b in found[kind]]
-    if lexicon:
-        hits: dict[tuple[int, int], str] = {}
-        for kind, _, term, a, b in context_terms(text, found):
-            said = lexicon.get(kind, {}).get(term)
-            if said and hits.get((a, b)) != "remove":
-                hits[a, b] = said
-        out += sorted((said, a, b) for (a, b), said in hits.items())
+    hits = {w for w in set(_WORD.findall(text)) if said[w]} if said.terms else ()
+    if hits:
+        spans = sorted((a, b) for _, a, b in out)
+        starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+        terms = []
+        for m in _WORD.finditer(text):
+            if m[0] in hits:
+                k = bisect.bisect_left(starts, m.end())
+                if not k or reach[k - 1] <= m.start():
+                    term = m[0].strip(EDGE)
+                    at = m.start() + m[0].index(term)
+                    terms.append((said[m[0]], at, at + len(term)))
+        out += sorted(terms)
     return out
 
 
@@ -209,7 +222,7 @@ def sanitise(docs: DataFrame, with_text: bool = True, max_small: int = MAX_SMALL
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = disclosing_terms(docs)
     small = found is None or found.count() <= max_small
-    lexicon = by_kind(found.collect()) if small and found is not None else {}
+    lexicon = dict(found.collect()) if small and found is not None else {}
     if not small:
         docs = _with_known(docs, found)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -217,8 +230,8 @@ def sanitise(docs: DataFrame, with_text: bool = True, max_small: int = MAX_SMALL
     def work(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            known = [lexicon] * len(texts) if small else map(by_kind, batch.column("known").to_pylist())
-            spans = [disclose(t, k) for t, k in zip(texts, known)]
+            said = [Said(lexicon)] * len(texts) if small else [Said({r["term"]: r["said"] for r in k or ()}) for k in batch.column("known").to_pylist()]
+            spans = [disclose(t, s) for t, s in zip(texts, said)]
             cols = [batch.column("doc_id"), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], kind)]
             if with_text:
                 cols.append(pa.array(map(redact, texts, spans), pa.string()))

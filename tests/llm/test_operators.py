@@ -181,6 +181,19 @@ def test_pii_terms_that_are_rare_in_a_large_corpus(spark, max_small):
         assert "Zanzi" not in r.text and [s.kind for s in r.spans] == (["email"] if (r.doc_id or 0) < 2000 else []) + ["remove"] * ((r.doc_id or 0) < 6)
 
 
+@pytest.mark.parametrize("max_small", [pii.MAX_SMALL, 0])
+def test_pii_terms_away_from_matches(spark, max_small):
+    """A term that discloses goes also far from a match, beside an unmatched form and in texts without one."""
+    plain = "some plain words here and then more of the plain text"
+    rows = [(k, f"{plain} Reachme: user{k}@mail.org {plain} {plain}") for k in range(40)] + [(100 + k, f"{plain} over and over " * 4) for k in range(40)]
+    rows += [(200, f"{plain} reachme, user at mail dot org"), (201, f"a@b.org {plain} (ReachMe) {plain}"), (202, f"{plain} x.reachme@mail.org Reachme@mail.org")]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), max_small=max_small).collect()}
+    assert got[200].text == f"{plain} , user at mail dot org" and [tuple(s) for s in got[200].spans] == [("remove", len(plain) + 1, len(plain) + 8)]
+    assert got[201].text == f"[email] {plain} () {plain}"
+    assert got[202].text == f"{plain} [email] [email]"
+    assert got[120].text == rows[60][1] and got[120].spans == []
+
+
 def test_urls(spark):
     rng = random.Random(6)
     rows = []
