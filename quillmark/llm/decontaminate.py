@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows, on built-in functions only.
 
 A text and an item are word sequences (lower-cased runs of letters and digits); both are
-compared by their shingles of five words, with multiplicity. A window as long as an item that
-has PERCENT similarity with it shares shingles with it, so windows are laid where a text
-shares a shingle with an item, at the item's offset; no other window can reach PERCENT. Each
-window gets a 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks: two within RADIUS
+compared by their shingles of five words, with multiplicity, wherever these stand. A window as
+long as an item that has PERCENT similarity with it holds at least the share of their shingles
+that PERCENT requires, so every window start is laid from which a window holds that many places
+of shingles that items of its length have; no other window can reach PERCENT. Each window gets
+a 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks: two within RADIUS
 bits agree in a block, so equal blocks among windows and items of one length find them all.
 What is within RADIUS is verified by exact weighted-shingle similarity.
 
@@ -13,7 +14,8 @@ RADIUS lies five deviations above.
 
 Scale: the items' shingles and fingerprints are counted first and broadcast while there are at
 most MAX_SMALL shingles; beyond that, the same joins shuffle. Texts are shuffled once, by
-doc_id, to meet the places found in them. Windows are few next to the texts.
+doc_id, to meet the windows found in them. Windows are few next to the texts: about a fifth of
+an item's length for a whole copy of it.
 """
 
 from __future__ import annotations
@@ -72,13 +74,25 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "n", grams.alias("grams")).distinct().withColumn("print", simhash("grams"))
 
 
-def _places(rows: DataFrame, items: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """doc_id, starts: the windows (start, n) at which a text shares a shingle with an item."""
-    marks = items.select("n", F.posexplode("grams").alias("pos", "g"), F.least("n", F.lit(SIZE)).alias("k")).distinct()
+def _places(rows: DataFrame, items: DataFrame, sizes: list[int], small: bool, percent: int) -> DataFrame:
+    """doc_id, starts: the windows (start, n, of a text of so many words) with enough shingles of items of n words.
+
+    Of a and b shingles, a pair at ``percent`` shares m >= percent * (a + b) / (100 + percent). The
+    windows that hold the j-th to the (j + m - 1)-th hit, but not the one before, start in one range;
+    these ranges are disjoint, and together they are all windows of m hits.
+    """
+    marks = items.select("n", F.explode("grams").alias("g"), F.least("n", F.lit(SIZE)).alias("k")).distinct()
     hint = F.broadcast if small else lambda x: x
-    each = reduce(DataFrame.unionByName, [rows.select("doc_id", F.lit(k).alias("k"), F.posexplode(f"g{k}").alias("i", "g")) for k in sizes])
-    hits = each.join(hint(marks), ["k", "g"])
-    return hits.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("i") - F.col("pos")).alias("start"), "n")).alias("starts"))
+    each = reduce(DataFrame.unionByName, [rows.select("doc_id", "words", F.lit(k).alias("k"), F.posexplode(f"g{k}").alias("i", "g")) for k in sizes])
+    hits = each.join(hint(marks), ["k", "g"]).groupBy("doc_id", "words", "n", "k").agg(F.sort_array(F.collect_set("i")).alias("p"))
+    b = F.col("n") - F.col("k") + 1
+    hits = hits.withColumn("b", b).withColumn("a", F.least(b, F.col("words") - F.col("k") + 1))
+    hits = hits.withColumn("m", F.greatest(F.lit(1), F.ceil(F.lit(percent) * (F.col("a") + F.col("b")) / F.lit(100 + percent)).cast("int")))
+    hits = hits.where(F.size("p") >= F.col("m")).withColumn("last", F.greatest(F.col("words") - F.col("n"), F.lit(0)))
+    ranges = F.expr("transform(slice(p, 1, size(p) - m + 1), (x, j) -> struct(greatest(p[j + m - 1] - b + 1, if(j > 0, p[j - 1] + 1, 0), 0) as lo, least(x, last) as hi))")
+    starts = F.flatten(F.transform(F.filter(ranges, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"])))
+    found = hits.select("doc_id", "words", "n", starts.alias("at")).where(F.size("at") > 0)
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("words", "n", "at")).alias("starts"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_small: int = MAX_SMALL) -> DataFrame:
@@ -98,10 +112,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_sma
         return rows.select(*[c for c in rows.columns if c not in ("text", "w")], F.size("w").alias("words"), *[shingles("w", k).alias(f"g{k}") for k in sizes])
 
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = _places(gram_rows(base), items, sizes, small)
+    places = _places(gram_rows(base), items, sizes, small, percent)
     found = gram_rows(base.join(places, "doc_id")).withColumn("s", F.explode("starts"))
-    last = F.greatest(F.col("words") - F.col("s.n"), F.lit(0))
-    found = found.withColumn("start", F.greatest(F.lit(0), F.least(F.col("s.start"), last))).withColumn("n", F.col("s.n"))
+    # texts of one doc_id may differ
+    found = found.where(F.col("s.words") == F.col("words")).withColumn("start", F.explode("s.at")).withColumn("n", F.col("s.n"))
     part = F.lit(None).cast("array<long>")
     for k in sizes:
         # a window of n words has n - k + 1 shingles

@@ -411,3 +411,27 @@ def test_decontamination(spark, corpus, nothing, max_small):
     if max_small:
         assert decontaminate.leaks(nothing, b).count() == 0
         assert decontaminate.leaks(spark.createDataFrame(rows[:3], "doc_id long, text string"), b.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("max_small", [1_000_000, 0])
+def test_decontamination_of_reordered_items(spark, max_small):
+    """Items whose first words or sentence stand at their end, inside longer texts."""
+    rng = random.Random(15)
+    plain = lambda c, n: [f"{c}{rng.randrange(500)}" for _ in range(n)]
+    items = [(k, plain("q", n)) for k, n in enumerate([45, 45, 45, 60, 90, 45])] + [(6, ["r1", "r2", "r3"] * 15)]
+    rows = []
+    for k, v in items:
+        for turn in (0, 1, 5, 10, 22, 44):
+            rows.append((len(rows), " ".join(plain("z", 30) + v[turn:] + v[:turn] + plain("y", 30))))
+        rows.append((len(rows), " ".join(v[9:] + v[:9])))
+        rows.append((len(rows), " ".join(v[: len(v) - 3])))
+    rows += [(0, rows[3][1]), (0, rows[-1][1])]
+    items = [(k, " ".join(v)) for k, v in items]
+    want = {}
+    for row in rows:
+        for key, best in brute_leaks([row], items).items():
+            if key not in want or (best[1] * want[key][2], -best[0]) > (want[key][1] * best[2], -want[key][0]):
+                want[key] = best
+    out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_small=max_small)
+    assert {(r.doc_id, r.item_id): (r.start, r.shared, r.total) for r in out.collect()} == want
+    assert len(want) > 45
