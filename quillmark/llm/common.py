@@ -25,8 +25,8 @@ def words(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only, as both Spark and other engines do alike."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-cases A-Z only, as both Spark and other engines do alike; a text of ASCII alone takes the short way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +49,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: list[str], how: str = "inner", least: int = 1000) -> DataFrame:
+    """Join of ``left`` with ``right`` on keys that ``right`` holds once, without hot tasks.
+
+    ``counts``: keys and n, the rows of ``left`` under each key. Keys of a thousandth of all rows
+    (``least`` at the least), of which there can be a thousand, are dealt over several tasks by
+    ``by``; their rows of ``right`` are repeated for each. Only these keys are broadcast.
+    """
+    facts = counts.agg(F.sum("n").alias("total"), F.max("n").alias("top")).first()
+    share = max(least, (facts.total or 0) // 1000)
+    if (facts.top or 0) < share:
+        return left.join(right, keys, how)
+    hot = F.broadcast(counts.where(F.col("n") >= share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_of")))
+    l_side = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_of", F.lit(1))).cast("int")).drop("_of")
+    r_side = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_of", F.lit(1)) - 1))).drop("_of")
+    return l_side.join(r_side, [*keys, "_salt"], how).drop("_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds at once when texts are long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

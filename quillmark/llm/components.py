@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut
+from quillmark.llm.common import cut, spread_join
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """The edges u, v with m of ``least``; nodes with many edges are dealt over several tasks."""
+    if total < 100_000:
+        return edges.join(least.drop("n"), "u")
+    return spread_join(edges, least.drop("n"), ["u"], least.select("u", "n"), ["v"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges``: columns a, b (long). Returns node, component. Alternating large-star and
@@ -22,24 +29,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark.n == 0 or (mark.n, mark.x) == seen:
             break
         seen = (mark.n, mark.x)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         # every larger neighbour of u goes to the least node near u
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both.where("v > u"), least, mark.n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hop = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hop = _with_least(large, least, mark.n)
         now = cut(
             hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

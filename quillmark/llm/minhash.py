@@ -8,9 +8,12 @@ A collision-corrected Jaccard estimate from the registers discards candidates th
 from the threshold, the rest are confirmed on their full shingle sets.
 
 Scale: identical sets are merged first, so thousands of copies cost one representative.
-Inside a band bucket, members are linked to the bucket's least member only (a star); buckets
-that still span several components are then searched completely in blocks of bounded size,
-so no link between different sets is lost and no task holds a whole bucket.
+Inside a band bucket, members are linked to the bucket's least member only (a star). In buckets
+that still span several components, the members outside the largest one are then asked
+through a member of it, another one in each bucket, and what is open after that is searched
+completely, in blocks of bounded size that return joining links only. So no link between different sets is
+lost, no task holds a whole bucket, and rows stay in proportion to the members. A text is turned into its set once
+for each of these steps, however many pairs it is in; ids in many pairs are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -20,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, grams, hash_words, mix, signed, slices, small_batches, split_words
+from quillmark.llm.common import cut, grams, hash_words, mix, signed, slices, small_batches, split_words, spread_join
 from quillmark.llm.components import components
 
 BUCKET_BITS, MANTISSA_BITS, BAND = 8, 10, 6
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
+#: What is kept of a bucket's member: its place in the list of its bands, the bucket's size class and its own lower one.
+MEMBER = ("doc_id", "n_shingles", "pos", "class", "low")
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 SLACK = 4.0
-#: Rows of a bucket that one block holds.
-BLOCK = 1024
+#: Rows and shingles of a bucket that one block holds, about; hashes that a step of counting takes.
+BLOCK, SET_BLOCK, COLUMNS = 1024, 2_000_000, 4096
 
 
 def shingle_sets(text: pa.Array, size: int) -> list[np.ndarray]:
@@ -123,6 +128,12 @@ def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
+def _with(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
+    """The pairs with the columns of ``table``, by its column ``side``; ids in many pairs are dealt over several tasks."""
+    counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+    return spread_join(pairs, table, [side], counts, ["a", "b"])
+
+
 def _probable(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose register estimate is not clearly below the threshold."""
     one = sig.select(F.col("doc_id").alias("a"), F.col("reg").alias("ra"), F.col("n_shingles").alias("na"))
@@ -135,49 +146,112 @@ def _probable(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
                 na, nb = (t.column(c).to_numpy().astype(float) for c in ("na", "nb"))
                 yield t.filter(pa.array(likely(ra, rb, na, nb, percent))).select(["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long")
+    return _with(_with(pairs, "a", one), "b", two).mapInArrow(work, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id and the packed shingle hashes of the texts of these ids; each text is read once."""
+
+    def work(batches):
+        for batch in batches:
+            for t in slices(batch, "text"):
+                sets = pa.array([s.tobytes() for s in shingle_sets(t.column("text"), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([t.column("doc_id"), sets], names=["doc_id", "set"])
+
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(work, "doc_id long, set binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs a, b whose full sets have 100 * intersection >= percent * union."""
-    one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = cut(_sets(docs, ids, size))
 
     def work(batches):
-        last, kept = None, None
         for batch in batches:
-            for t in slices(batch, "tb"):
-                ids, ok = t.column("a").to_pylist(), []
-                sets = shingle_sets(t.column("tb"), size)
-                firsts = t.column("ta")
-                for k, (i, s) in enumerate(zip(ids, sets)):
-                    if i != last:  # rows come sorted by a
-                        last, kept = i, shingle_sets(firsts.slice(k, 1), size)[0]
-                    both = len(np.intersect1d(kept, s, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(kept) + len(s) - both))
+            for t in slices(batch, "sb"):
+                ok = []
+                for x, y in zip(t.column("sa"), t.column("sb")):
+                    one, two = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                    both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
+                    ok.append(both > 0 and 100 * both >= percent * (len(one) + len(two) - both))
                 yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    full = _with(_with(pairs, "a", sets.toDF("a", "sa")), "b", sets.toDF("b", "sb"))
+    return full.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long").distinct()
 
 
-def _open_pairs(buckets: DataFrame, comp: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components inside buckets that span several.
+def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets that span several components: key, doc_id, component, n_shingles, and
+    of the bucket major (its largest component), hub (a member of it, another one in each bucket)
+    and sizes."""
+    at = buckets.join(comp, "doc_id")
+    each = at.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id")).alias("first"))
+    spans = each.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n_all"), F.sum("weight").alias("weight"),
+        F.max(F.struct("n", "component", "first")).alias("big"))
+    spans = cut(spans.where("parts > 1").select(
+        "key", "n_all", "weight", F.col("big.n").alias("n_major"), F.col("big.component").alias("major"), F.col("big.first.doc_id").alias("hub")))
+    return cut(spread_join(at, spans, ["key"], spans.select("key", F.col("n_all").alias("n")), ["doc_id"]))
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """In each open bucket, the pairs of its hub with the members outside the hub's component."""
+    return rows.where("component <> major").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).where("a <> b").distinct()
+
+
+def spanning_links(ids, component, asks, told, sets, percent: int) -> list[tuple[int, int]]:
+    """Links of sets with 100 * intersection >= percent * union between the rows ``asks`` and
+    ``told`` that join components: as few as joins them all, none inside a component."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, code = owner[times[code] > 1], code[times[code] > 1]  # a hash of one set alone is in no intersection
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    code = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]])) if len(code) else code
+    both = np.zeros((len(asks), len(told)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [low, low + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[a:b], code[a:b] - low] = 1
+        both += held[asks] @ held[told].T
+    linked = (both > 0) & (100 * both >= percent * (sizes[asks][:, None] + sizes[told][None, :] - both))
+    label = np.unique(component, return_inverse=True)[1]
+    found = []
+    while True:
+        free = linked & (label[asks][:, None] != label[told][None, :])
+        rows = np.flatnonzero(free.any(1))
+        if not len(rows):
+            return found
+        # one link for each component that still has one, then the components are named anew
+        to = np.arange(label.max() + 1)
+
+        def root(x):
+            while to[x] != x:
+                to[x] = to[to[x]]
+                x = to[x]
+            return x
+
+        for i, j in zip(asks[rows], told[free[rows].argmax(1)]):
+            x, y = root(label[i]), root(label[j])
+            if x != y:
+                to[max(x, y)] = min(x, y)
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        label = np.array([root(x) for x in range(len(to))])[label]
+
+
+def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components inside buckets that still span several, searched completely.
 
     Every member outside the largest component of its bucket meets all members of other
-    components, block by block; a block of either side has about BLOCK rows.
+    components, block by block: first by registers, then those with a likely partner by their
+    full sets. A block of either side has about BLOCK rows and SET_BLOCK shingles, and returns
+    only the links that join components.
     """
-    at = buckets.join(comp, "doc_id")
-    each = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-    spans = (
-        each.groupBy("key")
-        .agg(F.count("*").alias("parts"), F.sum("n").alias("n_all"), F.max(F.struct("n", "component")).alias("big"))
-        .where("parts > 1")
-        .select("key", F.col("big.component").alias("major"),
-                F.expr(f"cast(ceil(n_all / {BLOCK}) as int)").alias("all_blocks"),
-                F.expr(f"cast(ceil((n_all - big.n) / {BLOCK}) as int)").alias("few_blocks"))
-    )
-    rows = at.join(spans, "key").join(sig.select("doc_id", "reg", "n_shingles"), "doc_id")
-    rows = rows.withColumn("few", F.col("component") != F.col("major"))
+    blocks = lambda n: F.ceil(F.greatest(n / F.lit(BLOCK), F.col("weight") * n / F.col("n_all") / F.lit(SET_BLOCK))).cast("int")
+    rows = rows.select("key", "doc_id", "pos", "class", "low", "component", (F.col("component") != F.col("major")).alias("few"), blocks(F.col("n_all")).alias("all_blocks"), blocks(F.col("n_all") - F.col("n_major")).alias("few_blocks"))
     # a bucket of one block is one group; of more, each few-block meets each block
     h = F.xxhash64("doc_id", F.lit(7))
     mine, other = F.pmod(h, "few_blocks").cast("int"), F.pmod(h, "all_blocks").cast("int")
@@ -187,27 +261,49 @@ def _open_pairs(buckets: DataFrame, comp: DataFrame, sig: DataFrame, percent: in
     one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("few").alias("asks"), F.lit(True).alias("told")))
     at_once = (F.col("all_blocks") == 1) & (F.col("few_blocks") == 1)
     spots = F.when(at_once, one).when(F.col("few"), F.concat(told, asks)).otherwise(told)
-    dealt = rows.select("key", "doc_id", "component", "few", "reg", "n_shingles", F.explode(spots).alias("s")).select("key", "s.x", "s.y", "s.asks", "s.told", "doc_id", "component", "few", "reg", "n_shingles")
-    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    dealt = rows.select("key", "doc_id", "pos", "class", "low", "component", F.explode(spots).alias("s")).select("key", "s.*", "doc_id", "pos", "class", "low", "component")
+    together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
-    def meet(t: pa.Table):
-        c = {n: t.column(n).to_numpy() for n in ("doc_id", "component", "n_shingles", "few", "asks", "told")}
+    def ask(t, c, asks, told):
+        """The rows of a block that have a likely partner in another component, by their registers.
+        A pair counts in the first band that both share, and there in the lower class."""
         reg = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        k = np.stack([t.column(n).to_numpy() for n in ("key", "x", "y")], 1)
+        hit, n, step = np.zeros(t.num_rows, bool), c["n_shingles"].astype(float), max(1, 8192 // len(told))
+        keys, full = band_keys(reg)
+        place = np.cumsum(full, 1) - 1
+        for q in range(0, len(asks), step):
+            i, j = (m.ravel() for m in np.meshgrid(asks[q : q + step], told, indexing="ij"))
+            ok = c["component"][i] != c["component"][j]
+            i, j = i[ok], j[ok]
+            ok = likely(reg[i], reg[j], n[i], n[j], percent)
+            i, j = i[ok], j[ok]
+            band = ((keys[i] == keys[j]) & full[i] & full[j]).argmax(1)
+            ok = (place[i, band] == c["pos"][i]) & (c["class"][i] == np.maximum(c["low"][i], c["low"][j]))
+            hit[i[ok]] = hit[j[ok]] = True
+        return t.select(["key", "x", "y", "asks", "told", "doc_id", "component"]).filter(pa.array(hit))
+
+    def link(t, c, asks, told):
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        out = np.array(spanning_links(c["doc_id"], c["component"], asks, told, sets, percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    prints = sig.select("doc_id", "reg", "n_shingles")
+    open_rows = cut(together(dealt.join(prints, "doc_id")).mapInArrow(_block_by_block(ask), "key long, x int, y int, asks boolean, told boolean, doc_id long, component long"))
+    sets = _sets(docs, open_rows.select("doc_id").distinct(), size)
+    return together(open_rows.join(sets, "doc_id")).mapInArrow(_block_by_block(link), "a long, b long").distinct()
+
+
+def _block_by_block(meet):
+    """Rows sorted by key, x, y are gathered block by block and given to ``meet``."""
+
+    def each(t: pa.Table, k: np.ndarray):
         ends = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
-        found = []
         for a, b in zip(ends, ends[1:]):
-            told, asks = a + np.flatnonzero(c["told"][a:b]), a + np.flatnonzero(c["asks"][a:b])
-            step = max(1, 8192 // max(1, len(told)))
-            for q in range(0, len(asks), step):
-                i, j = (m.ravel() for m in np.meshgrid(asks[q : q + step], told, indexing="ij"))
-                ok = (c["component"][i] != c["component"][j]) & (~c["few"][j] | (c["doc_id"][i] < c["doc_id"][j]))
-                i, j = i[ok], j[ok]
-                ok = likely(reg[i], reg[j], c["n_shingles"][i].astype(float), c["n_shingles"][j].astype(float), percent)
-                i, j = c["doc_id"][i[ok]], c["doc_id"][j[ok]]
-                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            part = t.slice(a, b - a)
+            c = {n: part.column(n).to_numpy() for n in part.column_names if n not in ("reg", "set")}
+            asks, told = np.flatnonzero(c["asks"]), np.flatnonzero(c["told"])
+            if len(asks) and len(told):
+                yield from meet(part, c, asks, told).to_batches()
 
     def stream(batches):
         held = None
@@ -215,14 +311,14 @@ def _open_pairs(buckets: DataFrame, comp: DataFrame, sig: DataFrame, percent: in
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if t.num_rows:
                 k = np.stack([t.column(n).to_numpy() for n in ("key", "x", "y")], 1)
-                last = int(np.flatnonzero((k != k[-1]).any(1))[-1] + 1) if (k != k[-1]).any() else 0
-                if last:
-                    yield meet(t.slice(0, last))
-                held = t.slice(last)  # its group may go on
+                other = np.flatnonzero((k != k[-1]).any(1))
+                last = int(other[-1] + 1) if len(other) else 0
+                yield from each(t.slice(0, last), k[:last]) if last else ()
+                held = t.slice(last)  # its block may go on
         if held is not None and held.num_rows:
-            yield meet(held)
+            yield from each(held, np.stack([held.column(n).to_numpy() for n in ("key", "x", "y")], 1))
 
-    return dealt.mapInArrow(stream, "a long, b long").distinct()
+    return stream
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -230,45 +326,57 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable), kept
     (doc_id = component_id), one row per input row. Null, empty and white-space texts have an
-    empty set and link with nothing. Rows that repeat a doc_id share a component; of rows
+    empty set and link with nothing; very long texts are compared whole. Rows that repeat a doc_id share a component; of rows
     with equal id all are kept or none. A null doc_id links with nothing: its component_id is
-    null and it is kept. Other columns are ignored; an empty table gives no rows.
+    null and it is kept. Other columns are ignored; an empty table gives no rows. Sets are held to be equal if
+    their sizes and two 64-bit checksums of their 64-bit hashes are (two sets of equal size differ
+    from that with a probability of 2**-128).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(signatures(docs, size))
     key = ["n_shingles", "sum_a", "sum_b"]
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     # an id with several texts stands for all of them, under its least set
-    sig = (
-        real.join(classes, key).where("doc_id = rep")
-        .select("doc_id", "n_shingles", "reg", "bands", "sum_a", "sum_b").dropDuplicates(["doc_id", *key])
-    )
-    sig = cut(sig)
+    sig = cut(
+        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "bands")).alias("m"), F.count("*").alias("n"))
+        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.bands", "n"))
+    classes = sig.select(*key, F.col("doc_id").alias("rep"), "n")
     # a set is up to 100 / percent times as large as its partner: it stands under its own power of two and that of its largest partner
     power = lambda n: F.floor(F.log2(n)).cast("int")
     spread = F.array_distinct(F.array(power(F.col("n_shingles")), power(F.col("n_shingles") * (100 / percent) + 1)))
-    bands = sig.select("doc_id", F.explode("bands").alias("band"), spread.alias("spread")).select("doc_id", "band", F.explode("spread").alias("class"))
-    bands = bands.select("doc_id", F.xxhash64("band", "class").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    buckets = cut(bands.join(hubs, "key"))
+    bands = sig.select("doc_id", "n_shingles", power(F.col("n_shingles")).alias("low"), F.posexplode("bands").alias("pos", "band"), spread.alias("spread"))
+    bands = bands.select("doc_id", "n_shingles", "low", "pos", "band", F.explode("spread").alias("class"))
+    bands = bands.select(F.xxhash64("band", "class").alias("key"), *MEMBER)
+    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("a < z").select("key", "a", "n")
+    hubs = cut(hubs)
+    buckets = cut(spread_join(bands, hubs.drop("n"), ["key"], hubs.select("key", "n"), ["doc_id"]))
     star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    buckets = buckets.select("key", "doc_id")
+    buckets = buckets.where("doc_id <> a").select("key", *MEMBER)  # the least member has met all others
     texts = docs.where("doc_id is not null")
-    repeated = real.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("sum_a").alias("lo"), F.max("sum_a").alias("hi")).where("lo <> hi")
-    links = cut(confirm(_probable(star, sig, percent), texts, size, percent))
     # ids that stand for several sets tie those sets' classes together
-    tied = real.join(repeated.select("doc_id"), "doc_id", "left_semi").join(classes, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = components(links.unionByName(tied))
-    comp = sig.select("doc_id").distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    comp = cut(comp)
-    more = cut(confirm(_open_pairs(buckets, comp, sig, percent), texts, size, percent))
-    if not more.isEmpty():
-        ends = comp.where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
-        first = components(ends.unionByName(more).unionByName(tied))
-    out = rows.select("doc_id", *key).join(classes, key, "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    repeated = real.groupBy("doc_id").agg(F.min("sum_a").alias("lo"), F.max("sum_a").alias("hi")).where("lo <> hi").select("doc_id")
+    tied = real.select("doc_id", *key).join(repeated, "doc_id", "left_semi").join(classes, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = confirm(_probable(cut(star), sig, percent), texts, size, percent).unionByName(tied)
+    ids = cut(sig.select("doc_id").distinct())
+
+    def settle(links):
+        found = components(links)
+        return found, cut(ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
+
+    # buckets that still span several components are asked through hubs of their largest one, then completely
+    found, comp = settle(links)
+    for complete in (False, True):
+        rest = _open(buckets, comp)
+        if rest.isEmpty():
+            break
+        more = cut(_block_links(rest, sig, texts, size, percent) if complete else confirm(_probable(cut(_hub_pairs(rest)), sig, percent), texts, size, percent))
+        buckets = rest.where("doc_id <> hub").select("key", *MEMBER)  # the hub has met all others
+        if not more.isEmpty():
+            held = comp.where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+            found, comp = settle(held.unionByName(more).unionByName(tied))
+    named = cut(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("least"), "n"))
+    out = spread_join(rows.select("doc_id", *key), named.drop("n"), key, named.select(*key, "n"), ["doc_id"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
