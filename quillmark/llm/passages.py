@@ -6,13 +6,15 @@ document with a smaller doc_id.
 1. Each document's windows are dealt by their minimizer: the least hash among the windows'
    short word grams. A run is the windows that share one minimizer; equal windows of two
    documents lie in runs of equal minimizer. A run carries hashes only.
-2. Runs whose minimizer occurs in one document alone cannot repeat and go. Equal runs are
-   merged, so a passage that was copied thousands of times is one run.
+2. Equal runs are merged, so a passage that was copied thousands of times is one run. A window
+   leaves at least half of its other words on one side of its minimizer; runs that share neither
+   side with another document cannot repeat and go.
 3. The words of the remaining distinct runs are fetched. Where a minimizer has very many
    distinct runs (a short passage in many surroundings), these are cut down to the windows whose
    fingerprint two documents share, and equal parts are merged, so that no shard grows with them.
-4. The pieces of a shard (a hash range of minimizers) are put into an FM-index. Every piece is
-   streamed through backward search, which gives for each window the least doc_id that holds it.
+4. The pieces of a shard (a hash range of minimizers) are put into an FM-index, whose wavelet
+   matrix is packed; suffix classes and owners stay plain arrays. Every piece goes
+   through backward search, which gives for each window the least doc_id that holds it.
 5. Intervals return to all runs, and by doc_id to the documents.
 """
 
@@ -27,21 +29,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, grams, hash_words, mix, signed, slices, small_batches, split_words
+from quillmark.llm.common import cut, grams, hash_words, mix, signed, slices, small_batches, split_words, spread_join
 from quillmark.llm.fmindex import FmIndex
 
 WINDOW, GRAM = 50, 8
-#: Pieces that one FM-index holds, about; distinct runs of one minimizer beyond which they are first cut down to their shared windows.
-SHARD, HOT = 3000, 256
+#: Pieces that one FM-index holds, about; distinct runs of one minimizer beyond which they are first cut
+#: down to their shared windows (as many take about 150 MB in an index).
+SHARD, HOT = 3000, 20_000
 #: Bytes of a word's hash that an FM-index gets.
 CODE = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-
-
-
-
 def span_hash(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of the words start .. start + size - 1 for many spans of fewer than 4 * WINDOW words.
 
@@ -67,14 +66,15 @@ def least_in_window(key: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(h: np.ndarray, at: np.ndarray, window: int = WINDOW):
     """Runs of the texts whose word hashes lie in ``h`` between the bounds ``at``:
-    (text, first window's place in its text, number of windows, minimizer hash, run hash)."""
+    (text, first window's place in its text, number of windows, minimizer hash, run hash, hashes of the
+    minimizer with the words before and after it; 0 where the text has too few)."""
     place = np.arange(len(h) - GRAM + 1, dtype=np.uint64)
-    empty = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    empty = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(4))
     if len(h) < window:
         return empty
     g = grams(h, GRAM)
-    key = (g >> np.uint64(24) << np.uint64(24)) | place  # a slice has far fewer than 2**24 words
-    best = (least_in_window(key, window - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    low = np.uint64((1 << 32) - 1)  # no text has as many words
+    best = (least_in_window((g & ~low) | place, window - GRAM + 1) & low).astype(np.int64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     ok = doc[: len(best)] == doc[window - 1 :][: len(best)]
     start = np.flatnonzero(ok)
@@ -83,7 +83,14 @@ def runs_of(h: np.ndarray, at: np.ndarray, window: int = WINDOW):
     new = np.concatenate([[True], (np.diff(start) > 1) | (best[start][1:] != best[start][:-1]) | (doc[start][1:] != doc[start][:-1])])
     first = start[new]
     n = np.diff(np.append(np.flatnonzero(new), len(start)))
-    return doc[first], first - at[doc[first]], n, g[best[first]], span_hash(h, first, n + window - 1)
+    # a window leaves at least half of its other words on one side of its minimizer
+    spot, aside = best[first], (window - GRAM + 1) // 2
+    context = []
+    for begin, salt in ((spot - aside, 1), (spot, 2)):
+        ok = (begin >= at[doc[first]]) & (begin + aside + GRAM <= at[doc[first] + 1])
+        x = span_hash(h, np.where(ok, begin, 0), np.where(ok, aside + GRAM, 0))
+        context.append(np.where(ok, mix(x + np.uint64(salt)) | np.uint64(1), 0))
+    return doc[first], first - at[doc[first]], n, g[spot], span_hash(h, first, n + window - 1), *context
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
@@ -91,12 +98,12 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, at = split_words(part.column("text"))
-                doc, start, n, g, r = runs_of(hash_words(flat), at, window)
+                doc, start, n, *keys = runs_of(hash_words(flat), at, window)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(g)), pa.array(signed(r))],
-                    names=["doc_id", "start", "n", "g", "r"])
+                    [part.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(signed(x)) for x in keys)],
+                    names=["doc_id", "start", "n", "g", "r", "before", "after"])
 
-    return docs.mapInArrow(work, "doc_id long, start int, n int, g long, r long")
+    return docs.mapInArrow(work, "doc_id long, start int, n int, g long, r long, before long, after long")
 
 
 def _contents(docs: DataFrame, lists: DataFrame, window: int) -> DataFrame:
@@ -118,9 +125,12 @@ def _contents(docs: DataFrame, lists: DataFrame, window: int) -> DataFrame:
                 bounds = np.concatenate([[0], ends]).astype(np.int32) * CODE
                 codes = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(packed)])
                 hot = pc.struct_field(runs, "hot").to_numpy(zero_copy_only=False).astype(bool)
-                spans = [signed(span_hash(h, np.arange(x, x + k), np.full(k, window))) if y else None for x, k, y in zip(begin, n, hot)]
+                k = np.where(hot, n, 0)
+                ends = np.concatenate([[0], np.cumsum(k)])
+                each = np.repeat(begin - ends[:-1], k) + np.arange(ends[-1])
+                spans = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(~hot, False)), pa.array(signed(span_hash(h, each, np.full(len(each), window)))))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pc.struct_field(runs, c) for c in ("g", "r", "lo", "hi")), pa.array(spans, pa.list_(pa.int64())), codes], names=["g", "r", "lo", "hi", "spans", "codes"])
+                    [*(pc.struct_field(runs, c) for c in ("g", "r", "lo", "hi")), spans, codes], names=["g", "r", "lo", "hi", "spans", "codes"])
 
     return docs.join(lists, "doc_id").select("text", "runs").mapInArrow(work, "g long, r long, lo long, hi long, spans array<long>, codes binary")
 
@@ -154,11 +164,16 @@ def _shared_parts(hot: DataFrame, window: int) -> DataFrame:
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start, stop (word numbers, stop exclusive) of passages that windows in smaller documents cover."""
     runs = cut(_runs(docs, window))
-    many = runs.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")
-    runs = cut(runs.join(many, "g", "left_semi"))
-    distinct = runs.groupBy("g", "r").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"), F.max("doc_id").alias("hi"))
-    crowded = distinct.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot"))
-    distinct = cut(distinct.join(crowded, "g", "left").select("g", "r", "f", "hi", F.coalesce("hot", F.lit(False)).alias("hot")))
+    distinct = cut(runs.groupBy("g", "r").agg(
+        F.min(F.struct("doc_id", "start", "n")).alias("f"), F.max("doc_id").alias("hi"), F.count("*").alias("held"), F.first("before").alias("before"), F.first("after").alias("after")))
+    # a window that two documents have lies in runs that share the words on one side of their minimizer
+    sides = distinct.select("g", "r", F.col("f.doc_id").alias("lo"), "hi", F.explode(F.filter(F.array("before", "after"), lambda x: x != 0)).alias("side"))
+    shared = cut(sides.groupBy("side").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("n")).where("least < most").select("side", "n"))
+    alive = spread_join(sides, shared.select("side"), ["side"], shared, ["g", "r"]).select("g", "r").distinct()
+    distinct = cut(distinct.drop("before", "after").join(alive, ["g", "r"]))
+    crowded = distinct.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", "n")
+    hot = spread_join(distinct, crowded.select("g", F.lit(True).alias("hot")), ["g"], crowded, ["r"], "left") if not crowded.isEmpty() else distinct.withColumn("hot", F.lit(False))
+    distinct = cut(hot.select("g", "r", "f", "hi", "held", F.coalesce("hot", F.lit(False)).alias("hot")))
     at = distinct.select(
         F.col("f.doc_id").alias("doc_id"), F.struct(F.col("f.start").alias("start"), F.col("f.n").alias("n"), "g", "r", F.col("f.doc_id").alias("lo"), "hi", "hot").alias("run"))
     content = _contents(docs, at.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), window)
@@ -169,8 +184,12 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         pieces = pieces.unionByName(part.groupBy("g", "p").agg(F.min("lo").alias("lo"), F.first("codes").alias("codes")))
         places = places.unionByName(part.select("g", "r", "a", "p"))
     shards = max(1, distinct.count() // SHARD)
+    counts = distinct.select("g", "r", F.col("held").alias("n"))
     least = pieces.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_search(window), "g long, p long, least array<long>")
-    back = runs.join(places.join(least, ["g", "p"]).select("g", "r", "a", "least"), ["g", "r"])
+    # a run that is cut down may have several parts
+    found = cut(places.join(least, ["g", "p"]).groupBy("g", "r").agg(F.collect_list(F.struct("a", "least")).alias("parts")))
+    back = spread_join(runs.select("doc_id", "start", "g", "r"), found, ["g", "r"], counts, ["doc_id", "start"])
+    back = back.select("doc_id", "start", F.explode("parts").alias("part")).select("doc_id", "start", "part.*")
     # windows held by a smaller document, as intervals of this run
     mine = back.select("doc_id", "start", "a", F.expr("transform(array(doc_id), d -> transform(least, m -> m >= 0 and m < d))[0]").alias("gone"))
     mine = mine.where(F.array_contains("gone", True))
@@ -183,7 +202,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by blanks.
 
-    One row per input row. Null, empty and short texts lose nothing. Windows are judged on the
+    One row per input row; very long texts are taken whole. Null, empty and short texts lose nothing. Windows are judged on the
     input. Rows with equal doc_id are one document here: they do not remove each other's words,
     and places found in one apply to all of them; ids should be unique. A null doc_id neither loses nor
     removes words. Other columns are ignored; an empty table gives no rows.
@@ -198,17 +217,19 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, at = split_words(part.column("text"))
-                rows = []
-                for a, b, cuts in zip(at.tolist(), at[1:].tolist(), part.column("spans").to_pylist()):
-                    step = np.zeros(b - a + 1, np.int64)
-                    for s in cuts or ():
-                        step[min(s["start"], b - a)] += 1
-                        step[min(s["stop"], b - a)] -= 1
-                    gone = np.cumsum(step)[:-1] > 0
-                    kept = " ".join(flat.slice(a, b - a).filter(pa.array(~gone)).to_pylist())
-                    rows.append((b - a, int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
-                n, removed, sha, kept = zip(*rows)
-                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)]
+                spans = part.column("spans")
+                owner = pc.list_parent_indices(spans).to_numpy()
+                flat_spans = pc.list_flatten(spans)
+                step = np.zeros(len(flat) + 1, np.int64)
+                for name, sign in (("start", 1), ("stop", -1)):
+                    place = at[owner] + pc.struct_field(flat_spans, name).to_numpy(zero_copy_only=False)
+                    np.add.at(step, np.minimum(place, at[owner + 1]), sign)
+                stays = np.cumsum(step[:-1]) <= 0
+                ends = np.concatenate([[0], np.cumsum(stays)])[at]
+                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(pa.array(stays))), " ")
+                sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in kept.cast(pa.binary())]
+                n = np.diff(at)
+                cols = [part.column("doc_id"), pa.array(n), pa.array(n - np.diff(ends)), pa.array(sha, pa.string()), kept.cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(cols[: 4 + with_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
