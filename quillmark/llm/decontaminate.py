@@ -35,7 +35,18 @@ LANES = 0x0001000100010001
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased runs of letters and digits; a text of ASCII alone needs no Unicode classes."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)
+    low = F.lower(text)
+    return F.filter(F.when(plain, F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, r"[^\p{L}\p{N}]+")), lambda w: w != "")
+
+
+def shingle_rows(rows: DataFrame, w: str, size: int) -> DataFrame:
+    """The rows with i and g, for each place the same hash as ``shingles`` has there."""
+    sides = F.arrays_zip(*[F.slice(w, F.lit(1 + k), F.size(w)).alias(f"w{k}") for k in range(size)])
+    each = rows.select("*", F.posexplode(sides).alias("i", "x")).where(F.col("i") <= F.size(w) - size)
+    return each.withColumn("g", F.xxhash64(F.lit(size), *[F.col("x")[f"w{k}"] for k in range(size)])).drop("x")
 
 
 def shingles(w: str, size: int) -> Column:
@@ -56,12 +67,12 @@ def simhash(grams: str) -> Column:
     return F.expr(f"transform(array(array({votes})), v -> {bits})[0]")
 
 
-def similarity(a: Column, b: Column) -> tuple[Column, Column]:
-    """Sizes of the intersection and the union of two arrays as multisets."""
-    both = F.aggregate(
-        F.array_distinct(b), F.lit(0),
-        lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-    return both, F.size(a) + F.size(b) - both
+def similarity(a: Column, b: Column) -> Column:
+    """Size of the intersection of two arrays as multisets."""
+    common = F.array_intersect(a, b)
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    least = lambda g: F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g)))
+    return F.when(plain, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda s, g: s + least(g)))
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
@@ -83,7 +94,7 @@ def _places(rows: DataFrame, items: DataFrame, sizes: list[int], small: bool, pe
     """
     marks = items.select("n", F.explode("grams").alias("g"), F.least("n", F.lit(SIZE)).alias("k")).distinct()
     hint = F.broadcast if small else lambda x: x
-    each = reduce(DataFrame.unionByName, [rows.select("doc_id", "words", F.lit(k).alias("k"), F.posexplode(f"g{k}").alias("i", "g")) for k in sizes])
+    each = reduce(DataFrame.unionByName, [shingle_rows(rows, "w", k).select("doc_id", "words", F.lit(k).alias("k"), "i", "g") for k in sizes])
     hits = each.join(hint(marks), ["k", "g"]).groupBy("doc_id", "words", "n", "k").agg(F.sort_array(F.collect_set("i")).alias("p"))
     b = F.col("n") - F.col("k") + 1
     hits = hits.withColumn("b", b).withColumn("a", F.least(b, F.col("words") - F.col("k") + 1))
@@ -99,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_sma
     """doc_id, item_id, start (word of the best window), shared, total (shingles) of each document
     and benchmark item with a window of 100 * shared >= percent * total.
 
-    Items without words match nothing, nor do null, empty and white-space texts. Texts shorter than an item
+    Items without words match nothing, nor do null, empty and white-space texts; very long texts are taken whole. Texts shorter than an item
     are compared whole. Rows that repeat are reported once; rows with
     a null doc_id are not reported. Other columns are ignored; empty tables give no rows.
     """
@@ -107,12 +118,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_sma
     facts = items.agg(F.sum(F.size("grams")).alias("n"), F.collect_set(F.least("n", F.lit(SIZE))).alias("sizes")).first()
     sizes, small = sorted(facts.sizes) or [SIZE], (facts.n or 0) <= max_small
 
+    def word_rows(docs):
+        rows = docs.select("*", tokens(F.col("text").cast("string")).alias("w")).drop("text")
+        return rows.withColumn("words", F.size("w"))
+
     def gram_rows(docs):
-        rows = docs.select("*", tokens(F.col("text").cast("string")).alias("w"))
-        return rows.select(*[c for c in rows.columns if c not in ("text", "w")], F.size("w").alias("words"), *[shingles("w", k).alias(f"g{k}") for k in sizes])
+        rows = word_rows(docs)
+        return rows.select(*[c for c in rows.columns if c != "w"], *[shingles("w", k).alias(f"g{k}") for k in sizes])
 
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = _places(gram_rows(base), items, sizes, small, percent)
+    places = _places(word_rows(base), items, sizes, small, percent)
     found = gram_rows(base.join(places, "doc_id")).withColumn("s", F.explode("starts"))
     # texts of one doc_id may differ
     found = found.where(F.col("s.words") == F.col("words")).withColumn("start", F.explode("s.at")).withColumn("n", F.col("s.n"))
@@ -137,8 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_sma
     # a pair that agrees in several blocks is taken at the first of them
     first = F.expr("case " + " ".join(f"when {bits('apart', a, b)} = 0 then {k}" for k, (a, b) in enumerate(BLOCKS)) + " end")
     pairs = pairs.where((F.bit_count(apart) <= RADIUS) & (first == F.col("block")))
-    both, total = similarity(F.col("part"), F.col("grams"))
-    sure = pairs.select("doc_id", "item_id", "start", both.alias("shared"), F.size("part").alias("a"), F.size("grams").alias("b"))
+    sure = pairs.select("doc_id", "item_id", "start", similarity(F.col("part"), F.col("grams")).alias("shared"), F.size("part").alias("a"), F.size("grams").alias("b"))
     sure = sure.withColumn("total", F.col("a") + F.col("b") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
     # the likest window of each pair, the earlier of equal ones
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("q"), (-F.col("start")).alias("back"), "shared", "total")).alias("m"))
@@ -146,6 +160,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_sma
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that leak no benchmark item, unchanged."""
-    bad = leaks(docs, benchmark, percent).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that leak no benchmark item, unchanged; rows without doc_id are judged by their text."""
+    bad = leaks(docs, benchmark, percent).select("doc_id").distinct()
+    clean = docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.where("doc_id is null").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    if nameless.isEmpty():
+        return clean
+    bad = leaks(nameless, benchmark, percent).select(F.col("doc_id").alias("_mark")).distinct()
+    rest = docs.where("doc_id is null").withColumn("_mark", F.xxhash64("text")).join(bad, "_mark", "left_anti").select(*docs.columns)
+    return clean.where("doc_id is not null").unionByName(rest)
