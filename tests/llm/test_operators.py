@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat, decontaminate, fingerprints, lines, minhash, mixing, passages, pii, quality, urls
-from quillmark.llm.common import split_words
+from quillmark.llm.common import split_words, spread_join
 from quillmark.llm.components import components
 from quillmark.llm.fmindex import FmIndex
 
@@ -54,7 +54,7 @@ def brute_groups(rows, size, percent):
 def test_words_split_as_the_pattern_does():
     t = "a\x0bb\x0cc\x1cd e\u00a0f\r\n g"
     flat, at = split_words(pa.array([t, None, "", "  "]))
-    assert flat.to_pylist() == WORD.findall(t) and at.tolist() == [0, 6, 6, 6, 6] or flat.to_pylist() == WORD.findall(t)
+    assert flat.to_pylist() == WORD.findall(t) and at.tolist() == [0, 5, 5, 5, 5]
 
 
 def test_components(spark):
@@ -73,8 +73,10 @@ def test_near_duplicates(docs, corpus, size):
     assert {i: (len(s[i]), want[i], want[i] == i) for i in want} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
 
 
-def test_near_duplicates_of_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block", [8, 1024])
+def test_near_duplicates_of_a_large_group_of_near_copies(spark, block, monkeypatch):
     """Copies whose edits differ, some beyond the threshold from the first: the open search finds their links."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -88,6 +90,45 @@ def test_near_duplicates_of_a_large_group_of_near_copies(spark):
     assert got == want
 
 
+def test_spanning_links_join_what_links_join():
+    """Chains and cliques of sets: as many links as components joined, and the same components as all pairs give."""
+    rng = random.Random(11)
+    for _ in range(30):
+        sets, at = [], set(range(40))
+        for k in range(25):
+            at = set(range(1000 * k, 1000 * k + 40)) if rng.random() < 0.3 else (at - set(rng.sample(sorted(at), 3))) | {5000 + 97 * k + i for i in range(3)}
+            sets.append(np.array(sorted(at), np.uint64))
+        comp = np.array([rng.randrange(25) for _ in sets])
+        asks = np.array([i for i in range(25) if rng.random() < 0.6] or [0])
+        told = np.arange(25)
+        got = minhash.spanning_links(np.arange(25), comp, asks, told, sets, 80)
+        pairs = [(i, j) for i in asks.tolist() for j in told.tolist() if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        old = [(i, int(np.flatnonzero(comp == comp[i])[0])) for i in range(25)]
+        assert groups(range(25), old + [(int(a), int(b)) for a, b in got]) == groups(range(25), old + pairs)
+        assert len(got) == len(set(groups(range(25), old).values())) - len(set(groups(range(25), old + pairs).values()))
+
+
+def test_hot_keys_are_dealt_out(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, i long")
+    right = spark.createDataFrame([(i, 2 * i) for i in range(200)], "k long, v long")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        want = sorted(left.join(right, "k", how).collect(), key=str)
+        assert sorted(spread_join(left, right, ["k"], counts, ["i"], how, least=10).collect(), key=str) == want
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Sets at a similarity of 0.8 share a band: all of 400 pairs."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sets = []
+        for _ in range(20):
+            h = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+            sets += [h[:900], np.concatenate([h[100:900], h[900:1000]])]
+        key, full = minhash.band_keys(minhash.registers([np.sort(x) for x in sets]))
+        assert all(((key[k] == key[k + 1]) & full[k]).any() for k in range(0, len(sets), 2))
+
+
 def test_near_duplicates_edge_rows(spark, nothing):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (3, None)]
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("x"))).collect()
@@ -107,9 +148,28 @@ def test_register_estimate_is_close():
         assert used[0] == minhash.BUCKETS and abs(est[0] - true) < 4 * math.sqrt(true * (1 - true) / minhash.BUCKETS) + 0.02
 
 
-def test_fingerprints(docs, corpus, nothing):
-    got = {r.doc_id: r for r in fingerprints.imatch(docs, low=0.02, high=0.5).collect()}
+def brute_imatch(texts, low, high):
+    """Fingerprint of a text from md5s of its terms in the band, whole and by randomly drawn lexica."""
+    words_of = lambda t: set(WORD.findall(lower(t or "")))
+    df = Counter(w for t in texts for w in words_of(t))
+    lex = {w for w, n in df.items() if max(2, low * len(texts)) <= n <= high * len(texts)}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+
+    def of(t):
+        h = sorted(md5(w) for w in (words_of(t) & lex or words_of(t)))
+        sets = [h, *[[x for x in h if x[k - 1 : k - 1 + len(m)] < m] for k, m in fingerprints.SUBSETS]]
+        return ".".join(md5(" ".join(x))[:8] if x else "-" for x in sets)
+
+    return of
+
+
+@pytest.mark.parametrize("max_inline", [0, 50_000])
+def test_fingerprints(docs, corpus, nothing, max_inline):
+    got = {r.doc_id: r for r in fingerprints.imatch(docs.withColumn("mine", F.lit("x")), low=0.02, high=0.5, max_inline=max_inline).collect()}
     order = sorted(corpus)
+    of = brute_imatch([t for _, t in corpus], 0.02, 0.5)
+    for i, t in corpus:
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (of(t), of(got[i].edited))
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         h = len(t) // 2
@@ -122,6 +182,13 @@ def test_fingerprints(docs, corpus, nothing):
     assert fingerprints.imatch(nothing).count() == 0
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c d"), (None, "e f"), (2, "a b")]
+    out = fingerprints.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(i), t) for i, t in rows)
+    assert len({r.fingerprint for r in out if r.text == "a b"}) == 1
+
+
 def test_successors_across_ranges(spark):
     ids = [k * k for k in range(100)]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
