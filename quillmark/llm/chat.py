@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import small_batches
 
+#: Characters of text after which a batch of windows is passed on.
+BATCH_CHARS = 1 << 20
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 BACK = {"amp": "&", "lt": "<", "nl": "\n"}
@@ -34,22 +36,25 @@ def unescape(text: str) -> str:
     return re.sub(r"&(amp|lt|nl);", lambda m: BACK[m[1]], text)
 
 
-def counter(vocabulary: str | None):
-    """Token count of a text: byte-pair ranks from the file, else pieces of words and marks."""
+def counter(vocabulary: bytes | None):
+    """Token count of a text: by byte-pair ranks, else pieces of words and marks."""
     if vocabulary is None:
         piece = re.compile(r"\w{1,6}|[^\w\s]")
         return lambda text: len(piece.findall(text)) + 1
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     code = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(code.encode_ordinary(text)) + 4  # marks and role
 
 
 def windows_of(turns, count, budget: int, history: int):
-    """Windows of one conversation's (role, text) turns in order: (context, new turns, tokens)."""
+    """Windows of one conversation's (role, text) turns in order: (context, new turns, tokens).
+
+    Tokens stay within the budget, but for a turn that alone exceeds it and stands alone. The system turn is
+    repeated wherever it fits beside the next turn.
+    """
     system, recent, kept = None, deque(), 0
     context, new, used = [], [], 0
     for role, text in turns:
@@ -57,10 +62,11 @@ def windows_of(turns, count, budget: int, history: int):
         if new and used + cost > budget:
             yield context, new, used
             new = []
-            room = min(history, budget - cost - (system[2] if system else 0))
+            lead = [system] if system and system[2] + cost <= budget else []
+            room = min(history, budget - cost - sum(t[2] for t in lead))
             while recent and kept > room:
                 kept -= recent.popleft()[2]
-            context = [system] * bool(system) + list(recent)
+            context = lead + list(recent)
             used = sum(t[2] for t in context)
         turn = (role, text, cost)
         new.append(turn)
@@ -100,8 +106,10 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 192, vocab
 
     Turns are ordered by turn, then role and text, so that ties and repeated rows have one
     order. Null roles and texts count as empty. A null conv_id is a conversation of its own.
-    A turn that alone exceeds the budget gets a window without history, whole. Sorted rows are
-    streamed: a task holds one window, not one conversation. Other columns are ignored.
+    A turn that alone exceeds the budget gets a window without context, whole; a system turn that does
+    not fit beside the next turn is left out of that window. An empty table gives no rows. ``vocabulary``: path of a
+    byte-pair rank file that the driver reads; without one, tokens are counted by a pattern. Sorted rows are
+    streamed: a task holds some windows, not one conversation. Other columns are ignored.
     """
     small_batches(turns.sparkSession)
     fields = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")]
@@ -109,15 +117,23 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 192, vocab
     rows = turns.select(*fields).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    names = ["conv_id", "window", "n_context", "tokens", "text", "loss"]
+    types = [pa.int64()] * 4 + [pa.string(), loss_type]
+    # read here once and shipped: executors need not see the file
+    ranks = turns.sparkSession.read.format("binaryFile").load(vocabulary).first().content if vocabulary else None
+
     def work(batches):
-        count = counter(vocabulary)
+        count, held, chars = counter(bytes(ranks) if ranks else None), [], 0
         for conv, group in _runs(batches, "conv_id"):
             for k, (context, new, used) in enumerate(windows_of(((r["role"], r["text"]) for r in group), count, budget, history)):
                 text, loss = render(context, new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([conv], pa.int64()), pa.array([k], pa.int64()), pa.array([len(context)], pa.int64()), pa.array([used], pa.int64()),
-                     pa.array([text]), pa.array([[{"start": a, "end": b} for a, b in loss]], loss_type)],
-                    names=["conv_id", "window", "n_context", "tokens", "text", "loss"])
+                held.append((conv, k, len(context), used, text, [{"start": a, "end": b} for a, b in loss]))
+                chars += len(text)
+                if chars > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+                    held, chars = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
     return rows.mapInArrow(work, "conv_id long, window long, n_context long, tokens long, text string, loss array<struct<start:long,end:long>>")
 

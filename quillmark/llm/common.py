@@ -20,8 +20,9 @@ SLICE_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
-    """Array of the words of a text; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    """Array of the words of a text; null and empty texts have none. Blanks alone need no pattern."""
+    text = F.coalesce(text, F.lit(""))
+    return F.array_remove(F.when(text.rlike(r"[\x09-\x0D]"), F.split(text, SPACE)).otherwise(F.split(text, " ")), "")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -39,7 +39,7 @@ def tokens(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     plain = F.octet_length(text) == F.char_length(text)
     low = F.lower(text)
-    return F.filter(F.when(plain, F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, r"[^\p{L}\p{N}]+")), lambda w: w != "")
+    return F.array_remove(F.when(plain, F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, r"[^\p{L}\p{N}]+")), "")
 
 
 def shingle_rows(rows: DataFrame, w: str, size: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, on built-in functions only.
 
 A line is removed if an earlier line (by doc_id, then place) lies within the edit bound: one
-word inserted, deleted or replaced for lines of NEAR or more words, none for shorter ones.
+word inserted, deleted or replaced (an edit distance of one, in words) for lines of NEAR or more words,
+none for shorter ones, of which one word is too large a part. Lines of every length take part; only blank ones stay.
 For every eligible line all variants with one word left out are emitted as hashed keys, and
 the line itself at each place where another may have one word more; lines that share a key are within the
 bound. The earliest line of a key speaks for it, so a key's group is never paired out.
@@ -21,8 +22,8 @@ from pyspark.sql import Window as W
 
 from quillmark.llm.common import cut, words
 
-#: Lines of fewer words are compared exactly; lines of fewer than LEAST characters always stay.
-NEAR, LEAST = 8, 12
+#: Lines of fewer words are compared exactly; lines of fewer than LEAST characters, here the blank ones, always stay.
+NEAR, LEAST = 8, 1
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -47,15 +48,15 @@ def _line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
     return at.select("doc_id", "line_no", words(F.trim(F.element_at("all", F.col("line_no") + 1))).alias("w"))
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, near_words: int = NEAR, least: int = LEAST) -> DataFrame:
     """Places (doc_id, line_no) of eligible lines, and whether each stays: first (its exact line's
     earliest place), near (an earlier line within one edit)."""
     at = F.struct(F.col("doc_id"), F.col("line_no"))
     line = F.trim(F.col("line"))
-    eligible = _numbered(docs).where(F.length(line) >= LEAST).select("doc_id", "line_no", line.alias("line"))
+    eligible = _numbered(docs).where(F.length(line) >= least).select("doc_id", "line_no", line.alias("line"))
     hashed = eligible.select(
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), at.alias("at"), words(F.col("line")).alias("w"))
-    hashed = hashed.select("h1", "h2", "at", F.when(F.size("w") >= NEAR, _halves(F.col("w"), F.size("w"))).alias("halves"))
+    hashed = hashed.select("h1", "h2", "at", F.when(F.size("w") >= near_words, _halves(F.col("w"), F.size("w"))).alias("halves"))
     firsts = cut(
         hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves")))
     halves = firsts.where("halves is not null").select("h1", "at", F.explode("halves").alias("half"))
@@ -103,20 +104,21 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return kept.select("doc_id", "line_no", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = NEAR, least: int = LEAST) -> DataFrame:
     """All columns of ``docs`` with ``text`` without its repeated lines, and n_lines, n_removed.
 
-    Lines end at line feeds and are compared without outer blanks. Lines of fewer than LEAST characters,
-    blank lines among them, always stay. Null texts count as empty, keep none and come back as null.
+    Lines end at line feeds and are compared without outer blanks. Lines of fewer than ``least`` characters
+    (blank ones) always stay; lines of ``near_words`` or more go also if an earlier one is within one word. Very long texts
+    and lines are taken whole. Null texts count as empty, keep none and come back as null.
     A doc_id should be unique: of rows that share one, the lines at equal places share a fate (and with a null id no
     line is removed). An empty table gives no rows. Input columns named n_lines or n_removed are replaced.
     """
     had = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     core = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    stay = near_lines(core).where("not near").groupBy("doc_id").agg(F.collect_set("line_no").alias("stay"))
+    stay = near_lines(core, near_words, least).where("not near").groupBy("doc_id").agg(F.collect_set("line_no").alias("stay"))
     # the input's own columns travel in one struct, whatever their names
     tagged = docs.select("doc_id", F.struct(*had).alias("row")).join(stay, "doc_id", "left").withColumn("lines", F.split(F.col("row.text"), "\n"))
-    ok = lambda x, i: (F.length(F.trim(x)) < LEAST) | F.col("doc_id").isNull() | F.coalesce(F.array_contains("stay", i), F.lit(False))
+    ok = lambda x, i: (F.length(F.trim(x)) < least) | F.col("doc_id").isNull() | F.coalesce(F.array_contains("stay", i), F.lit(False))
     tagged = tagged.withColumn("left", F.filter("lines", ok))
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     return tagged.select(

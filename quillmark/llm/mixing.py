@@ -5,19 +5,22 @@ from patterns to sources: a pattern offers its words once at cost 0, again at co
 time at cost 2 (repetition grows dearer), a source takes its quota. Documents of a pattern
 are then taken in seeded order until the pattern's flow is used up.
 
-Scale: the driver sees one row per pattern, never documents (more than MAX_PATTERNS is an
-error). A pattern's seeded order is dealt into BINS hash bins whose sums tell whole bins in
+Scale: up to MAX_PATTERNS patterns are solved on the driver, which never sees documents. Beyond that
+targets come from rounds over the table of sources, and each set of sources that patterns
+connect is solved by itself in a task. A pattern's seeded order is dealt into BINS hash bins whose sums tell whole bins in
 or out; only the rows of the one bin where the flow ends are sorted, so a source with a third
 of all documents is neither collected nor sorted.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmark.llm.common import cut, words
+from quillmark.llm.components import components
 
 WEIGHTS, MAX_COPIES, BINS, MAX_PATTERNS = (5, 2, 1), 3, 4096, 200_000
 
@@ -110,18 +113,70 @@ def route(supply: dict[tuple, int], quota: dict, copies: int = MAX_COPIES) -> di
     return taken
 
 
+PLAN = "pattern array<string>, source_size long, target double, rounds long, rest long"
+
+
+def rounds_of(n: int, got: int, copies: int) -> tuple[int, int]:
+    """How often a pattern of n words is taken whole, and the words of its last, partial round."""
+    return (min(copies, got // n), got % n if got < copies * n else 0) if n else (0, 0)
+
+
+def _targets_apart(sizes: DataFrame, total: int, weights, copies: int) -> DataFrame:
+    """source, n, target: as ``targets``, in rounds over the table of sources. Only their names are numbered in one task."""
+    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    open_ = cut(sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))))
+    left, done = float(total), None
+    while True:
+        w = open_.agg(F.sum("w").alias("w")).first().w
+        if not w:
+            return done
+        full = F.lit(left / w) * F.col("w") > copies * F.col("n")
+        capped = cut(open_.where(full).select("source", "n", (copies * F.col("n")).cast("double").alias("target")))
+        if capped.isEmpty():
+            last = open_.select("source", "n", (F.lit(left / w) * F.col("w")).alias("target"))
+            return last if done is None else done.unionByName(last)
+        left -= capped.agg(F.sum("target").alias("t")).first().t
+        done, open_ = capped if done is None else done.unionByName(capped), cut(open_.where(~full))
+
+
+def _plan_apart(seen: DataFrame, weights, copies: int) -> DataFrame:
+    """The plan, solved for each set of sources that patterns connect in a task of its own."""
+    spark = seen.sparkSession
+    each = seen.select("pattern", "n", F.explode("pattern").alias("source"))
+    sizes = cut(each.groupBy("source").agg(F.sum("n").alias("n")))
+    want = cut(_targets_apart(sizes, seen.agg(F.sum("n").alias("n")).first().n, weights, copies).withColumnRenamed("n", "whole"))
+    node = F.xxhash64(F.col("source").isNull(), "source")
+    links = each.select(F.xxhash64(F.get("pattern", F.lit(0)).isNull(), F.get("pattern", F.lit(0))).alias("a"), node.alias("b")).where("a <> b")
+    part = components(links).withColumnRenamed("component", "part")
+    held = each.withColumn("node", node).join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    held = held.join(want, held.source.eqNullSafe(want.source)).drop(want.source)
+
+    def solve(pdf):
+        none = lambda s: None if s is None or s != s else s
+        supply, quota, whole = {}, {}, {}
+        for pattern, n, s, target, size in zip(pdf.pattern, pdf.n, pdf.source, pdf.target, pdf.whole):
+            supply[tuple(map(none, pattern))] = n
+            quota[none(s)], whole[none(s)] = target, size
+        got = route(supply, {s: round(t) for s, t in quota.items()}, copies)
+        return pd.DataFrame([(list(p), sum(whole[s] for s in p), sum((quota[s] for s in p), 0.0), *rounds_of(n, got[p], copies)) for p, n in supply.items()],
+                            columns=["pattern", "source_size", "target", "rounds", "rest"])
+
+    empty = seen.where("size(pattern) = 0").select("pattern", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("rounds"), F.lit(0).cast("long").alias("rest"))
+    return held.groupBy("part").applyInPandas(solve, PLAN).unionByName(empty)
+
+
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def mix(docs: DataFrame, members: Column | None = None, size: Column | None = None, weights=WEIGHTS, copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, members: Column | None = None, size: Column | None = None, weights=WEIGHTS, copies: int = MAX_COPIES, seed: int = 0, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``.
 
     ``members`` is the array of sources of a row (by default its one ``source``, which may be
     null), ``size`` its words. A document is taken whole, as often as its pattern's flow goes
     round; the one on which a pattern's flow ends is taken in part, so that each source gets its
     target to the word. With several sources, source_size and target are sums over them. Null and empty
-    texts have size 0 and are never taken. Rows with equal doc_id are ordered by a hash of the row. Reruns agree.
+    texts have size 0 and are never taken; very long ones count whole. A null doc_id is an id like others. Rows with equal doc_id are ordered by a hash of the row. Reruns agree.
     """
     members = F.array(F.col("source").cast("string")) if members is None else members
     size = n_words(F.col("text")) if size is None else size
@@ -131,19 +186,19 @@ def mix(docs: DataFrame, members: Column | None = None, size: Column | None = No
             F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.xxhash64(F.col("text") if "text" in docs.columns else F.lit(0)).alias("tie"))
         .withColumn("bin", F.pmod("h", F.lit(BINS)).cast("int"))
     )
-    seen = rows.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(seen) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    supply = {tuple(r.pattern): r.n for r in seen}
-    sizes: dict = {}
-    for p, n in supply.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    want = targets(sizes, weights, copies, sum(supply.values()))
-    got = route(supply, {s: round(t) for s, t in want.items()}, copies)
-    plan = rows.sparkSession.createDataFrame(
-        [(list(p), sum(sizes[s] for s in p), sum(want[s] for s in p), min(copies, got[p] // n) if n else 0, got[p] % n if n and got[p] < copies * n else 0) for p, n in supply.items()],
-        "pattern array<string>, source_size long, target double, rounds long, rest long")
+    seen = cut(rows.groupBy("pattern").agg(F.sum("size").alias("n")))
+    if seen.count() > max_patterns:
+        plan = _plan_apart(seen, weights, copies)
+    else:
+        supply = {tuple(r.pattern): r.n for r in seen.collect()}
+        sizes: dict = {}
+        for p, n in supply.items():
+            for s in p:
+                sizes[s] = sizes.get(s, 0) + n
+        want = targets(sizes, weights, copies, sum(supply.values()))
+        got = route(supply, {s: round(t) for s, t in want.items()}, copies)
+        plan = rows.sparkSession.createDataFrame(
+            [(list(p), sum(sizes[s] for s in p), sum((want[s] for s in p), 0.0), *rounds_of(n, got[p], copies)) for p, n in supply.items()], PLAN)
     bins = rows.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
     bins = bins.select("pattern", "bin", "n", (F.sum("n").over(W.partitionBy("pattern").orderBy("bin")) - F.col("n")).alias("before"))
     bins = bins.join(plan, "pattern").withColumn("part", F.expr("before < rest and before + n > rest"))

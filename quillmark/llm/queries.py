@@ -38,20 +38,12 @@ def op4_urls(spark, sf_dir):
     return urls.filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score", "cut_score")
 
 
-def vocabulary() -> str | None:
-    """The byte-pair ranks of the installed public vocabularies, where there are any."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return None
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-
-
-def op5_chat(spark, sf_dir):
+def op5_chat(spark, sf_dir, vocabulary=None):
+    """``vocabulary``: path of a byte-pair rank file; without one, tokens are counted by a pattern."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = turns.sparkSession.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(turns.unionByName(extra), vocabulary=vocabulary()))
+    return chat.read_back(chat.format_chats(turns.unionByName(extra), vocabulary=vocabulary))
 
 
 def op6_passages(spark, sf_dir):

@@ -37,9 +37,9 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def matching(host: Column, path: Column, rules) -> tuple[Column, Column]:
-    """Name and verdict of the longest rule whose host and path fit; null without one."""
+    """Name and verdict of the longest rule whose host and path fit, the earlier listed of equally long ones; null without one."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for said, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(said)).otherwise(verdict)
     return name, verdict

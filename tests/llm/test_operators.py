@@ -304,7 +304,25 @@ def test_chat_round_trip(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for w in wins.collect():
         n = len(chat.TURN.findall(w.text))
-        assert n > w.n_context and (w.tokens <= 60 or n - w.n_context == 1)
+        assert n > w.n_context and (w.tokens <= 60 or (n, w.n_context) == (1, 0))
+    assert chat.format_chats(wins.where("false").selectExpr("conv_id", "window as turn", "text as role", "text")).count() == 0
+
+
+def test_chat_budget_holds_beside_a_large_system_turn():
+    """The window of a turn that fits alone, but not with the system turn, goes without it."""
+    turns = [("system", "s" * 40), ("user", "u" * 10), ("assistant", "a" * 40), ("user", "v" * 15)]
+    got = list(chat.windows_of(turns, len, 60, 20))
+    assert [(len(c), [t[0][0] for t in n], used) for c, n, used in got] == [(0, ["s", "u"], 50), (1, ["a"], 50), (1, ["u"], 55)]
+    assert [c[0][0] for c, _, _ in got[1:]] == ["user", "system"]
+
+
+def test_url_rules_of_equal_length(spark):
+    row = spark.createDataFrame([(1, "http://a.com/x/y")], "page_id long, url string")
+    rules = [("block", "com", "/x/"), ("allow", "a.com", "/")]
+    for order in (rules, rules[::-1]):
+        host, path = urls.host_path(F.col("url"))
+        name, verdict = urls.matching(host, path, order)
+        assert row.select(name.alias("n"), verdict.alias("v")).first() == (order[0][1] + order[0][2], order[0][0])
 
 
 def test_fm_index_matches_plain_search():
@@ -350,6 +368,39 @@ def test_targets_and_routes():
     assert mixing.route({("a",): 10}, {"a": 100}) == {("a",): 30}
 
 
+def test_routes_are_cheapest():
+    """Against all splits of small supplies: as many words as fit, at the least cost of repetition."""
+    import itertools
+
+    rng = random.Random(9)
+    cost = lambda n, t: sum(max(0, t - k * n) for k in (1, 2))
+    for _ in range(25):
+        supply = {p: rng.randrange(1, 4) for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("c",)], 3)}
+        quota = {s: rng.randrange(0, 6) for s in "abc"}
+        got = mixing.route(supply, quota)
+        best = None
+        for flows in itertools.product(*[[f for f in itertools.product(range(3 * n + 1), repeat=len(p)) if sum(f) <= 3 * n] for p, n in supply.items()]):
+            taken = Counter()
+            for p, f in zip(supply, flows):
+                for s, x in zip(p, f):
+                    taken[s] += x
+            if all(taken[s] <= quota[s] for s in quota):
+                key = (-sum(map(sum, flows)), sum(cost(n, sum(f)) for n, f in zip(supply.values(), flows)))
+                best = key if best is None else min(best, key)
+        assert (-sum(got.values()), sum(cost(n, got[p]) for p, n in supply.items())) == best
+
+
+def test_mixing_of_overlapping_sources_apart_and_on_the_driver(spark):
+    rng = random.Random(10)
+    names = [None, *"abcdefgh"]
+    rows = [(i, sorted(rng.sample(names[: 4] if i % 2 else names[4:], rng.randrange(1, 3)), key=str), rng.randrange(0, 30)) for i in range(200)] + [(500, [], 5)]
+    df = spark.createDataFrame(rows, "doc_id long, held array<string>, words long")
+    runs = [sorted(mixing.mix(df, F.col("held"), F.col("words"), max_patterns=m).collect()) for m in (0, 1000)]
+    assert [(r.doc_id, r.size, r.source_size, r.taken) for r in runs[0]] == [(r.doc_id, r.size, r.source_size, r.taken) for r in runs[1]]
+    assert all(abs(a.target - b.target) < 1e-6 for a, b in zip(*runs))
+    assert all(0 <= r.taken <= 3 * r.size for r in runs[0]) and sum(r.taken for r in runs[0]) > 0
+
+
 def test_mixing(docs, corpus, nothing):
     rows = mixing.mix(docs).collect()
     size = {i: len(WORD.findall(t or "")) for i, t in corpus}
@@ -407,6 +458,14 @@ def test_lines(spark, docs, corpus, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 12])
+def test_short_lines(spark, least):
+    rows = [(1, "ok\n\nshort one\nand a line of more length"), (2, "short one\n\nok\nfine"), (2, "short one"), (3, "and a line of more length")]
+    got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect())
+    want = [(1, rows[0][1]), (2, "\nfine"), (2, ""), (3, "")] if least == 1 else [(1, rows[0][1]), (2, rows[1][1]), (2, rows[2][1]), (3, "")]
+    assert got == sorted(want)
+
+
 def test_lines_keep_other_columns(spark):
     df = spark.createDataFrame([(1, "the same long line here", "x"), (2, "the same long line here\nand another line of its own", "y"), (None, "the same long line here", "z")], "doc_id long, text string, stay string")
     got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
@@ -480,6 +539,15 @@ def test_decontamination(spark, corpus, nothing, max_small):
         assert decontaminate.leaks(spark.createDataFrame(rows[:3], "doc_id long, text string"), b.where("false")).count() == 0
 
 
+def test_texts_without_id_are_screened(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [(1, item, "a"), (2, "clean words only in this one here", "b"), (None, "so " + item, "c"), (None, "clean too", "d"), (None, None, "e"), (2, "clean words", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    bench = spark.createDataFrame([(7, item), (7, item), (None, "clean too")], "item_id long, text string").withColumn("n", F.lit(1))
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.start for r in kept.collect()) == ["b", "d", "e", "f"]
+
+
 @pytest.mark.parametrize("max_small", [1_000_000, 0])
 def test_decontamination_of_reordered_items(spark, max_small):
     """Items whose first words or sentence stand at their end, inside longer texts."""
