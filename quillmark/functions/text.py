@@ -16,6 +16,8 @@ EMPTY_VALUES = ("", "null", "none", "n/a")
 LEADER = r"[.·•_‐-―\-]{3,}"
 #: Fixed value: a code point that renderers use for an apostrophe, folded by hand.
 STRAY_APOSTROPHE = ("\u11b1", "'")
+#: Characters that fold to several: the ellipsis, fractions, trade and number signs.
+SEVERAL = "\u2026\u2025\u00bc\u00bd\u00be\u2122\u2116\u2120"
 BREAK = "\u0001"
 
 
@@ -27,7 +29,7 @@ def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
         to = unicodedata.normalize("NFKC", c)
         if to != c and len(to) == 1:
             one[c] = to
-        elif "\ufb00" <= c <= "\ufb06":
+        elif "\ufb00" <= c <= "\ufb06" or c in SEVERAL:
             many.append((c, to))
     return "".join(one), "".join(one.values()), many
 
@@ -40,16 +42,22 @@ def squeeze(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """Form in which quotes and pages are compared."""
     source, target, many = _foldings()
-    c = F.translate(c, source, target)
+    folded = F.translate(c, source, target)
     for a, b in many:
-        c = F.replace(c, F.lit(a), F.lit(b))
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    # nothing folds in plain ASCII
+    c = F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
     return squeeze(F.regexp_replace(c, LEADER, " "))
 
 
+#: What parts the segments of a quote, and a sentence's end before a capital or a bracket.
+PARTS, SENTENCE = r"[\n;]+|\.\.\.+|…", r"([.:!?])\s+([A-Z(])"
+
+
 def segments(c: Column, least: int = 18) -> Column:
     """Separately checkable parts of a quote: lines, list items, sentences, what ellipses part."""
-    marked = F.regexp_replace(c, r"[\n;]+|\.\.\.+|…", BREAK)
-    marked = F.regexp_replace(marked, r"([.:!?])\s+([A-Z(])", f"$1{BREAK}$2")
+    marked = F.regexp_replace(c, PARTS, BREAK)
+    marked = F.regexp_replace(marked, SENTENCE, f"$1{BREAK}$2")
     return F.filter(F.transform(F.split(marked, BREAK), normalise), lambda s: F.length(s) >= least)
 
 
@@ -103,6 +111,17 @@ def is_content(c: Column) -> Column:
     return c.isNotNull() & ~F.lower(F.trim(c)).isin(*EMPTY_VALUES)
 
 
+def has_content(text: Column, items: Column, members: Column) -> Column:
+    """As ``is_content`` for texts; a list needs an item with content, a map a member."""
+    listed = F.exists(items, lambda x: is_content(x))
+    return F.coalesce(is_content(text), F.lit(False)) | F.coalesce(listed, F.lit(False)) | F.coalesce(F.cardinality(members) > 0, F.lit(False))
+
+
+def truthy(c: Column) -> Column:
+    """Any text but the empty one is true; null is not."""
+    return F.coalesce(c != "", F.lit(False))
+
+
 def question_tokens(c: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("?"), F.lit("")), r"\s+", " ")), " "), lambda w: ~w.isin(*STOP_WORDS) & (w != ""))
 

@@ -28,6 +28,11 @@ def prepared_pages(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", T.normalise(F.col("text")).alias("hay"))
 
 
+def quoted(pages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The pages of documents that quotes cite; no others are normalised."""
+    return pages.join(quotes.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def exact_pages(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """key, found_on_page of quotes that a page holds word for word."""
     at = quotes.where("checkable").select(*key, "page", "needle").join(pages, "doc_id").where(F.instr(F.col("hay"), F.col("needle")) > 0)
@@ -65,7 +70,7 @@ def pair_scores(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFram
 
 def verify(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """quotes plus found_on_page, exact, best_score, status. ``key`` names a quote and holds doc_id."""
-    q, p = prepared_quotes(quotes), prepared_pages(pages)
+    q, p = prepared_quotes(quotes), prepared_pages(quoted(pages, quotes))
     exact = exact_pages(q, p, key)
     open_ = q.where("checkable").join(exact, key, "left_anti")
     on_page = page_scores(open_, p, key).withColumn("score", F.greatest("fuzzy", "coverage"))
@@ -96,3 +101,10 @@ def rates(verified: DataFrame, by: list[str]) -> DataFrame:
 
 def flags(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("status").isin("unverified", "no_quote"))
+
+
+def rescored(stored: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+    """key, before, after, changed: the stored status of each quote, and that of a new verification."""
+    old = stored.withColumnRenamed("status", "before")
+    new = verify(old, pages, key).withColumnRenamed("status", "after")
+    return new.select(*key, "before", "after", (F.col("before") != F.col("after")).alias("changed"))

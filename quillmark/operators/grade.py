@@ -69,3 +69,14 @@ def with_truth(truth: DataFrame, answers: DataFrame) -> DataFrame:
 def cached(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a stored verdict, and those still to be judged."""
     return rows.join(cache, "key"), rows.join(cache, "key", "left_anti")
+
+
+def share(c: Column) -> Column:
+    """A stated coverage, held between 0 and 1; null is none."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
+
+
+def diagnostics(graded: DataFrame) -> DataFrame:
+    """Everything that is not correct, with truth and answer side by side, the worst first."""
+    order = F.when(F.col("verdict") == "missing", 0).when(F.col("verdict") == "wrong", 1).otherwise(2)
+    return graded.where("verdict <> 'correct'").withColumn("severity", order)

@@ -98,3 +98,35 @@ def select_pages(pages: DataFrame, fields: DataFrame, keywords: DataFrame, field
         order = w.orderBy(F.col("keep").desc(), F.coalesce("priority", F.lit(999)), "page_no")
         chosen = chosen.withColumn("place", F.row_number().over(order)).withColumn("kept", F.count_if("keep").over(w)).where((F.col("place") <= cap) | F.col("keep"))
     return chosen.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_set("page_no")).alias("pages"))
+
+
+def question_pages(questions: DataFrame, pages: DataFrame, question_vectors: DataFrame, page_vectors: DataFrame, by: list[str], k: int = PER_FIELD) -> DataFrame:
+    """doc_id, *by, page_no, score, rank: the best pages of a document for each question put to it.
+
+    ``questions``: doc_id, *by, ws (its words). Word hits and cosine are fused; a document or question without
+    vectors is ranked by words alone. Questions meet the pages of their own document only.
+    """
+    at = pages.where(F.trim("text") != "").select("doc_id", "page_no", F.lower("text").alias("t")).join(questions.where(F.size("ws") > 0), "doc_id")
+    hits = lambda w: F.floor((F.length("t") - F.length(F.replace(F.col("t"), w, F.lit("")))) / F.length(w))
+    words = at.select("doc_id", *by, "page_no", F.aggregate("ws", F.lit(0.0), lambda s, w: s + F.least(hits(w), F.lit(HITS))).alias("score")).where("score > 0")
+    near = page_vectors.join(question_vectors, "doc_id").select("doc_id", *by, "page_no", cosine(F.col("v"), F.col("q")).alias("score"))
+    return top(fused(ranked(near, by), ranked(words, by), by), k)
+
+
+def cluster_subset(rows: DataFrame, fields: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows of the wanted clusters; a name that no field has is an error."""
+    known = {r.cluster for r in fields.select("cluster").distinct().collect()}  # a dimension of a few rows
+    if unknown := sorted(set(wanted) - known):
+        raise ValueError(f"unknown clusters: {', '.join(unknown)}")
+    return rows.where(F.col("cluster").isin(*wanted))
+
+
+def shown_pages(selected: DataFrame, pages: DataFrame, modality: str, full_text: bool = False, cap: int = CAP) -> DataFrame:
+    """doc_id, cluster, page_no: text may take every page; pictures are held to ``cap`` pages, the lowest numbers first."""
+    rows = selected.select("doc_id", "cluster", F.explode("pages").alias("page_no"))
+    if modality == "text" and full_text:
+        return selected.select("doc_id", "cluster").join(pages.select("doc_id", "page_no"), "doc_id")
+    if modality == "vision":
+        w = W.partitionBy("doc_id", "cluster").orderBy("page_no")
+        rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap).drop("place")
+    return rows

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import evidence
 
+SEVERITIES = ("critical", "high", "medium", "low")
+
 
 def verified_findings(sources: DataFrame, pages: DataFrame) -> DataFrame:
     """finding_id, sources: findings of which at least one quote stands in its document."""
@@ -40,8 +42,8 @@ def weights_off(rows: DataFrame, by: str, weight: str, total: float = 100.0) ->
 
 
 def several_contacts(docs: DataFrame) -> DataFrame:
-    """doc_id, n of documents that name more than one address."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0)))
+    """doc_id, n of documents that name more than one mail address or site."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|https?://[a-z0-9.-]+"), F.lit(0)))
     return docs.select("doc_id", F.size(found).alias("n")).where("n > 1")
 
 
@@ -51,3 +53,17 @@ def undefined_acronyms(docs: DataFrame) -> DataFrame:
     all_ = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("acronym"))
     known = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\(([A-Z]{3,6})\)"), F.lit(1))).alias("acronym")).distinct()
     return all_.join(known, ["doc_id", "acronym"], "left_anti")
+
+
+def finding_filter(findings: DataFrame, severity: str | None = None, category: str | None = None) -> DataFrame:
+    """Findings of a severity and a category, where these are set."""
+    for name, value in (("severity", severity), ("category", category)):
+        if value is not None:
+            findings = findings.where(F.col(name) == value)
+    return findings
+
+
+def finding_counts(findings: DataFrame, by: list[str]) -> DataFrame:
+    """Totals by severity, and the findings that are only potential."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    return findings.groupBy(*by).agg(F.count("*").alias("total"), *[n(s) for s in SEVERITIES], F.count_if("potential").alias("potential"))

@@ -61,3 +61,10 @@ REASONS = {"verified": "low confidence", "wrong_page": "found on another page",
 def review_reason(status: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
     return F.coalesce(F.element_at(table, F.coalesce(status, F.lit(""))), F.lit("manual review"))
+
+
+def nested_accuracy(graded: DataFrame, outer: str, inner: str) -> DataFrame:
+    """outer, breakdown: a map from each inner value to its counts and accuracy."""
+    rows = verdict_counts(graded, [outer, inner])
+    entry = F.struct(inner, F.struct("correct", "total", "accuracy"))
+    return rows.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("breakdown"))

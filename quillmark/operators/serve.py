@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 #: Cuts of page text for one block and for all pages, and the total.
 PAGE_CUT, SHORT_CUT, TOTAL_CUT, TURNS = 12_000, 3_000, 100_000, 6
+#: Fixed value: characters of a page that its vector is made from.
+EMBED_CUT = 8_000
 MARK = "\n[... page truncated ...]"
 
 
@@ -55,3 +57,40 @@ def comparable(kind: Column, present: Column, text: Column, items: Column) -> Co
     """Form in which backends are held against each other."""
     body = F.when(kind == "list", F.array_join(F.array_sort(F.transform(items, lambda x: F.lower(x))), " | ")).otherwise(F.lower(text))
     return F.when(~present, "<absent>").otherwise(F.substring(F.trim(F.regexp_replace(body, r"\s+", " ")), 1, 120))
+
+
+def embedding_input(page_no: Column, text: Column, cut: int = EMBED_CUT) -> Column:
+    return F.concat(F.lit("Page "), page_no.cast("string"), F.lit(": "), F.left(text, F.lit(cut)))
+
+
+def field_query(label: Column, guidance: Column) -> Column:
+    """What a field is searched by."""
+    return F.concat(label, F.lit(". "), guidance)
+
+
+def display(kind: Column, text: Column, items: Column, parts: Column, number: Column, unit: Column, raw: Column) -> Column:
+    """One string for a value of any type; parts are a contact's name, address and phone."""
+    shown = F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
+    full = lambda a: F.filter(a, lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    return (F.when(kind == "contact", F.array_join(full(parts), " — ")).when(kind.isin("list", "table"), F.array_join(full(items), "; "))
+            .when(kind == "number", F.concat_ws(" ", shown, unit)).when(kind == "boolean", F.when(number == 1, "Yes").otherwise("No"))
+            .when(kind == "datetime", F.coalesce(F.nullif(raw, F.lit("")), text)).otherwise(text))
+
+
+def served_rows(answers: DataFrame, fields: DataFrame) -> DataFrame:
+    """The answers with label and category of their field, and where their quote stands."""
+    at = F.when(F.col("page").isNotNull(), F.concat(F.lit("p. "), F.col("page").cast("string")))
+    return answers.join(fields, "field_key").withColumn("source", F.struct(at.alias("at"), F.col("quote").alias("quote")))
+
+
+def request_rows(pages: DataFrame, fields: DataFrame, by: list[str], header: str) -> DataFrame:
+    """by, body: header, listed pages, the cluster's fields, and the pages' context, for each selection.
+
+    ``pages``: by (cluster among them), page_no, text. ``fields``: cluster, number, field_key, guidance.
+    """
+    blocks = context_blocks(pages, by).withColumn("block", capped(F.col("block")))
+    listed = pages.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_set("page_no")), lambda x: x.cast("string")), ", ").alias("listed"))
+    line = F.concat(F.lit("- "), "field_key", F.lit(": "), "guidance")
+    asked = fields.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda x: x["line"]), "\n").alias("asked"))
+    body = F.concat_ws("\n\n", F.lit(header), F.concat(F.lit("Pages: "), "listed"), "asked", "block")
+    return blocks.join(listed, by).join(asked, "cluster").select(*by, body.alias("body"))

@@ -12,7 +12,7 @@ from quillmark.operators import grade as G
 from quillmark.operators import retrieve as R
 from quillmark.operators import review, score, serve
 from quillmark.plans import fixtures as X
-from quillmark.plans.oracle import norm, shingles, sql
+from quillmark.plans.oracle import SEGS, cover, norm, runs, share, shingles, sql, token_set
 from quillmark.sources import tables as S
 from quillmark.streaming import feeds
 
@@ -108,10 +108,10 @@ def p9_call_cost(spark, d):
     return rows.groupBy(F.col("l_returnflag").alias("backend")).agg(F.round(F.sum(cost), 6).alias("cost"))
 
 
-@query("SELECT doc_id, page_no, md5('Page ' || page_no || ': ' || left(text, 200)) AS h FROM doc_pages WHERE trim(text) <> ''", "doc_pages")
+@query("SELECT doc_id, page_no, md5('Page ' || page_no || ': ' || left(text, 8000)) AS h FROM doc_pages WHERE trim(text) <> ''", "doc_pages")
 def p11_embedding_input(spark, d):
     p = X.pages(spark, d).where(F.trim("text") != "")
-    return p.select("doc_id", "page_no", F.md5(F.concat(F.lit("Page "), F.col("page_no").cast("string"), F.lit(": "), F.left("text", F.lit(200)))).alias("h"))
+    return p.select("doc_id", "page_no", F.md5(serve.embedding_input(F.col("page_no"), F.col("text"))).alias("h"))
 
 
 # --- filters
@@ -162,7 +162,6 @@ def n1_normalise(spark, d):
     return E.prepared_pages(X.pages(spark, d)).select("doc_id", "page_no", F.md5("hay").alias("h"))
 
 
-SEGS = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '[\\n;]+|\\.\\.\\.+|…', chr(1), 'g'), '([.:!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: " + norm("s") + "), lambda s: length(s) >= 18)"
 SEGS_TEXT = SEGS.replace('{0}', 'text')
 
 
@@ -201,9 +200,9 @@ def n12_question_tokens(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.question_tokens(F.col("text")), " ").alias("words"))
 
 
-@query(r"SELECT doc_id, md5(string_agg('===== PAGE ' || page_no || ' =====' || chr(10) || CASE WHEN length(trim(text)) > 300 THEN left(trim(text), 300) || chr(10) || '[... page truncated ...]' ELSE trim(text) END, chr(10) || chr(10) ORDER BY page_no)) AS h FROM doc_pages GROUP BY doc_id", "doc_pages")
+@query(r"SELECT doc_id, md5(string_agg('===== PAGE ' || page_no || ' =====' || chr(10) || CASE WHEN length(trim(text)) > 12000 THEN left(trim(text), 12000) || chr(10) || '[... page truncated ...]' ELSE trim(text) END, chr(10) || chr(10) ORDER BY page_no)) AS h FROM doc_pages GROUP BY doc_id", "doc_pages")
 def n13_context(spark, d):
-    return serve.context_blocks(X.pages(spark, d), ["doc_id"], cut=300).select("doc_id", F.md5("block").alias("h"))
+    return serve.context_blocks(X.pages(spark, d), ["doc_id"]).select("doc_id", F.md5("block").alias("h"))
 
 
 @query("SELECT conv_id, turn, role, md5(CASE WHEN lead_text IS NOT NULL AND turn = first_user THEN lead_text || chr(10) || chr(10) || text ELSE text END) AS h FROM (SELECT *, min(turn) OVER w AS t0, max(CASE WHEN role = 'system' AND turn = t00 THEN text END) OVER w AS lead_text, min(CASE WHEN role = 'user' THEN turn END) OVER w AS first_user FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS t00 FROM conversations) WINDOW w AS (PARTITION BY conv_id)) WHERE NOT (lead_text IS NOT NULL AND first_user IS NOT NULL AND role = 'system' AND turn = t0)")
@@ -299,10 +298,10 @@ def r14_selection(spark, d):
 
 @query()
 def r13_selection_capped(spark, d):
-    return _selected(spark, d, 6)
+    return _selected(spark, d, R.CAP)
 
 
-ORACLES["r14_selection"], ORACLES["r13_selection_capped"] = _oracle_select("true"), _oracle_select("place <= 6 OR keep")
+ORACLES["r14_selection"], ORACLES["r13_selection_capped"] = _oracle_select("true"), _oracle_select("place <= 14 OR keep")
 
 
 @query("SELECT cluster, greatest(8, count(*) + 5) AS k, string_agg(field_key, ',' ORDER BY number) AS listed, (SELECT count(*) FROM documents) AS docs FROM fields GROUP BY cluster", "fields")
@@ -326,7 +325,7 @@ def _verified(spark, d):
 @query("SELECT b, doc_id, item_id, found AS found_on_page FROM exact0", "exact0")
 def e1_exact(spark, d):
     q = E.prepared_quotes(X.quotes(spark, d))
-    return E.exact_pages(q, E.prepared_pages(X.pages(spark, d)), KEY).select("b", "doc_id", "item_id", "found_on_page")
+    return E.exact_pages(q, E.prepared_pages(E.quoted(X.pages(spark, d), q)), KEY).select("b", "doc_id", "item_id", "found_on_page")
 
 
 @query(f"SELECT b, doc_id, item_id, round(max(100.0 * len(list_intersect({shingles('needle')}, {shingles('hay')})) / len({shingles('needle')})), 6) AS fuzzy FROM qn JOIN pn USING (doc_id) WHERE length(needle) >= 12 GROUP BY ALL", "qn", "pn")
@@ -335,38 +334,42 @@ def e2_fuzzy(spark, d):
     return E.page_scores(q, E.prepared_pages(X.pages(spark, d)), KEY).groupBy("b", "doc_id", "item_id").agg(F.max("fuzzy").alias("fuzzy"))
 
 
+FALSE_PART = "Nothing of this kind was ever written down here."
+
+
 def _segmented(spark, d):
-    """Each quote in long form: its document's segments stitched by ellipses, every other one."""
-    b = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    q = X.hits(spark, d).select("item_id", "doc_id").distinct().join(b, "item_id")
-    stitched = F.array_join(F.transform(F.split("quote", r"\. "), lambda s: s), " ... ")
-    return E.prepared_quotes(q.select("item_id", "doc_id", F.lit(1).alias("page"), F.lit(True).alias("present"), F.concat(stitched, F.lit(" ...")).alias("quote")))
+    """Each quote stitched by ellipses; by document as it is, with a part that stands nowhere, or its last word altered."""
+    q = X.hits(spark, d).groupBy("item_id", "doc_id").agg(F.min("quote").alias("quote"))
+    k = F.pmod("doc_id", F.lit(3))
+    quote = F.when(k == 2, F.regexp_replace("quote", r"\S+$", "altered")).otherwise(F.col("quote"))
+    stitched = F.concat(F.array_join(F.split(quote, r"\. "), " ... "), F.lit(" ..."), F.when(k == 1, f" {FALSE_PART}").otherwise(""))
+    return E.prepared_quotes(q.select("item_id", "doc_id", F.lit(1).alias("page"), F.lit(True).alias("present"), stitched.alias("quote")))
+
 
+STITCHED = "array_to_string(string_split(CASE WHEN doc_id % 3 = 2 THEN regexp_replace(quote, '\\S+$', 'altered') ELSE quote END, '. '), ' ... ') || ' ...' || CASE WHEN doc_id % 3 = 1 THEN ' " + FALSE_PART + "' ELSE '' END"
 
-@query(r"SELECT item_id, doc_id, round(max(CASE WHEN len(segs) = 0 THEN 0 ELSE 100.0 * len(list_filter(segs, lambda s: contains(hay, s))) / len(segs) END), 6) AS coverage FROM (SELECT item_id, doc_id, " + SEGS.replace('{0}', "array_to_string(string_split(quote, '. '), ' ... ') || ' ...'") + " AS segs FROM (SELECT DISTINCT item_id, doc_id, quote FROM hit)) q JOIN pn USING (doc_id) GROUP BY ALL", "hit")
+
+@query(f"SELECT item_id, doc_id, max(round({cover('segs', 'hay', 'hs')}, 6)) AS coverage FROM (SELECT item_id, doc_id, {SEGS.replace('{0}', STITCHED)} AS segs FROM (SELECT item_id, doc_id, min(quote) AS quote FROM hit GROUP BY ALL)) q JOIN (SELECT doc_id, hay, {runs('hay')} AS hs FROM pn WHERE doc_id IN (SELECT doc_id FROM hit)) USING (doc_id) GROUP BY ALL", "hit")
 def e3_segments(spark, d):
-    p = E.prepared_pages(X.pages(spark, d))
-    at = _segmented(spark, d).join(p, "doc_id")
-    cover = F.coalesce(100.0 * F.try_divide(F.size(F.filter("segs", lambda s: F.instr(F.col("hay"), s) > 0)).cast("double"), F.size("segs").cast("double")), F.lit(0.0))
-    return at.groupBy("item_id", "doc_id").agg(F.round(F.max(cover), 6).alias("coverage"))
+    q = _segmented(spark, d)
+    p = E.prepared_pages(E.quoted(X.pages(spark, d), q))
+    return E.page_scores(q, p, ["item_id", "doc_id"]).groupBy("item_id", "doc_id").agg(F.max("coverage").alias("coverage"))
+
 
+BOTH = "(hay || ' ' || nxt)"
 
-@query(f"SELECT item_id, doc_id, min(page_no) AS page_no FROM (SELECT doc_id, page_no, hay, hay || ' ' || lead(hay) OVER (PARTITION BY doc_id ORDER BY page_no) AS pair FROM pn) JOIN (SELECT item_id, {norm('text')} AS needle FROM benchmark) ON contains(pair, needle) GROUP BY ALL", "pn")
+
+@query(f"SELECT item_id, doc_id, page_no, CAST(page_no + CASE WHEN contains(nxt, needle) AND NOT contains(hay, needle) THEN 1 ELSE 0 END AS INT) AS start_page, round(greatest({share('qs', 'bs')}, {cover('[needle]', 'two', 'bs')}), 6) AS score FROM (SELECT q.item_id, q.doc_id, needle, {runs('needle')} AS qs, page_no, hay, nxt, {BOTH} AS two, {runs(BOTH)} AS bs FROM (SELECT DISTINCT item_id, doc_id, {norm('quote')} AS needle FROM hit) q JOIN (SELECT doc_id, page_no, hay, lead(hay) OVER (PARTITION BY doc_id ORDER BY page_no) AS nxt FROM pn) USING (doc_id) WHERE nxt IS NOT NULL)", "hit")
 def e4_page_pairs(spark, d):
-    """Passages inside two adjacent pages; candidates share the passage's first five words."""
-    w = W.partitionBy("doc_id").orderBy("page_no")
-    p = E.prepared_pages(X.pages(spark, d)).withColumn("both", F.concat_ws(" ", "hay", F.lead("hay").over(w)))
-    p = p.withColumn("last", F.lead("page_no").over(w).isNull()).where(~F.col("last"))
-    b = S.table(spark, d, "benchmark").select("item_id", T.normalise(F.col("text")).alias("needle"))
-    b = b.withColumn("k", F.array_join(F.slice(F.split("needle", " "), 1, 5), " "))
-    five = "explode(transform(array(split(both, ' ')), w -> array_distinct(transform(sequence(1, greatest(size(w) - 4, 1)), i -> array_join(slice(w, i, 5), ' '))))[0])"
-    at = p.select("doc_id", "page_no", "both", F.expr(five).alias("k")).join(b, "k").where(F.instr(F.col("both"), F.col("needle")) > 0)
-    return at.groupBy("item_id", "doc_id").agg(F.min("page_no").alias("page_no"))
-
-
-@query("SELECT b, doc_id, item_id, status FROM evidence", "evidence")
+    """Scores of passages over every two adjacent pages of their documents."""
+    q = X.hits(spark, d).select("item_id", "doc_id", "quote").distinct()
+    q = E.prepared_quotes(q.withColumn("page", F.lit(1)).withColumn("present", F.lit(True))).withColumn("segs", F.lit(None).cast("array<string>"))
+    return E.pair_scores(q, E.prepared_pages(E.quoted(X.pages(spark, d), q)), ["item_id", "doc_id"])
+
+
+@query("SELECT b, doc_id, item_id, status, found AS found_on_page, best_score FROM evidence", "evidence")
 def e6_status(spark, d):
-    return _verified(spark, d).select("b", "doc_id", "item_id", "status")
+    return _verified(spark, d).select("b", "doc_id", "item_id", "status", "found_on_page", "best_score")
 
 
 RATES = "count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'wrong_page') AS wrong_page, count(*) FILTER (WHERE status = 'unverified') AS unverified, count(*) FILTER (WHERE status = 'no_quote') AS no_quote, count(*) FILTER (WHERE status = 'absent') AS absent, count(*) FILTER (WHERE status <> 'absent') AS asserted, round(count(*) FILTER (WHERE status IN ('verified', 'wrong_page')) / nullif(count(*) FILTER (WHERE status <> 'absent'), 0), 3) AS groundedness, round(count(*) FILTER (WHERE status IN ('unverified', 'no_quote')) / nullif(count(*) FILTER (WHERE status <> 'absent'), 0), 3) AS hallucination"
@@ -398,16 +401,18 @@ def f11_flags(spark, d):
 
 
 def _graded(spark, d):
-    j = G.with_truth(X.truth(spark, d), X.answers(spark, d))
-    v = G.presence(F.col("present"), F.coalesce("answered", F.lit(False)), F.col("a_present"), F.lit(False), G.boolean_verdict(F.col("v"), F.col("a")))
+    j = G.with_truth(X.two_truths(spark, d), X.two_answers(spark, d))
+    content = F.pmod(F.col("doc_id") + F.col("backend"), F.lit(4)) == 0
+    compared = F.when(F.col("field_key") == "toxic", G.banded(F.col("likeness"), G.TEXT_GOOD, G.TEXT_SOME)).otherwise(G.boolean_verdict(F.col("v"), F.col("a")))
+    v = G.presence(F.col("present"), F.coalesce("answered", F.lit(False)), F.col("a_present"), content, compared)
     k = F.pmod("doc_id", F.lit(4))
     status = F.when(k == 0, "wrong_page").when(k == 1, "unverified").otherwise("verified")
-    return j.select("backend", "doc_id", "field_key", F.coalesce("difficulty", F.lit("medium")).alias("difficulty"), v.alias("verdict"), status.alias("status"))
+    return j.select("backend", "doc_id", "field_key", F.coalesce("difficulty", F.lit("medium")).alias("difficulty"), "v", "a", v.alias("verdict"), status.alias("status"))
 
 
-@query("SELECT backend, doc_id, verdict FROM graded", "graded")
+@query("SELECT backend, doc_id, field_key, verdict FROM graded", "graded")
 def g1_presence(spark, d):
-    return _graded(spark, d).select("backend", "doc_id", "verdict")
+    return _graded(spark, d).select("backend", "doc_id", "field_key", "verdict")
 
 
 @query("SELECT o_orderkey, CASE WHEN a <> d THEN 'wrong' WHEN o_orderkey % 5 = 0 THEN 'partial' ELSE 'correct' END AS verdict FROM dates", "dates")
@@ -430,22 +435,28 @@ def g6_contacts(spark, d):
     return c.select("doc_id", "email", G.contact_verdict(F.concat(F.lit("@@ "), F.col("email")), answer).alias("verdict"))
 
 
-@query(f"SELECT item_id, round(100.0 * count(*) FILTER (WHERE i % 3 <> 0) / count(*), 6) AS recall FROM (SELECT item_id, unnest(segs) AS s, generate_subscripts(segs, 1) AS i FROM (SELECT item_id, list_distinct({SEGS_TEXT}) AS l, {SEGS_TEXT} AS segs FROM benchmark)) GROUP BY item_id")
+WORDED = "CASE WHEN i % 3 = 1 THEN s || ' as said before' ELSE s END"
+
+
+@query(f"SELECT item_id, round(recall, 6) AS recall, CASE WHEN recall >= 0.8 THEN 'correct' WHEN recall >= 0.4 THEN 'partial' ELSE 'wrong' END AS verdict FROM (SELECT t.item_id, CAST(count(*) FILTER (WHERE best >= 65) AS DOUBLE) / count(*) AS recall FROM (SELECT t.item_id, t.i, coalesce(max({token_set('t.s', 'a.w')}), 0) AS best FROM seg t LEFT JOIN (SELECT item_id, {WORDED} AS w FROM seg WHERE i % 3 <> 0) a USING (item_id) GROUP BY ALL) t GROUP BY t.item_id)")
 def g7_list_recall(spark, d):
-    """Truth: a passage's segments; the answer drops every third."""
+    """Truth: a passage's segments; the answer drops every third and words others anew."""
     b = S.table(spark, d, "benchmark").select("item_id", T.segments(F.col("text")).alias("truth")).where(F.size("truth") > 0)
-    b = b.withColumn("answer", F.filter("truth", lambda x, i: (i + 1) % 3 != 0))
-    exact = F.filter("truth", lambda t: F.array_contains("answer", t))
-    return b.select("item_id", F.round(100.0 * F.size(exact) / F.size("truth"), 6).alias("recall"))
+    said = F.transform(F.col("truth"), lambda x, i: F.when((i + 1) % 3 == 1, F.concat(x, F.lit(" as said before"))).otherwise(x))
+    b = b.withColumn("answer", F.filter(said, lambda x, i: (i + 1) % 3 != 0)).withColumn("recall", G.list_recall(F.col("truth"), F.col("answer")))
+    return b.select("item_id", F.round("recall", 6).alias("recall"), G.banded(F.col("recall"), G.RECALL_GOOD, G.RECALL_SOME).alias("verdict"))
 
 
-@query()
+ORACLES["g7_list_recall"] = f"WITH seg AS (SELECT item_id, unnest({SEGS_TEXT}) AS s, generate_subscripts({SEGS_TEXT}, 1) AS i FROM benchmark)\n" + ORACLES["g7_list_recall"]
+
+
+@query(f"SELECT conv_id, turn, round({token_set('text', 'nxt')}, 4) AS similarity, CASE WHEN {token_set('text', 'nxt')} >= 70 THEN 'correct' WHEN {token_set('text', 'nxt')} >= 40 THEN 'partial' ELSE 'wrong' END AS verdict FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL")
 def g8_free_text(spark, d):
-    """Each document's first line against the next document's: similarity and band."""
-    one = S.table(spark, d, "documents").select("doc_id", F.left(F.split("text", "\n").getItem(0), F.lit(200)).alias("a"))
-    two = one.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    s = T.token_set_similarity(F.col("a"), F.col("b"))
-    return one.join(two, "doc_id").select("doc_id", F.round(s, 4).alias("similarity"), G.banded(s, G.TEXT_GOOD, G.TEXT_SOME).alias("verdict"))
+    """Each turn against the next one, whole: similarity and band."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = S.table(spark, d, "conversations").withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
+    s = T.token_set_similarity(F.col("text"), F.col("nxt"))
+    return rows.select("conv_id", "turn", F.round(s, 4).alias("similarity"), G.banded(s, G.TEXT_GOOD, G.TEXT_SOME).alias("verdict"))
 
 
 @query("SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS hits, count(*) FILTER (WHERE doc_id % 3 <> 0) AS misses FROM truth", "truth")
@@ -456,9 +467,9 @@ def g9_judge_cache(spark, d):
     return hit.agg(F.count("*").alias("hits")).join(miss.agg(F.count("*").alias("misses")), F.lit(True))
 
 
-@query("SELECT backend, doc_id, verdict IN ('partial', 'wrong') AND ((doc_id % 101) BETWEEN 60 AND 99 OR (doc_id % 10) / 10.0 BETWEEN 0.8 AND 0.9) AS mismatch FROM graded", "graded")
+@query("SELECT backend, doc_id, field_key, verdict IN ('partial', 'wrong') AND ((doc_id % 101) BETWEEN 60 AND 99 OR (doc_id % 10) / 10.0 BETWEEN 0.8 AND 0.9) AS mismatch FROM graded", "graded")
 def g12_mismatch(spark, d):
-    return _graded(spark, d).select("backend", "doc_id", G.mismatch(F.col("verdict"), (F.col("doc_id") % 101).cast("double"), F.col("doc_id") % 10 / 10.0).alias("mismatch"))
+    return _graded(spark, d).select("backend", "doc_id", "field_key", G.mismatch(F.col("verdict"), (F.col("doc_id") % 101).cast("double"), F.col("doc_id") % 10 / 10.0).alias("mismatch"))
 
 
 # --- scores
@@ -509,9 +520,9 @@ def a11_grand_totals(spark, d):
     return X.calls(spark, d).rollup("backend", "cluster").agg(F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("calls"))
 
 
-@query(f"SELECT b, count(*) AS docs, round(avg(groundedness), 4) AS groundedness, round(avg(hallucination), 4) AS hallucination FROM (SELECT b, doc_id, {RATES} FROM evidence GROUP BY b, doc_id) GROUP BY b", "evidence")
+@query(f"SELECT b, count(*) AS docs, CAST(sum(asserted) AS BIGINT) AS present, CAST(sum(absent) AS BIGINT) AS absent, round(avg(groundedness), 4) AS groundedness, round(avg(hallucination), 4) AS hallucination FROM (SELECT b, doc_id, {RATES} FROM evidence GROUP BY b, doc_id) GROUP BY b", "evidence")
 def a12_macro_summary(spark, d):
-    return E.rates(_verified(spark, d), ["b", "doc_id"]).groupBy("b").agg(F.count("*").alias("docs"), F.round(F.avg("groundedness"), 4).alias("groundedness"), F.round(F.avg("hallucination"), 4).alias("hallucination"))
+    return E.rates(_verified(spark, d), ["b", "doc_id"]).groupBy("b").agg(F.count("*").alias("docs"), F.sum("asserted").alias("present"), F.sum("absent").alias("absent"), F.round(F.avg("groundedness"), 4).alias("groundedness"), F.round(F.avg("hallucination"), 4).alias("hallucination"))
 
 
 @query("SELECT doc_id, field_key, count(*) AS n, count(DISTINCT a) = 1 AS agree FROM answers WHERE a_present GROUP BY doc_id, field_key HAVING count(*) >= 2", "answers")
@@ -544,9 +555,9 @@ def a19_drift(spark, d):
     return E.rates(v, ["b", "doc_id"]).join(o, ["b", "doc_id"]).select("b", "doc_id", F.round(F.col("groundedness") - F.col("was"), 3).alias("change"))
 
 
-@query("SELECT doc_id, max(verdict) FILTER (WHERE backend = 0) AS m0, max(verdict) FILTER (WHERE backend = 1) AS m1, max(verdict) FILTER (WHERE backend = 2) AS m2 FROM graded GROUP BY doc_id", "graded")
+@query("SELECT doc_id, field_key, max(verdict) FILTER (WHERE backend = 0) AS m0, max(verdict) FILTER (WHERE backend = 1) AS m1, max(verdict) FILTER (WHERE backend = 2) AS m2 FROM graded GROUP BY doc_id, field_key", "graded")
 def a20_by_model(spark, d):
-    return _graded(spark, d).groupBy("doc_id").pivot("backend", [0, 1, 2]).agg(F.first("verdict")).select("doc_id", *[F.col(str(k)).alias(f"m{k}") for k in range(3)])
+    return _graded(spark, d).groupBy("doc_id", "field_key").pivot("backend", [0, 1, 2]).agg(F.first("verdict")).select("doc_id", "field_key", *[F.col(str(k)).alias(f"m{k}") for k in range(3)])
 
 
 @query("SELECT backend, difficulty, CASE WHEN p >= 65 THEN 'good' WHEN p >= 55 THEN 'mid' ELSE 'low' END AS band FROM (SELECT backend, difficulty, 100.0 * count(*) FILTER (WHERE verdict = 'correct') / count(*) AS p FROM graded GROUP BY ALL)", "graded")
@@ -560,18 +571,28 @@ def j10_skipped(spark, d):
     return t.join(S.table(spark, d, "documents").join(X.truth(spark, d), "doc_id", "left_anti").agg(F.count("*").alias("unlabelled")), F.lit(True))
 
 
-@query("SELECT conv_id, turn, page_no, rank FROM (SELECT q.conv_id, q.turn, p.page_id AS page_no, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, page_id) - 1 AS rank FROM (SELECT conv_id, turn, page_id, count(*) AS s FROM qt JOIN pt USING (w) GROUP BY ALL) q JOIN pages p USING (page_id)) WHERE rank < 3")
+QUESTIONS = rf"""WITH qs AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(replace(lower(text), '?', ''), '\s+', ' ', 'g')), ' '), lambda w: w NOT IN ({STOPS}) AND w <> '') AS ws FROM conversations WHERE role = 'user'),
+dp AS ({{pages}}),
+k AS (SELECT conv_id, turn, page_no, sum(least((length(lower(text)) - length(replace(lower(text), w, ''))) // length(w), 5)) AS s FROM (SELECT conv_id, turn, unnest(ws) AS w FROM qs) JOIN dp ON doc_id = conv_id WHERE trim(text) <> '' GROUP BY ALL HAVING s > 0),
+kr AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, page_no) - 1 AS rank FROM k),
+pv AS (SELECT CAST(vec_id // 10 AS BIGINT) AS doc_id, CAST(vec_id % 10 + 1 AS INT) AS page_no, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v AS (SELECT conv_id, turn, p.page_no, list_sum(list_transform(list_zip(p.v, q.v), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(p.v, lambda x: x * x))) / sqrt(list_sum(list_transform(q.v, lambda x: x * x))) AS s FROM qs JOIN pv q ON q.doc_id = conv_id AND q.page_no = turn % 10 + 1 JOIN pv p ON p.doc_id = conv_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, page_no) - 1 AS rank FROM v)
+SELECT conv_id, turn, page_no, CAST(rank AS INT) AS rank, rank < 3 AS is_reference FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, page_no) - 1 AS rank FROM (SELECT conv_id, turn, page_no, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0) AS s FROM vr v FULL JOIN kr k USING (conv_id, turn, page_no))) WHERE rank < 5"""
+
+
+@query()
 def r15_questions(spark, d):
-    """Pages for each user turn, by question words that stand in the url; three each."""
-    q = S.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(T.question_tokens(F.col("text")))).alias("w"))
-    p = S.table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("w")).where("w <> ''")
-    s = q.join(p, "w").groupBy("conv_id", "turn", "page_id").agg(F.count("*").alias("s"))
-    w = W.partitionBy("conv_id", "turn").orderBy(F.desc("s"), "page_id")
-    return s.withColumn("rank", F.row_number().over(w) - 1).where("rank < 3").select("conv_id", "turn", F.col("page_id").alias("page_no"), "rank")
+    """Five pages of the document that a conversation is about (the one of its number) for each user
+    turn: question words and, where pages have vectors, the turn's vector, fused; three are references."""
+    q = S.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.question_tokens(F.col("text")).alias("ws"))
+    v = X.page_vectors(spark, d)
+    qv = q.join(v.select(F.col("doc_id").alias("conv_id"), "page_no", F.col("v").alias("q")), "conv_id").where(F.col("page_no") == F.pmod("turn", F.lit(10)) + 1)
+    out = R.question_pages(q.withColumnRenamed("conv_id", "doc_id"), X.pages(spark, d), qv.select(F.col("conv_id").alias("doc_id"), "turn", "q"), v, ["turn"])
+    return out.select(F.col("doc_id").alias("conv_id"), "turn", "page_no", "rank", (F.col("rank") < 3).alias("is_reference"))
 
 
-ORACLES["r15_questions"] = ("WITH qt AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(string_split(trim(regexp_replace(replace(lower(text), '?', ''), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN (" + STOPS + ") AND w <> '')) AS w FROM conversations WHERE role = 'user'), "
-                            "pt AS (SELECT DISTINCT page_id, unnest(string_split_regex(lower(url), '[^a-z0-9]+')) AS w FROM pages)\n" + ORACLES["r15_questions"].replace("q.conv_id, q.turn, p.page_id", "conv_id, turn, page_id").replace(" JOIN pages p USING (page_id)", ""))
+ORACLES["r15_questions"] = QUESTIONS.replace("{pages}", "SELECT doc_id, CAST(i // 4 + 1 AS INT) AS page_no, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) GROUP BY doc_id, i // 4")
 
 
 # --- review
@@ -598,7 +619,7 @@ def v3_missing_references(spark, d):
     return review.missing_references(X.pages(spark, d), r"version [0-9]+|section [0-9]+", r"^(version|section) [0-9]+")
 
 
-@query()
+@query(r"SELECT doc_id, head, firm, loose FROM (SELECT doc_id, head, count(*) FILTER (WHERE modal IN ('the', 'of')) AS firm, count(*) FILTER (WHERE modal IN ('and', 'to')) AS loose FROM (SELECT doc_id, regexp_extract(s, '^(\S+ \S+) .*?\b(the|of|and|to)\b', 1) AS head, regexp_extract(s, '^(\S+ \S+) .*?\b(the|of|and|to)\b', 2) AS modal FROM (SELECT doc_id, trim(unnest(string_split_regex(lower(text), '[.\n]'))) AS s FROM doc_pages)) WHERE head <> '' GROUP BY ALL) WHERE firm > 0 AND loose > 0", "doc_pages")
 def v4_modals(spark, d):
     return review.modal_clashes(X.pages(spark, d), "the|of", "and|to")
 
@@ -608,9 +629,10 @@ def v5_weights(spark, d):
     return review.weights_off(S.table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_orderkey", "q")
 
 
-@query(r"SELECT doc_id, n FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}'))) AS n FROM documents) WHERE n > 1")
+@query(r"SELECT page_id, n FROM (SELECT page_id, len(list_distinct(regexp_extract_all(lower(html), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|https?://[a-z0-9.-]+'))) AS n FROM pages) WHERE n > 1")
 def v6_contacts(spark, d):
-    return review.several_contacts(S.table(spark, d, "documents")).select("doc_id", F.col("n").cast("long").alias("n"))
+    rows = S.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return review.several_contacts(rows).select(F.col("doc_id").alias("page_id"), F.col("n").cast("long").alias("n"))
 
 
 @query(r"SELECT DISTINCT doc_id, acronym FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[^A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^[A-Z]{3,6}$'))) AS acronym FROM documents) WHERE (doc_id, acronym) NOT IN (SELECT doc_id, unnest(regexp_extract_all(text, '\(([A-Z]{3,6})\)', 1)) FROM documents)")
@@ -618,10 +640,11 @@ def v7_acronyms(spark, d):
     return review.undefined_acronyms(S.table(spark, d, "documents"))
 
 
-@query("SELECT 'benchmark ids' AS what, count(*) AS n, 'ok' AS state FROM benchmark")
+@query("SELECT 'labelled documents' AS what, count(*) AS n, 'ok' AS state FROM labels")
 def q1_row_counts(spark, d):
-    b = S.table(spark, d, "benchmark")
-    return S.expect_rows(b, b.select("item_id").distinct().count(), "benchmark ids")
+    """Every label has its document, once."""
+    labels = S.table(spark, d, "labels")
+    return S.expect_rows(S.table(spark, d, "documents").join(labels, "doc_id"), labels.count(), "labelled documents")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'quote' ELSE '' END AS missing, CASE WHEN doc_id % 4 = 0 THEN 'note' ELSE '' END AS extra FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0")
@@ -663,6 +686,9 @@ def m1_incremental(spark, d):
 ORACLES["m1_incremental"] = "SELECT DISTINCT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'wrong' ELSE 'correct' END AS verdict FROM labels"
 
 
+from quillmark.plans import records  # noqa: E402,F401  registers its queries here
+
+
 def flagship(spark, d):
     """What share of quoted passages is really in the cited source?"""
     return e8_pooled(spark, d)

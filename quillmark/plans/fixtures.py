@@ -36,24 +36,34 @@ def pages(spark, d):
 def hits(spark, d):
     """item_id, doc_id, page_no, quote: passages that stand on a page. Candidates share the
     passage's first five words with the page; only those are searched."""
-    first = lambda c: F.xxhash64(c)
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), T.normalise(F.col("text")).alias("needle"))
-    b = b.withColumn("k", first(F.array_join(F.slice(F.split("needle", " "), 1, 5), " ")))
+    b = b.withColumn("w", F.split("needle", " ")).withColumn("k", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(5)])).drop("w")
     p = pages(spark, d).select("doc_id", "page_no", T.normalise(F.col("text")).alias("hay"))
-    five = "explode(transform(array(split(hay, ' ')), w -> array_distinct(transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(array_join(slice(w, i, 5), ' ')))))[0])"
-    at = p.select("doc_id", "page_no", "hay", F.expr(five).alias("k"))
-    return at.join(b, "k").where(F.instr(F.col("hay"), F.col("needle")) > 0).select("item_id", "doc_id", "page_no", "quote")
+    at = runs(p, "hay").join(b.select("k", "item_id"), "k").select("doc_id", "page_no", "item_id").distinct()
+    # texts are fetched for the candidates only
+    at = pages(spark, d).join(at, ["doc_id", "page_no"]).join(b, "item_id")
+    return at.where(F.instr(T.normalise(F.col("text")), F.col("needle")) > 0).select("item_id", "doc_id", "page_no", "quote")
+
+
+def runs(rows, text: str, size: int = 5):
+    """doc_id, page_no, k: hash of every run of five words of a text of single blanks."""
+    w = rows.select("doc_id", "page_no", F.split(text, " ").alias("w"))
+    zipped = F.arrays_zip(*[F.slice("w", F.lit(1 + k), F.size("w")).alias(f"w{k}") for k in range(size)])
+    return w.select("doc_id", "page_no", F.inline(zipped)).select("doc_id", "page_no", F.xxhash64(*[f"w{k}" for k in range(size)]).alias("k"))
 
 
 def quotes(spark, d):
-    """Hits cited by three backends, some absent, without quote, on a wrong page or garbled."""
-    q = hits(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("b"))
+    """Hits cited by three backends, some absent, without quote, on a wrong page, garbled, altered in
+    their last word, or going on to the next page."""
+    after = pages(spark, d).select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("on"))
+    q = hits(spark, d).join(after, ["doc_id", "page_no"], "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("b"))
     r = F.pmod(7 * F.col("item_id") + 3 * F.col("doc_id") + 5 * F.col("b"), F.lit(10))
     q = q.withColumn("r", r)
     return q.select(
         "b", "doc_id", "item_id", (F.col("r") != 0).alias("present"),
         F.when(F.col("r") == 0, None).when(F.col("r") == 2, F.col("page_no") + 1).otherwise(F.col("page_no")).cast("int").alias("page"),
-        F.when(F.col("r").isin(0, 1), None).when(F.col("r") == 3, F.reverse("quote")).otherwise(F.col("quote")).alias("quote"))
+        F.when(F.col("r").isin(0, 1), None).when(F.col("r") == 3, F.reverse("quote")).when(F.col("r") == 4, F.regexp_replace("quote", r"\S+$", "altered"))
+        .when(F.col("r") == 5, F.concat_ws(" ", "quote", "on")).otherwise(F.col("quote")).alias("quote"))
 
 
 def truth(spark, d):
@@ -71,6 +81,25 @@ def answers(spark, d):
         "backend", "doc_id", F.lit("quality").alias("field_key"), ((F.col("quality") == 1) != flip).alias("a"), (F.pmod(s, F.lit(13)) != 0).alias("a_present"))
 
 
+def two_truths(spark, d):
+    """Truth of two fields of each labelled document."""
+    rows = table(spark, d, "labels").select("doc_id", F.explode(F.array(
+        F.struct(F.lit("quality").alias("field_key"), (F.col("quality") == 1).alias("v"), (F.pmod("doc_id", F.lit(7)) != 0).alias("present")),
+        F.struct(F.lit("toxic").alias("field_key"), (F.col("toxic") == 1).alias("v"), (F.pmod("doc_id", F.lit(5)) != 0).alias("present")))).alias("t"))
+    k = F.pmod("doc_id", F.lit(3))
+    return rows.select("doc_id", "t.*", F.when(k == 0, "easy").when(k == 1, "hard").alias("difficulty"))
+
+
+def two_answers(spark, d):
+    """Answers to both fields; of the second every fourth is missing, and likeness bands its verdict."""
+    t = table(spark, d, "labels").select("doc_id", "toxic", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("backend"))
+    s = F.col("doc_id") + F.col("backend")
+    t = t.where(F.pmod(F.col("doc_id") + 2 * F.col("backend"), F.lit(4)) != 0).select(
+        "backend", "doc_id", F.lit("toxic").alias("field_key"), ((F.col("toxic") == 1) != (F.pmod(s, F.lit(7)) == 0)).alias("a"), (F.pmod(s, F.lit(6)) != 0).alias("a_present"),
+        F.pmod(11 * F.col("doc_id") + 17 * F.col("backend"), F.lit(100)).cast("double").alias("likeness"))
+    return answers(spark, d).withColumn("likeness", F.lit(None).cast("double")).unionByName(t)
+
+
 def calls(spark, d):
     return table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("backend"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("cluster"),

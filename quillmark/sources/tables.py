@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ RUN_RECORD = (
 TRUTH_RECORD = "doc_id string, annotator string, fields map<string, struct<present:boolean,value:variant,difficulty:string,note:string>>"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one only in local mode, where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    return named
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.sources.tables import shared_dir
+
 #: Fixed value: the scrape interval. Late rows are taken for LATE.
 INTERVAL, LATE = "15 seconds", "10 minutes"
 
@@ -31,7 +32,7 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 def drain(stream: DataFrame, spark: SparkSession, keys: list[str], version: str, shared: str | None = None, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns the table that it upserts."""
-    shared = shared or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    shared = shared or shared_dir(spark)
     top = f"{shared.rstrip('/')}/feed-{uuid.uuid4().hex}"
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/log").trigger(availableNow=True)
              .foreachBatch(lambda batch, n: upsert(batch.withColumn(version, F.lit(n)), f"{top}/rows", keys, version)).start())
