@@ -31,12 +31,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named, as in tests."""
+    """The folder that all executors share; a local one only in local mode, where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -68,7 +70,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at once when texts are long."""
+    """Bounds what a Python worker holds at once when texts are long, for the whole session: the
+    results are lazy, so the bound must outlast the call."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

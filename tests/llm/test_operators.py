@@ -472,6 +472,23 @@ def test_lines_keep_other_columns(spark):
     assert got[2].text == "and another line of its own" and got[2].stay == "y" and got[None].n_removed == 0
 
 
+def test_ftrl_follows_its_definition():
+    """Against weights that minimise the sum of all gradients, their proximal terms and both penalties."""
+    rng = np.random.default_rng(12)
+    model, zs, ns = quality.Ftrl(6), [0.0] * 6, [0.0] * 6
+    for _ in range(200):
+        at = np.sort(rng.permutation(6)[:3])
+        x, y = rng.random(3) * 3, float(rng.random() < 0.5)
+        w = [0.0 if abs(zs[i]) <= quality.L1 else -(zs[i] - math.copysign(quality.L1, zs[i])) / ((quality.BETA + math.sqrt(ns[i])) / quality.ALPHA + quality.L2) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+        for k, i in enumerate(at):
+            g = (p - y) * x[k]
+            zs[i] += g - (math.sqrt(ns[i] + g * g) - math.sqrt(ns[i])) / quality.ALPHA * w[k]
+            ns[i] += g * g
+        model.learn(at, x, y)
+    assert np.allclose(model.z, zs) and np.allclose(model.n, ns)
+
+
 def test_quality(spark, nothing):
     rng = random.Random(11)
     rows, labels = [], []
