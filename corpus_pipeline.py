@@ -14,24 +14,26 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored too; an empty table stays empty.
+    As in all stages, columns beyond those of documents are dropped, and repeated rows share a fate."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which nothing is left; n_chars follows the text."""
+    """Repeated lines go, and documents of which nothing is left; n_chars follows the text. Null texts
+    and rows without doc_id stay as they are."""
     out = lines.dedup_lines(docs)
     out = out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; rows without doc_id and without words all do."""
     return minhash.keep_one(docs, size=5, percent=80).select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go, with or without doc_id; null and empty texts stay."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
@@ -44,7 +46,7 @@ STAGES = [
     ("quality classifier", quality_stage), ("line dedup", line_stage), ("near-duplicate documents", near_stage),
     ("benchmark decontamination", benchmark_stage), ("mixing to target weights", mixing_stage),
 ]
-#: A trained classifier and seeded hashing are not SQL; tests hold the stages against brute force.
+#: A trained classifier and seeded hashing are not SQL; tests hold the stages after it against brute force.
 ORACLE_SQL = None
 
 
