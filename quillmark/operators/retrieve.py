@@ -77,11 +77,11 @@ def gaps(chosen: DataFrame) -> DataFrame:
     return chosen.withColumn("next", F.lead("page_no").over(w)).where("next - page_no = 2").select("doc_id", "cluster", (F.col("page_no") + 1).alias("page_no"))
 
 
-def select_pages(pages: DataFrame, fields: DataFrame, keywords: DataFrame, field_top: DataFrame, tables: DataFrame, k: int = 8, cap: int | None = None) -> DataFrame:
+def select_pages(pages: DataFrame, fields: DataFrame, scores: DataFrame, field_top: DataFrame, tables: DataFrame, k: int = 8, cap: int | None = None) -> DataFrame:
     """doc_id, cluster, pages: the pages to show, ascending.
 
     Field winners and table continuations, the first PINNED pages, the cluster's keyword ranking while the budget
-    lasts, single gaps; if ``cap`` is set, pinned and gap pages stay and the rest goes by priority, ties by page.
+    lasts, single gaps; ``pages`` are numbers only, ``scores`` those of the fields' keywords. If ``cap`` is set, pinned and gap pages stay and the rest goes by priority, ties by page.
     """
     keys = ["doc_id", "cluster", "page_no"]
     best = priorities(field_top)
@@ -89,7 +89,7 @@ def select_pages(pages: DataFrame, fields: DataFrame, keywords: DataFrame, field
     front = pages.where(F.col("page_no") <= PINNED).select("doc_id", "page_no").join(F.broadcast(clusters), F.lit(True)).select(*keys)
     base = best.select(*keys).unionByName(continued(field_top, tables)).unionByName(front).distinct()
     room = base.groupBy("doc_id", "cluster").agg(F.count("*").alias("n")).join(F.broadcast(budget(fields, k)), "cluster").select("doc_id", "cluster", (F.col("k") - F.col("n")).alias("room"))
-    fill = ranked(keyword_scores(pages, keywords, ["cluster"]), ["cluster"]).join(base, keys, "left_anti")
+    fill = ranked(scores.groupBy(*keys).agg(F.sum("score").alias("score")), ["cluster"]).join(base, keys, "left_anti")
     fill = fill.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "cluster").orderBy("rank"))).join(room, ["doc_id", "cluster"]).where("place <= room")
     chosen = base.join(best, keys, "left").unionByName(fill.select(*keys, F.col("rank").alias("priority")))
     chosen = chosen.withColumn("keep", F.col("page_no") <= PINNED).unionByName(gaps(chosen).withColumn("priority", F.lit(None).cast("int")).withColumn("keep", F.lit(True)))

@@ -284,10 +284,11 @@ def _oracle_select(cap: str) -> str:
 
 
 def _selected(spark, d, cap):
-    f, p = X.fields(spark), X.pages(spark, d)
-    top = R.top(R.ranked(_kscores(spark, d), ["field_key"])).join(F.broadcast(f.select("field_key", "type")), "field_key")
+    # pages are scored once: both uses of the scores read the same exchange
+    f, p, k = X.fields(spark), X.numbers(spark, d), _kscores(spark, d).repartition("doc_id")
+    top = R.top(R.ranked(k, ["field_key"])).join(F.broadcast(f.select("field_key", "type")), "field_key")
     tables = p.select("doc_id", "page_no", ((F.col("doc_id") + F.col("page_no")) % 3 != 0).alias("is_table"))
-    out = R.select_pages(p, f, X.keywords(spark), top, tables, cap=cap)
+    out = R.select_pages(p, f, k, top, tables, cap=cap)
     return out.select("doc_id", "cluster", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
@@ -629,10 +630,11 @@ def v5_weights(spark, d):
     return review.weights_off(S.table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_orderkey", "q")
 
 
-@query(r"SELECT page_id, n FROM (SELECT page_id, len(list_distinct(regexp_extract_all(lower(html), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|https?://[a-z0-9.-]+'))) AS n FROM pages) WHERE n > 1")
+@query(r"SELECT doc_id, n FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN text || ' Write to Help@Mail.example or see https://mail.example/x' ELSE text END), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|https?://[a-z0-9.-]+'))) AS n FROM documents) WHERE n > 1")
 def v6_contacts(spark, d):
-    rows = S.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return review.several_contacts(rows).select(F.col("doc_id").alias("page_id"), F.col("n").cast("long").alias("n"))
+    """Documents, every third with two contacts more at its end."""
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Write to Help@Mail.example or see https://mail.example/x"))).otherwise(F.col("text"))
+    return review.several_contacts(S.table(spark, d, "documents").select("doc_id", more.alias("text"))).select("doc_id", F.col("n").cast("long").alias("n"))
 
 
 @query(r"SELECT DISTINCT doc_id, acronym FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[^A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^[A-Z]{3,6}$'))) AS acronym FROM documents) WHERE (doc_id, acronym) NOT IN (SELECT doc_id, unnest(regexp_extract_all(text, '\(([A-Z]{3,6})\)', 1)) FROM documents)")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.sources.tables import line_pages, table
+from quillmark.sources.tables import line_pages, page_numbers, table
 
 #: Demonstration fields over words that occur: (field, number, type, cluster, keywords).
 FIELDS = (
@@ -33,6 +33,10 @@ def pages(spark, d):
     return line_pages(table(spark, d, "documents"))
 
 
+def numbers(spark, d):
+    return page_numbers(table(spark, d, "documents"))
+
+
 def hits(spark, d):
     """item_id, doc_id, page_no, quote: passages that stand on a page. Candidates share the
     passage's first five words with the page; only those are searched."""

@@ -60,6 +60,12 @@ def line_pages(docs: DataFrame, lines: int = 4) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.expr(cut)).alias("k", "text")).select("doc_id", (F.col("k") + 1).alias("page_no"), "text")
 
 
+def page_numbers(docs: DataFrame, lines: int = 4) -> DataFrame:
+    """doc_id, page_no of the pages that ``line_pages`` makes, without their text."""
+    n = F.expr(f"(length(text) - length(replace(text, '\n', ''))) div {lines} + 1")
+    return docs.where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("page_no"))
+
+
 def preferred_text(base: DataFrame, preferred: DataFrame) -> DataFrame:
     """Page text, replaced where a better one is stored and not empty."""
     p = preferred.select("doc_id", "page_no", F.col("text").alias("better"))

@@ -88,10 +88,11 @@ def test_selection_keeps_pinned_and_gap_pages(spark):
     pages = spark.createDataFrame([(1, n, "key" if n in (4, 6, 9) else "none") for n in range(1, 10)], "doc_id int, page_no int, text string")
     fields = spark.createDataFrame([("f", "text", "c")], "field_key string, type string, cluster string")
     kw = spark.createDataFrame([("f", "c", "key")], "field_key string, cluster string, keyword string")
-    top = R.top(R.ranked(R.keyword_scores(pages, kw, ["field_key", "cluster"]), ["field_key"])).join(fields.select("field_key", "type"), "field_key")
+    scores = R.keyword_scores(pages, kw, ["field_key", "cluster"])
+    top = R.top(R.ranked(scores, ["field_key"])).join(fields.select("field_key", "type"), "field_key")
     tables = pages.select("doc_id", "page_no", F.lit(False).alias("is_table"))
-    assert R.select_pages(pages, fields, kw, top, tables).first().pages == [1, 2, 3, 4, 5, 6, 9]
-    capped = R.select_pages(pages, fields, kw, top, tables, cap=5).first().pages
+    assert R.select_pages(pages, fields, scores, top, tables).first().pages == [1, 2, 3, 4, 5, 6, 9]
+    capped = R.select_pages(pages, fields, scores, top, tables, cap=5).first().pages
     assert set(capped) >= {1, 2, 3, 5} and len(capped) == 5
 
 
@@ -100,8 +101,27 @@ def test_salvage(spark):
     assert [r.key for r in S.salvage(raw).orderBy("key").collect()] == ["a", "b"]
 
 
+def test_unknown_clusters_are_an_error(spark):
+    fields = spark.createDataFrame([("f", "c")], "field_key string, cluster string")
+    assert R.cluster_subset(fields, fields, ["c"]).count() == 1
+    with pytest.raises(ValueError, match="nowhere"):
+        R.cluster_subset(fields, fields, ["c", "nowhere"])
+
+
+def test_signs_that_fold_to_several(spark):
+    df = spark.createDataFrame([("wait\u2026 for \u00bd of No\u2122",), ("a \ufb01ne",), ("plain ASCII ... text",)], "t string")
+    assert [r.n for r in df.select(T.normalise(F.col("t")).alias("n")).collect()] == ["wait for 1\u20442 of notm", "a fine", "plain ascii text"]
+
+
+def test_content_of_lists_and_maps(spark):
+    rows = [(None, None, None), ("N/A", [" null ", ""], {}), ("x", None, None), (None, ["none", "y"], None), (None, [], {"k": ""})]
+    df = spark.createDataFrame(rows, "t string, l array<string>, m map<string, string>")
+    assert [r.c for r in df.select(T.has_content(F.col("t"), F.col("l"), F.col("m")).alias("c")).collect()] == [False, False, True, True, True]
+
+
 def test_pages_of_empty_texts(spark):
     docs = spark.createDataFrame([(1, ""), (2, "a\nb\nc\nd\ne")], "doc_id int, text string")
+    assert sorted(S.page_numbers(docs).collect()) == sorted(S.line_pages(docs).select("doc_id", "page_no").collect())
     got = S.line_pages(docs).orderBy("doc_id", "page_no").collect()
     assert [(r.doc_id, r.page_no, r.text) for r in got] == [(1, 1, ""), (2, 1, "a\nb\nc\nd"), (2, 2, "e")]
 
