@@ -82,6 +82,18 @@ def band_keys(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, parts.any(-1)
 
 
+def brief(reg: np.ndarray) -> np.ndarray:
+    """Two mantissa bits of every eighth register, as one 64-bit word."""
+    cells = (reg[:, ::8] & np.uint16(3)).astype(np.uint64) << np.arange(0, 64, 2, dtype=np.uint64)
+    return np.bitwise_or.reduce(cells, axis=1)
+
+
+def brief_limit(percent: int) -> int:
+    """Cells of 32 in which the words of sets at the threshold differ, and SLACK deviations more."""
+    p = 0.75 * (1 - percent / 100)
+    return int(np.ceil(32 * p + SLACK * np.sqrt(32 * p * (1 - p))))
+
+
 def jaccard_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated Jaccard similarity of register rows, and how many registers it rests on.
 
@@ -119,12 +131,13 @@ def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
                         pa.array(signed(pair[:, 0])),
                         pa.array(signed(pair[:, 1])),
                         pa.array([r.tobytes() for r in reg], pa.binary()),
+                        pa.array(signed(brief(reg))),
                         pa.array([signed(k[f]) for k, f in zip(keys, full)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "reg", "bands"],
+                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "reg", "brief", "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, sum_a long, sum_b long, reg binary, bands array<long>"
+    schema = "doc_id long, n_shingles long, sum_a long, sum_b long, reg binary, brief long, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
@@ -135,7 +148,11 @@ def _with(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
 
 
 def _probable(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose register estimate is not clearly below the threshold."""
+    """Pairs a, b whose register estimate is not clearly below the threshold; their brief words are
+    compared first, so that registers are shipped for few accidental pairs."""
+    word = lambda side: sig.select(F.col("doc_id").alias(side), F.col("brief").alias(f"w{side}"))
+    cells = F.expr("bit_count(((wa ^ wb) | shiftrightunsigned(wa ^ wb, 1)) & 6148914691236517205L)")
+    pairs = cut(_with(_with(pairs, "a", word("a")), "b", word("b")).where(cells <= brief_limit(percent)).select("a", "b").distinct())
     one = sig.select(F.col("doc_id").alias("a"), F.col("reg").alias("ra"), F.col("n_shingles").alias("na"))
     two = sig.select(F.col("doc_id").alias("b"), F.col("reg").alias("rb"), F.col("n_shingles").alias("nb"))
 
@@ -246,8 +263,8 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
     """Links between components inside buckets that still span several, searched completely.
 
     Every member outside the largest component of its bucket meets all members of other
-    components, block by block: first by registers, then those with a likely partner by their
-    full sets. A block of either side has about BLOCK rows and SET_BLOCK shingles, and returns
+    components, block by block: first by brief words, then by registers, then those with a likely
+    partner by their full sets. A block of either side has about BLOCK rows and SET_BLOCK shingles, and returns
     only the links that join components.
     """
     blocks = lambda n: F.ceil(F.greatest(n / F.lit(BLOCK), F.col("weight") * n / F.col("n_all") / F.lit(SET_BLOCK))).cast("int")
@@ -264,6 +281,17 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
     dealt = rows.select("key", "doc_id", "pos", "class", "low", "component", F.explode(spots).alias("s")).select("key", "s.*", "doc_id", "pos", "class", "low", "component")
     together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
+    def glance(t, c, asks, told):
+        """The rows of a block that have a partner with a like brief word in another component."""
+        hit, step = np.zeros(t.num_rows, bool), max(1, (1 << 20) // len(told))
+        words, odd = c["brief"].view(np.uint64), np.uint64(0x5555555555555555)
+        for q in range(0, len(asks), step):
+            x = words[asks[q : q + step]][:, None] ^ words[told][None, :]
+            ok = np.bitwise_count((x | (x >> np.uint64(1))) & odd) <= brief_limit(percent)
+            ok &= c["component"][asks[q : q + step]][:, None] != c["component"][told][None, :]
+            hit[asks[q : q + step][ok.any(1)]] = hit[told[ok.any(0)]] = True
+        return t.drop_columns(["brief"]).filter(pa.array(hit))
+
     def ask(t, c, asks, told):
         """The rows of a block that have a likely partner in another component, by their registers.
         A pair counts in the first band that both share, and there in the lower class."""
@@ -288,6 +316,9 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
     prints = sig.select("doc_id", "reg", "n_shingles")
+    place = "key long, x int, y int, asks boolean, told boolean, doc_id long, pos int, class int, low int, component long"
+    dealt = dealt.join(sig.select("doc_id", "brief"), "doc_id").select("key", "x", "y", "asks", "told", "doc_id", "pos", "class", "low", "component", "brief")
+    dealt = cut(together(dealt).mapInArrow(_block_by_block(glance), place))
     open_rows = cut(together(dealt.join(prints, "doc_id")).mapInArrow(_block_by_block(ask), "key long, x int, y int, asks boolean, told boolean, doc_id long, component long"))
     sets = _sets(docs, open_rows.select("doc_id").distinct(), size)
     return together(open_rows.join(sets, "doc_id")).mapInArrow(_block_by_block(link), "a long, b long").distinct()
@@ -338,8 +369,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     real = rows.where("n_shingles > 0 and doc_id is not null")
     # an id with several texts stands for all of them, under its least set
     sig = cut(
-        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "bands")).alias("m"), F.count("*").alias("n"))
-        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.bands", "n"))
+        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "brief", "bands")).alias("m"), F.count("*").alias("n"))
+        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.brief", "m.bands", "n"))
     classes = sig.select(*key, F.col("doc_id").alias("rep"), "n")
     # a set is up to 100 / percent times as large as its partner: it stands under its own power of two and that of its largest partner
     power = lambda n: F.floor(F.log2(n)).cast("int")
