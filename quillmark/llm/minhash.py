@@ -33,6 +33,10 @@ BANDS = BUCKETS // BAND
 MEMBER = ("doc_id", "n_shingles", "pos", "class", "low")
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 SLACK = 4.0
+#: Four-bit cells of the brief word pair.
+CELLS = 32
+#: Ids that a semi-join broadcasts at most (about 24 bytes each in a task's table); beyond it shuffles.
+MAX_IDS = 2_000_000
 #: Rows and shingles of a bucket that one block holds, about; hashes that a step of counting takes.
 BLOCK, SET_BLOCK, COLUMNS = 1024, 2_000_000, 4096
 
@@ -83,15 +87,27 @@ def band_keys(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def brief(reg: np.ndarray) -> np.ndarray:
-    """Two mantissa bits of every eighth register, as one 64-bit word."""
-    cells = (reg[:, ::8] & np.uint16(3)).astype(np.uint64) << np.arange(0, 64, 2, dtype=np.uint64)
-    return np.bitwise_or.reduce(cells, axis=1)
+    """Two 64-bit words of 16 cells each: the least register of each eight, its mantissa reduced to 1 .. 15; 0 for none.
+    Eight registers to a cell, so that those of short texts are not all empty."""
+    mask = (1 << MANTISSA_BITS) - 1
+    order = np.where(reg > 0, (reg.astype(np.int64) | mask) - (reg & mask), 0).reshape(len(reg), CELLS, -1).max(-1)
+    cells = np.where(order > 0, (mask - (order & mask)) % 15 + 1, 0).astype(np.uint64).reshape(-1, 2, 16)
+    return np.bitwise_or.reduce(cells << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
 
 
-def brief_limit(percent: int) -> int:
-    """Cells of 32 in which the words of sets at the threshold differ, and SLACK deviations more."""
-    p = 0.75 * (1 - percent / 100)
-    return int(np.ceil(32 * p + SLACK * np.sqrt(32 * p * (1 - p))))
+def brief_limit(used, percent: int):
+    """Cells of those used by either in which the words of sets at the threshold differ, and SLACK deviations more."""
+    p = 1 - percent / 100
+    return used * p + SLACK * (used * (p * (1 - p))) ** 0.5
+
+
+def brief_alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the brief word pairs (last axis) of two broadcast arrays are as like as the threshold asks."""
+    def cells(x):
+        x = x | (x >> np.uint64(2))
+        return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
+
+    return cells(a ^ b) <= brief_limit(cells(a | b), percent)
 
 
 def jaccard_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +147,13 @@ def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
                         pa.array(signed(pair[:, 0])),
                         pa.array(signed(pair[:, 1])),
                         pa.array([r.tobytes() for r in reg], pa.binary()),
-                        pa.array(signed(brief(reg))),
+                        *(pa.array(signed(w)) for w in np.ascontiguousarray(brief(reg).T)),
                         pa.array([signed(k[f]) for k, f in zip(keys, full)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "reg", "brief", "bands"],
+                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "reg", "w0", "w1", "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, sum_a long, sum_b long, reg binary, brief long, bands array<long>"
+    schema = "doc_id long, n_shingles long, sum_a long, sum_b long, reg binary, w0 long, w1 long, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
@@ -147,12 +163,31 @@ def _with(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
     return spread_join(pairs, table, [side], counts, ["a", "b"])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs a, b."""
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these distinct ids, without a shuffle of the table where there are at most MAX_IDS."""
+    hint = F.broadcast if ids.count() <= MAX_IDS else lambda x: x
+    return table.join(hint(ids), "doc_id", "left_semi")
+
+
 def _probable(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose register estimate is not clearly below the threshold; their brief words are
     compared first, so that registers are shipped for few accidental pairs."""
-    word = lambda side: sig.select(F.col("doc_id").alias(side), F.col("brief").alias(f"w{side}"))
-    cells = F.expr("bit_count(((wa ^ wb) | shiftrightunsigned(wa ^ wb, 1)) & 6148914691236517205L)")
-    pairs = cut(_with(_with(pairs, "a", word("a")), "b", word("b")).where(cells <= brief_limit(percent)).select("a", "b").distinct())
+    word = lambda side: sig.select(F.col("doc_id").alias(side), *[F.col(f"w{k}").alias(f"{side}{k}") for k in (0, 1)])
+
+    def cells(how):
+        x = [f"(a{k} {how} b{k})" for k in (0, 1)]
+        x = [f"({w} | shiftrightunsigned({w}, 2))" for w in x]
+        return F.expr(" + ".join(f"bit_count(({w} | shiftrightunsigned({w}, 1)) & 1229782938247303441L)" for w in x))
+
+    used = cells("|")
+    alike = cells("^") <= used * (1 - percent / 100) + SLACK * F.sqrt(used * (percent / 100 * (1 - percent / 100)))
+    pairs = cut(_with(_with(pairs, "a", word("a")), "b", word("b")).where(alike).select("a", "b").distinct())
+    sig = _only(sig, _ends(pairs))
     one = sig.select(F.col("doc_id").alias("a"), F.col("reg").alias("ra"), F.col("n_shingles").alias("na"))
     two = sig.select(F.col("doc_id").alias("b"), F.col("reg").alias("rb"), F.col("n_shingles").alias("nb"))
 
@@ -175,14 +210,13 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in shingle_sets(t.column("text"), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([t.column("doc_id"), sets], names=["doc_id", "set"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(work, "doc_id long, set binary")
+    return _only(docs, ids).mapInArrow(work, "doc_id long, set binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs a, b whose full sets have 100 * intersection >= percent * union."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(_sets(docs, ids, size))
+    sets = cut(_sets(docs, _ends(pairs), size))
 
     def work(batches):
         for batch in batches:
@@ -283,14 +317,13 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
 
     def glance(t, c, asks, told):
         """The rows of a block that have a partner with a like brief word in another component."""
-        hit, step = np.zeros(t.num_rows, bool), max(1, (1 << 20) // len(told))
-        words, odd = c["brief"].view(np.uint64), np.uint64(0x5555555555555555)
+        hit, step = np.zeros(t.num_rows, bool), max(1, (1 << 19) // len(told))
+        words = np.stack([c["w0"], c["w1"]], 1).view(np.uint64)
         for q in range(0, len(asks), step):
-            x = words[asks[q : q + step]][:, None] ^ words[told][None, :]
-            ok = np.bitwise_count((x | (x >> np.uint64(1))) & odd) <= brief_limit(percent)
+            ok = brief_alike(words[asks[q : q + step]][:, None], words[told][None, :], percent)
             ok &= c["component"][asks[q : q + step]][:, None] != c["component"][told][None, :]
             hit[asks[q : q + step][ok.any(1)]] = hit[told[ok.any(0)]] = True
-        return t.drop_columns(["brief"]).filter(pa.array(hit))
+        return t.drop_columns(["w0", "w1"]).filter(pa.array(hit))
 
     def ask(t, c, asks, told):
         """The rows of a block that have a likely partner in another component, by their registers.
@@ -315,10 +348,10 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
         out = np.array(spanning_links(c["doc_id"], c["component"], asks, told, sets, percent), np.int64).reshape(-1, 2)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
-    prints = sig.select("doc_id", "reg", "n_shingles")
     place = "key long, x int, y int, asks boolean, told boolean, doc_id long, pos int, class int, low int, component long"
-    dealt = dealt.join(sig.select("doc_id", "brief"), "doc_id").select("key", "x", "y", "asks", "told", "doc_id", "pos", "class", "low", "component", "brief")
+    dealt = dealt.join(sig.select("doc_id", "w0", "w1"), "doc_id").select("key", "x", "y", "asks", "told", "doc_id", "pos", "class", "low", "component", "w0", "w1")
     dealt = cut(together(dealt).mapInArrow(_block_by_block(glance), place))
+    prints = _only(sig.select("doc_id", "reg", "n_shingles"), dealt.select("doc_id").distinct())
     open_rows = cut(together(dealt.join(prints, "doc_id")).mapInArrow(_block_by_block(ask), "key long, x int, y int, asks boolean, told boolean, doc_id long, component long"))
     sets = _sets(docs, open_rows.select("doc_id").distinct(), size)
     return together(open_rows.join(sets, "doc_id")).mapInArrow(_block_by_block(link), "a long, b long").distinct()
@@ -369,8 +402,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     real = rows.where("n_shingles > 0 and doc_id is not null")
     # an id with several texts stands for all of them, under its least set
     sig = cut(
-        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "brief", "bands")).alias("m"), F.count("*").alias("n"))
-        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.brief", "m.bands", "n"))
+        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "w0", "w1", "bands")).alias("m"), F.count("*").alias("n"))
+        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.w0", "m.w1", "m.bands", "n"))
     classes = sig.select(*key, F.col("doc_id").alias("rep"), "n")
     # a set is up to 100 / percent times as large as its partner: it stands under its own power of two and that of its largest partner
     power = lambda n: F.floor(F.log2(n)).cast("int")

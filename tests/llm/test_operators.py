@@ -129,6 +129,21 @@ def test_bands_find_pairs_at_the_threshold():
         assert all(((key[k] == key[k + 1]) & full[k]).any() for k in range(0, len(sets), 2))
 
 
+@pytest.mark.parametrize("n", [6, 40, 300])
+def test_brief_words_part_short_texts_too(n):
+    rng = np.random.default_rng(n)
+    draw = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)
+    shared, near, far = round(n * 8 / 9) + 1, [], []
+    for _ in range(400):
+        base = draw(n)
+        near.append((base, np.concatenate([base[:shared], draw(n - shared)])))  # a similarity of 0.8 or more
+        far.append((base, draw(n)))
+    words = lambda sets: minhash.brief(minhash.registers([np.unique(s) for s in sets]))
+    alike = lambda pairs: minhash.brief_alike(words([a for a, _ in pairs]), words([b for _, b in pairs]), 80)
+    assert alike(near).mean() >= 0.995
+    assert n < 40 or alike(far).mean() <= 0.01
+
+
 def test_near_duplicates_edge_rows(spark, nothing):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (3, None)]
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("x"))).collect()
