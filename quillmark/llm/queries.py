@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, decontaminate, fingerprints, lines, minhash, mixing, passages, pii, quality, urls
+from quillmark.llm import chat, decontaminate, divergence, exact, fingerprints, lines, merkle, minhash, mixing, passages, pii, quality, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,4 +67,18 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprints, op3_pii, op4_urls, op5_chat, op6_passages, op7_mixing, op8_line_dedup, op9_quality, op10_decontaminate)}
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_exact(spark, sf_dir):
+    return exact.exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark, sf_dir):
+    """Every second document, by a checksum of its id, shows its text without line feeds."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    return merkle.manifest(_read(spark, sf_dir, "documents"), shown=F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprints, op3_pii, op4_urls, op5_chat, op6_passages, op7_mixing, op8_line_dedup, op9_quality, op10_decontaminate, op11_divergence, op12_exact, op13_merkle)}

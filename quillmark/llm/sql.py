@@ -64,4 +64,70 @@ left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN left_ USING (doc_id)
 """
 
-ORACLES = {"op1_minhash": NEAR_DUPLICATES, "op2_fingerprints": FINGERPRINTS, "op6_passages": PASSAGES}
+DIVERGENCE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS t FROM documents),
+o AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS ln FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+kl AS (SELECT lang, sum(ln) AS lt, count(*) AS v FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.ln FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gs AS (SELECT lang, source, sum(n) AS gt FROM e GROUP BY lang, source),
+p AS MATERIALIZED (SELECT e.lang, e.source, term, n, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (gt + 2 * v) AS BIGINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (ln + 2) // (lt + 2 * v) AS BIGINT) AS q
+  FROM e JOIN gs ON gs.lang = e.lang AND gs.source = e.source JOIN kl ON kl.lang = e.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM w WHERE part = 'pair' OR rank <= 10
+"""
+
+EXACT = f"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents),
+w AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM w
+"""
+
+
+def _tree(name: str, start: str, levels: int) -> str:
+    """CTEs name_0, name_1, ... (tree, pos, n, h): the nodes of every level; a tree of one node stays as it is.
+    Up to 3 ** levels leaves a tree, as a query without recursion has a fixed number of levels."""
+    out = [f"{name}_0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        out.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT tree, pos // 3 AS pos, (any_value(n) + 2) // 3 AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {name}_{k} GROUP BY tree, pos // 3)")
+    return ", ".join(out)
+
+
+def _fold(name: str, source: str, tree: str, pos: str, levels: int, first: str) -> str:
+    """CTEs that fold ``claim`` of ``source`` up the trees of ``name``, and gather the siblings in ``proof``."""
+    out, last = [], source
+    for k in range(levels):
+        at = f"{pos} // {3 ** k}"
+        sib = lambda side: f"coalesce((SELECT string_agg(x.h, '' ORDER BY x.pos) FROM {name}_{k} x WHERE x.tree = f.{tree} AND x.pos // 3 = f.{at} // 3 AND x.pos {side} f.{at}), '')"
+        out.append(f"{first}_{k} AS MATERIALIZED (SELECT f.* EXCLUDE (claim, proof), proof || b || a AS proof, CASE WHEN m > 1 THEN sha256(b || claim || a) ELSE claim END AS claim FROM (SELECT f.*, {sib('<')} AS b, {sib('>')} AS a, (SELECT any_value(x.n) FROM {name}_{k} x WHERE x.tree = f.{tree}) AS m FROM {last} f) f)".replace("f.* EXCLUDE (claim, proof)", "* EXCLUDE (claim, proof, b, a, m)"))
+        last = f"{first}_{k}"
+    return ", ".join(out)
+
+
+def _leaf(text: str) -> str:
+    one = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    return "sha256(" + " || ".join(map(one, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: DuckDB has no crc32; its table-driven form over the digits of an id, eight shifts a byte.
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))"
+_UP, _TOP = 10, 4
+MERKLE = f"""
+WITH l AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {_leaf('text')} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND xor({_CRC}, 4294967295) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS claim, '' AS proof FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{_tree('t', 'SELECT tree, pos, n, leaf AS h FROM r', _UP)},
+q AS MATERIALIZED (SELECT tree AS source_key, h, row_number() OVER (ORDER BY tree) - 1 AS top_pos, '' AS top FROM t_{_UP}),
+{_tree('u', 'SELECT top AS tree, top_pos AS pos, count(*) OVER () AS n, h FROM q', _TOP)},
+{_fold('t', 'r', 'tree', 'pos', _UP, 'f')},
+m AS MATERIALIZED (SELECT f.*, q.h AS subroot, q.top, q.top_pos FROM f_{_UP - 1} f JOIN q ON q.source_key = f.tree),
+{_fold('u', 'm', 'top', 'top_pos', _TOP, 'v')}
+SELECT doc_id, leaf, subroot, u_{_TOP}.h AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = u_{_TOP}.h AS verified FROM v_{_TOP - 1}, u_{_TOP}
+"""
+
+ORACLES = {"op1_minhash": NEAR_DUPLICATES, "op2_fingerprints": FINGERPRINTS, "op6_passages": PASSAGES, "op11_divergence": DIVERGENCE, "op12_exact": EXACT, "op13_merkle": MERKLE}
