@@ -29,8 +29,8 @@ from quillmark.llm.common import ascii_lower, cut, slices, small_batches, split_
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, TOP = 10, 10
-#: Bytes of text counted at once, terms of a shard, sources of a block.
-STEP_BYTES, SHARD, BLOCK = 16 << 20, 8192, 48
+#: Bytes of text counted at once, terms of a shard, sources of a block, chunks of open terms up to which they are broadcast.
+STEP_BYTES, SHARD, BLOCK, MAX_SMALL = 32 << 20, 8192, 48, 1_000_000
 PARTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
@@ -41,7 +41,7 @@ def _count(table: pa.Table, base: int, least_docs: int) -> pa.RecordBatch:
     flat, at = split_words(table.column("text").combine_chunks())
     coded = flat.dictionary_encode()
     width = max(1, len(coded.dictionary))
-    held, times = np.unique(np.repeat(np.arange(table.num_rows), np.diff(at)) * width + coded.indices.to_numpy(), return_counts=True)
+    held, times = np.unique(np.repeat(np.arange(table.num_rows) * width, np.diff(at)) + coded.indices.to_numpy(), return_counts=True)
     row = held // width
     key = group[row] * width + held % width
     order = np.argsort(key, kind="stable")
@@ -101,12 +101,13 @@ def kept_terms(parts: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFram
     terms = counts.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all(ascii_lower(F.col("chunk")), F.lit(TERM), F.lit(0))).alias("term"))
     terms = cut(terms.groupBy("chunk", "term").agg(F.count("*").alias("times")))
     by_group = cut(
-        counts.join(terms, "chunk").groupBy("lang", "source", "term")
+        counts.join(terms.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term")
         .agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.max("docs").alias("low"), F.sum("docs").alias("high")))
     by_lang = cut(by_group.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("low").alias("low"), F.sum("high").alias("high")))
     open_ = by_lang.where((F.col("low") < least_docs) & (F.col("high") >= least_docs)).select("lang", "term", "n")
-    spots = open_.join(terms.select("chunk", "term"), "term").join(parts.where("docs > 0").select("lang", "chunk", "ids"), ["lang", "chunk"])
-    spots = spots.select("lang", "term", "n", F.explode("ids").alias("id"))
+    spots = cut(open_.join(terms.select("chunk", "term"), "term"))
+    spots = F.broadcast(spots) if spots.count() <= MAX_SMALL else spots
+    spots = parts.where(f"docs between 1 and {least_docs - 1}").select("lang", "chunk", "ids").join(spots, ["lang", "chunk"]).select("lang", "term", "n", F.explode("ids").alias("id"))
     settled = spots.groupBy("lang", "term", "n").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") >= least_docs)
     kept = cut(by_lang.where(F.col("low") >= least_docs).select("lang", "term", "n").unionByName(settled.select("lang", "term", "n")))
     return counts.select("lang", "source").distinct(), by_group.select("lang", "source", "term", "n"), kept
@@ -162,7 +163,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     parts = chunk_counts(docs, least_docs)
     found, by_group, kept = kept_terms(parts, least_docs)
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
-    held = cut(by_group.join(kept.withColumnRenamed("n", "lang_n"), ["lang", "term"]))
+    held = cut(by_group.join(kept.withColumnRenamed("n", "lang_n").hint("shuffle_hash"), ["lang", "term"]))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sources = found.groupBy("lang").agg(F.count("*").alias("sources"))
     groups = found.join(totals, ["lang", "source"], "left").join(sources, "lang").join(langs, "lang", "left")

@@ -74,6 +74,7 @@ def brute_audit(rows, least, top):
 @pytest.mark.parametrize("least, step, shard, block", [(10, 16 << 20, 8192, 48), (4, 300, 3, 2), (1000, 16 << 20, 8192, 48)])
 def test_audit(table, rows, least, step, shard, block, monkeypatch):
     monkeypatch.setattr(divergence, "STEP_BYTES", step)
+    monkeypatch.setattr(divergence, "MAX_SMALL", 0 if step < 1000 else 1000)
     monkeypatch.setattr(divergence, "SHARD", shard)
     monkeypatch.setattr(divergence, "BLOCK", block)
     got = divergence.audit(table, least, top=5)
