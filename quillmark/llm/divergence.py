@@ -1,14 +1,14 @@
 """Divergence of sources within a language, by chunk factorization.
 
 White-space chunks are counted per document in Arrow batches, and summed over the documents of a
-(lang, source) group before anything is shuffled. Every distinct chunk of the corpus is split into
-terms once; the terms join back to the chunk counts. A document never crosses the network: a row of
-the first table is a chunk of a group in a piece of a task.
+(lang, source) group before anything is shuffled. Rows of one chunk then meet; it is split into terms
+once, and its groups take the terms from there. A document never crosses the network: a shuffled row is
+a chunk of a group in a piece of a task.
 
 Distinct documents of a term: the chunk that most documents of a group hold bounds them from below
 (summed over groups, which share no document), the sum over its chunks from above. Terms that the
-bounds leave open have only chunks of fewer than ``least_docs`` documents, and those keep the
-numbers of their documents, so their documents are counted one by one. Nothing is estimated.
+bounds leave open have only chunks of fewer than ``least_docs`` documents; a second scan finds
+these documents, and they are counted one by one. Nothing is estimated.
 
 Pairs of sources: each task takes a shard of a language's terms and two blocks of its sources as a
 matrix of p; terms that neither block holds add the same amount each and are added as a product.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,59 +32,90 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, TOP = 10, 10
 #: Bytes of text counted at once, terms of a shard, sources of a block, chunks of open terms up to which they are broadcast.
 STEP_BYTES, SHARD, BLOCK, MAX_SMALL = 32 << 20, 8192, 48, 1_000_000
-PARTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("ids", pa.list_(pa.int64()))])
+COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _count(table: pa.Table, base: int, least_docs: int) -> pa.RecordBatch:
-    """Chunks of these documents by group; ``base`` numbers the first document. Each group also gets a row without chunk."""
-    lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
-    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+def _grouped(table: pa.Table) -> tuple:
+    """The words of these documents: their dictionary, its codes, and the place of each word's document."""
     flat, at = split_words(table.column("text").combine_chunks())
     coded = flat.dictionary_encode()
-    width = max(1, len(coded.dictionary))
-    held, times = np.unique(np.repeat(np.arange(table.num_rows) * width, np.diff(at)) + coded.indices.to_numpy(), return_counts=True)
-    row = held // width
-    key = group[row] * width + held % width
+    return coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(table.num_rows), np.diff(at))
+
+
+def _count(table: pa.Table) -> pa.RecordBatch:
+    """lang, source, chunk, n, docs of these documents."""
+    lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    names, code, row = _grouped(table)
+    width = max(1, len(names))
+    held, times = np.unique(row * width + code, return_counts=True)
+    key = group[held // width] * width + held % width
     order = np.argsort(key, kind="stable")
-    key, row, times = key[order], row[order], times[order]
+    key, times = key[order], times[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
     n = np.add.reduceat(times, first) if len(first) else times
-    docs = np.diff(np.append(first, len(key)))
-    few = docs < least_docs
-    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(few, docs, 0))]), pa.int32()), pa.array(base + row[np.repeat(few, docs)], pa.int64()))
-    groups, key = np.unique(group), key[first]
-
-    def column(of_group, of_chunk):
-        return pa.concat_arrays([of_group, of_chunk])
-
-    every = np.concatenate([groups, key // width])
-    none = pa.array(np.zeros(len(groups), np.int64))
-    chunks = coded.dictionary.take(pa.array(key % width)) if len(key) else pa.array([], pa.string())
-    return pa.RecordBatch.from_arrays([
-        lang.dictionary.take(pa.array(every // len(source.dictionary))), source.dictionary.take(pa.array(every % len(source.dictionary))),
-        column(pa.array([""] * len(groups), pa.string()), chunks), column(none, pa.array(n, pa.int64())), column(none, pa.array(docs, pa.int64())),
-        column(pa.array([[]] * len(groups), pa.list_(pa.int64())), ids)], schema=PARTS)
-
-
-def chunk_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, source, chunk, n, docs, ids: chunks of the documents of a piece of a task, their occurrences and documents;
-    ids numbers these documents where they are fewer than ``least_docs``. Written to the shared folder."""
-    def count(batches):
-        base, held, size = TaskContext.get().partitionId() << 40, [], 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                held.append(piece)
-                size += piece.nbytes
-                if size >= STEP_BYTES:
-                    yield _count(pa.Table.from_batches(held), base, least_docs)
-                    base, held, size = base + sum(x.num_rows for x in held), [], 0
-        if held:
-            yield _count(pa.Table.from_batches(held), base, least_docs)
+    docs, every = np.diff(np.append(first, len(key))), key[first] // width
+    take = lambda column, at: column.take(pa.array(at))
+    return pa.RecordBatch.from_arrays(
+        [take(lang.dictionary, every // len(source.dictionary)), take(source.dictionary, every % len(source.dictionary)), take(names, key[first] % width), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=COUNTS)
+
 
+def _steps(batches):
+    """Tables of about STEP_BYTES, and the number of the first document of each."""
+    base, held, size = TaskContext.get().partitionId() << 40, [], 0
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            held.append(piece)
+            size += piece.nbytes
+            if size >= STEP_BYTES:
+                yield pa.Table.from_batches(held), base
+                base, held, size = base + sum(x.num_rows for x in held), [], 0
+    if held:
+        yield pa.Table.from_batches(held), base
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+def chunk_terms(docs: DataFrame) -> DataFrame:
+    """lang, source, chunk, term, times, n, docs: each chunk of a group with each term in it and how often it is there; the chunk's occurrences and documents.
+
+    A chunk is split at its first group; the others take the terms from there. Written to the shared folder.
+    """
     small_batches(docs.sparkSession)
-    none = F.lit("")
-    texts = docs.select(*[F.coalesce(F.col(c).cast("string"), none).alias(c) for c in ("lang", "source", "text")])
-    return cut(texts.mapInArrow(count, "lang string, source string, chunk string, n long, docs long, ids array<long>"))
+    counts = _texts(docs).mapInArrow(lambda batches: (_count(t) for t, _ in _steps(batches)), "lang string, source string, chunk string, n long, docs long")
+    # tasks have summed their chunks: rows are dealt first, as summing once more before that finds nothing to sum
+    counts = counts.repartition("lang", "source", "chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = W.partitionBy("chunk")
+    counts = counts.withColumn("place", F.row_number().over(whole.orderBy("lang", "source")))
+    split = F.when(F.col("place") == 1, F.regexp_extract_all(ascii_lower(F.col("chunk")), F.lit(TERM), F.lit(0)))
+    counts = counts.withColumn("split", split).withColumn("split", F.first("split", ignorenulls=True).over(whole.orderBy("lang", "source")))
+    each = counts.select("lang", "source", "chunk", "n", "docs", "split", F.explode(F.array_distinct("split")).alias("term"))
+    times = F.when(F.size("split") == 1, 1).otherwise(F.size("split") - F.size(F.array_remove("split", F.col("term"))))
+    return cut(each.select("lang", "source", "chunk", "term", times.alias("times"), "n", "docs"))
+
+
+def _chunk_documents(docs: DataFrame, spots: DataFrame, max_small: int) -> DataFrame:
+    """lang, chunk, id: the documents that hold chunks of ``spots`` (lang, chunk, ...). Up to ``max_small`` chunks are known
+    to the tasks by hash, which spares the other chunks their way to the join."""
+    wanted = spots.select(F.xxhash64("chunk").alias("h")).distinct()
+    known = np.sort(wanted.toPandas().h.to_numpy()) if wanted.count() <= max_small else None
+
+    def find(batches):
+        for table, base in _steps(batches):
+            names, code, row = _grouped(table)
+            some = np.arange(len(names))
+            if known is not None:
+                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in names.to_pylist()), np.uint64, len(names))
+                some = np.flatnonzero(np.isin(h.view(np.int64), known))
+            held = np.zeros(len(names), bool)
+            held[some] = True
+            at = np.unique(row[held[code]] * max(1, len(names)) + code[held[code]])
+            row, code = at // max(1, len(names)), at % max(1, len(names))
+            yield pa.RecordBatch.from_arrays([table.column("lang").combine_chunks().take(pa.array(row)), names.take(pa.array(code)), pa.array(base + row, pa.int64())], names=["lang", "chunk", "id"])
+
+    return _texts(docs).mapInArrow(find, "lang string, chunk string, id long")
 
 
 def _p(n: str, total: str, terms: str) -> Column:
@@ -95,22 +127,18 @@ def _gap(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def kept_terms(parts: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """groups (lang, source); counts of terms (lang, source, term, n); terms in enough documents (lang, term, n)."""
-    counts = cut(parts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    terms = counts.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all(ascii_lower(F.col("chunk")), F.lit(TERM), F.lit(0))).alias("term"))
-    terms = cut(terms.groupBy("chunk", "term").agg(F.count("*").alias("times")))
-    by_group = cut(
-        counts.join(terms.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term")
-        .agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.max("docs").alias("low"), F.sum("docs").alias("high")))
+def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, max_small: int = MAX_SMALL) -> tuple[DataFrame, DataFrame]:
+    """Counts of terms (lang, source, term, n), and the terms in enough documents (lang, term, n)."""
+    forms = chunk_terms(docs)
+    by_group = cut(forms.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.max("docs").alias("low"), F.sum("docs").alias("high")))
     by_lang = cut(by_group.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("low").alias("low"), F.sum("high").alias("high")))
     open_ = by_lang.where((F.col("low") < least_docs) & (F.col("high") >= least_docs)).select("lang", "term", "n")
-    spots = cut(open_.join(terms.select("chunk", "term"), "term"))
-    spots = F.broadcast(spots) if spots.count() <= MAX_SMALL else spots
-    spots = parts.where(f"docs between 1 and {least_docs - 1}").select("lang", "chunk", "ids").join(spots, ["lang", "chunk"]).select("lang", "term", "n", F.explode("ids").alias("id"))
-    settled = spots.groupBy("lang", "term", "n").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") >= least_docs)
+    spots = cut(forms.where(F.col("docs") < least_docs).select("lang", "chunk", "term").join(open_, ["lang", "term"]).distinct())
+    small = spots.count() <= max_small
+    found = cut(_chunk_documents(docs, spots, max_small).join(F.broadcast(spots) if small else spots, ["lang", "chunk"]).select("lang", "term", "n", "id"))
+    settled = found.groupBy("lang", "term", "n").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") >= least_docs)
     kept = cut(by_lang.where(F.col("low") >= least_docs).select("lang", "term", "n").unionByName(settled.select("lang", "term", "n")))
-    return counts.select("lang", "source").distinct(), by_group.select("lang", "source", "term", "n"), kept
+    return by_group.select("lang", "source", "term", "n"), kept
 
 
 def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +179,7 @@ def _pairs(groups: DataFrame, scored: DataFrame) -> DataFrame:
     return both.select("lang", "source", "item", F.coalesce(F.coalesce("sum", F.lit(0)) + rest, F.lit(0)).cast("long").alias("value"))
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, max_small: int = MAX_SMALL) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source's smoothed term shares lie from the other sources'
     (part ``pair``, all of them) and, term by term, above its language's (part ``term``, the ``top`` first).
 
@@ -160,8 +188,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     terms has pairs of value 0; an only source has no pairs; an empty table gives no rows. Ties are ranked by
     item. Columns other than these three are not read.
     """
-    parts = chunk_counts(docs, least_docs)
-    found, by_group, kept = kept_terms(parts, least_docs)
+    found = _texts(docs).select("lang", "source").distinct()
+    by_group, kept = kept_terms(docs, least_docs, max_small)
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
     held = cut(by_group.join(kept.withColumnRenamed("n", "lang_n").hint("shuffle_hash"), ["lang", "term"]))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -74,10 +74,9 @@ def brute_audit(rows, least, top):
 @pytest.mark.parametrize("least, step, shard, block", [(10, 16 << 20, 8192, 48), (4, 300, 3, 2), (1000, 16 << 20, 8192, 48)])
 def test_audit(table, rows, least, step, shard, block, monkeypatch):
     monkeypatch.setattr(divergence, "STEP_BYTES", step)
-    monkeypatch.setattr(divergence, "MAX_SMALL", 0 if step < 1000 else 1000)
     monkeypatch.setattr(divergence, "SHARD", shard)
     monkeypatch.setattr(divergence, "BLOCK", block)
-    got = divergence.audit(table, least, top=5)
+    got = divergence.audit(table, least, top=5, max_small=0 if step < 1000 else 1000)
     assert got.dtypes == [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")]
     assert sorted(map(tuple, got.collect())) == brute_audit(rows, least, 5)
 
@@ -87,8 +86,9 @@ def test_terms_that_only_several_forms_bring_over_the_bound(spark):
     both = [(i, f"(far{'!' * i} near{'?' * (i % 3)} near{';' * (i % 3)}", "en", "s") for i in range(6)]
     both += [(9, "twin, twin; twin: twin. twin! twin? twin", "en", "s")]
     docs = spark.createDataFrame(both, "doc_id long, text string, lang string, source string")
-    _, _, kept = divergence.kept_terms(divergence.chunk_counts(docs, 6), 6)
-    assert {(r.term, r.n) for r in kept.collect()} == {("far", 6), ("near", 12)}
+    for max_small in (0, 1000):
+        _, kept = divergence.kept_terms(docs, 6, max_small)
+        assert {(r.term, r.n) for r in kept.collect()} == {("far", 6), ("near", 12)}
 
 
 def test_audit_of_an_empty_table(table):
