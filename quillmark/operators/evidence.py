@@ -3,15 +3,21 @@
 The page is the claimed one if it holds the quote; else the last page that does; else the
 first page with a fuzzy or segment score of 90; else the first pair of adjacent pages with that
 coverage. Quotes meet pages by doc_id; only those without an exact page go to the fuzzy step.
+
+The fuzzy score is either the containment of word shingles, on built-in functions, or (``aligned``) the
+best alignment of the quote with any offset of the page, which also finds quotes with slips of letters.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmark.functions import text as T
+from quillmark.functions.align import partial_ratio
+from quillmark.sources.tables import kept
 
 #: Shortest quote, length from which segments count, and the scores that pass.
 LEAST, LONG, PASS, SEGMENT_PASS = 12, 300, 90.0, 0.88
@@ -53,6 +59,42 @@ def page_scores(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFram
     return at.select(*key, "page_no", F.round(fuzzy, 6).alias("fuzzy"), F.round(cover, 6).alias("coverage"))
 
 
+def _aligned(rows: DataFrame, key: list[str], passing: float) -> DataFrame:
+    """key, page_no, start_page, fuzzy, coverage, from rows with needle, segs, hay and (for pairs of pages) next."""
+    segment = 100 * SEGMENT_PASS
+
+    def score(batches):
+        for batch in batches:
+            out = []
+            for needle, segs, hay, after, page in zip(*(batch.column(c).to_pylist() for c in ("needle", "segs", "hay", "next", "page_no"))):
+                both = hay if after is None else f"{hay} {after}"
+                found = [partial_ratio(s, both, segment) > 0 for s in segs or ()]
+                # of a pair, the second page is named if the first segment is there and not on the first
+                second = bool(after and segs) and partial_ratio(segs[0], after, segment) > 0 and not partial_ratio(segs[0], hay, segment)
+                out.append((page + second, round(partial_ratio(needle, both, passing), 6) if hay and after is None else 0.0, round(100.0 * sum(found) / len(found), 6) if found else 0.0))
+            start, fuzzy, cover = zip(*out) if out else ((), (), ())
+            keys = [batch.column(c) for c in (*key, "page_no")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start, pa.int32()), pa.array(fuzzy, pa.float64()), pa.array(cover, pa.float64())], names=[*key, "page_no", "start_page", "fuzzy", "coverage"])
+
+    rows = rows.select(*key, "page_no", "needle", "segs", "hay", "next")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in (*key, "page_no"))
+    return rows.mapInArrow(score, f"{kinds}, start_page int, fuzzy double, coverage double")
+
+
+def aligned_scores(quotes: DataFrame, pages: DataFrame, key: list[str], passing: float = PASS) -> DataFrame:
+    """As ``page_scores``, by alignment: fuzzy is the score of the best offset, 0 if below ``passing``; a
+    segment counts from SEGMENT_PASS on. With ``passing`` 0 every offset is aligned and every score exact."""
+    at = quotes.where("checkable").select(*key, "needle", "segs").join(pages, "doc_id")
+    return _aligned(at.withColumn("next", F.lit(None).cast("string")), key, passing).drop("start_page")
+
+
+def aligned_pairs(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+    """As ``pair_scores``, by alignment; only quotes with segments take part."""
+    pairs = pages.withColumn("next", F.lead("hay").over(W.partitionBy("doc_id").orderBy("page_no"))).where("next is not null")
+    at = quotes.where("checkable and size(segs) > 0").select(*key, "needle", "segs").join(pairs, "doc_id")
+    return _aligned(at, key, PASS).select(*key, "page_no", "start_page", F.col("coverage").alias("score"))
+
+
 def pair_scores(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """key, page_no (of the pair's start), score over two adjacent pages; the second page is named
     if the first segment is there and not on the first."""
@@ -68,15 +110,19 @@ def pair_scores(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFram
     return at.select(*key, "page_no", (F.col("page_no") + F.when(second, 1).otherwise(0)).alias("start_page"), F.round(score, 6).alias("score"))
 
 
-def verify(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
-    """quotes plus found_on_page, exact, best_score, status. ``key`` names a quote and holds doc_id."""
-    q, p = prepared_quotes(quotes), prepared_pages(quoted(pages, quotes))
-    exact = exact_pages(q, p, key)
+def verify(quotes: DataFrame, pages: DataFrame, key: list[str], aligned: bool = False) -> DataFrame:
+    """quotes plus found_on_page, exact, best_score, status. ``key`` names a quote and holds doc_id.
+
+    The prepared quotes and pages and the pages found so far are written to the shared folder, as each of the later steps reads them."""
+    on_pages, on_pairs = (aligned_scores, aligned_pairs) if aligned else (page_scores, pair_scores)
+    quotes = kept(quotes)
+    q, p = kept(prepared_quotes(quotes)), kept(prepared_pages(quoted(pages, quotes)))
+    exact = kept(exact_pages(q, p, key))
     open_ = q.where("checkable").join(exact, key, "left_anti")
-    on_page = page_scores(open_, p, key).withColumn("score", F.greatest("fuzzy", "coverage"))
-    fuzzy = on_page.groupBy(*key).agg(F.max("score").alias("best"), F.min(F.when(F.col("score") >= PASS, F.col("page_no"))).alias("fuzzy_page"))
+    on_page = on_pages(open_, p, key).withColumn("score", F.greatest("fuzzy", "coverage"))
+    fuzzy = kept(on_page.groupBy(*key).agg(F.max("score").alias("best"), F.min(F.when(F.col("score") >= PASS, F.col("page_no"))).alias("fuzzy_page")))
     still = open_.join(fuzzy.where("fuzzy_page is not null"), key, "left_anti")
-    pair = pair_scores(still, p, key).where(F.col("score") >= PASS).groupBy(*key).agg(F.min(F.struct("page_no", "start_page", "score")).alias("pair"))
+    pair = on_pairs(still, p, key).where(F.col("score") >= PASS).groupBy(*key).agg(F.min(F.struct("page_no", "start_page", "score")).alias("pair"))
     out = quotes.join(exact, key, "left").join(fuzzy, key, "left").join(pair, key, "left")
     found = F.coalesce("found_on_page", "fuzzy_page", "pair.start_page")
     score = F.when(F.col("found_on_page").isNotNull(), 100.0).otherwise(F.coalesce(F.greatest("best", "pair.score"), F.lit(0.0)))

@@ -335,6 +335,23 @@ def e2_fuzzy(spark, d):
     return E.page_scores(q, E.prepared_pages(X.pages(spark, d)), KEY).groupBy("b", "doc_id", "item_id").agg(F.max("fuzzy").alias("fuzzy"))
 
 
+def _slipped(spark, d):
+    """Passages with one letter misread in every third word, cited by document and page."""
+    slip = F.transform(F.split("quote", " "), lambda w, i: F.when((i % 3 == 0) & (F.length(w) > 1), F.concat(F.substring(w, 1, 1), F.lit("#"), F.substr(w, F.lit(3)))).otherwise(w))
+    q = X.hits(spark, d).withColumn("quote", F.array_join(slip, " "))
+    return q.select("item_id", "doc_id", F.col("page_no").alias("page"), F.lit(True).alias("present"), "quote")
+
+
+@query()
+def e2_aligned(spark, d):
+    """What character alignment finds of misread passages, and what word shingles find."""
+    key = ["item_id", "doc_id", "page"]
+    quotes, pages = S.kept(_slipped(spark, d)), X.pages(spark, d)
+    both = [E.verify(quotes, pages, key, aligned=a).select(*key, "status", "found_on_page", "best_score") for a in (True, False)]
+    shingled = both[1].select(*key, F.col("status").alias("shingled"), F.col("best_score").alias("shingle_score"))
+    return both[0].join(shingled, key)
+
+
 FALSE_PART = "Nothing of this kind was ever written down here."
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +23,27 @@ TRUTH_RECORD = "doc_id string, annotator string, fields map<string, struct<prese
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only in local mode, where none is named."""
+    """The folder that all executors share; in local mode, where none is named, one that the session keeps."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back: several later steps read them, and none
+    depends on the executors that made them."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
