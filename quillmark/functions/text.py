@@ -79,16 +79,56 @@ def repair_clock(c: Column) -> Column:
     return F.regexp_replace(c, r"(\d{1,2})\.(\d{2})(\s*[AaPp][Mm])", "$1:$2$3")
 
 
+#: Month names in English, whole or abbreviated; what may follow a day's number; two-digit years below this are of 2000.
+MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+ORDINAL, PIVOT = r"(?:st|nd|rd|th)?", 69
+YEAR = r"'?(\d{4}|\d{2})(?![\d:])"
+#: Written forms: pattern, and which of its groups are year, month, day. A month's group is a number or a name.
+DATE_FORMS = (
+    (r"(?<![\d/.-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?!\d)", 1, 3, 4),
+    (r"(?<![\d/.-])((?:19|20)\d{2})(\d{2})(\d{2})(?=t\d|\b)", 1, 2, 3),
+    (rf"\b{MONTH}\s*(\d{{1,2}}){ORDINAL}(?:\s*,\s*|\s+)(?:of\s+)?{YEAR}", 3, 1, 2),
+    (rf"(?<!\d)(\d{{1,2}}){ORDINAL}(?:\s+day)?(?:\s+of)?[\s/.-]*{MONTH}[\s,/.-]*(?:of\s+)?{YEAR}", 3, 2, 1),
+    (rf"(?<!\d)(\d{{4}})[\s,/-]+{MONTH}[\s/-]+(\d{{1,2}}){ORDINAL}(?!\d)", 1, 2, 3),
+    (r"(?<![\d/.-])(\d{1,2})([/.-])(\d{1,2})\2'?(\d{4}|\d{2})(?![\d/:])", 4, 1, 3),
+)
+
+
 def extract_date(c: Column) -> Column:
-    """Date part of ISO text or of the written forms below; local clocks are not shifted. Null if none fits."""
-    t = repair_clock(c)
-    found = [
-        F.to_date(F.try_to_timestamp(F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd"))),
-        F.to_date(F.try_to_timestamp(F.regexp_extract(t, r"([A-Z][a-z]+ \d{1,2}, \d{4})", 1), F.lit("MMMM d, yyyy"))),
-        F.to_date(F.try_to_timestamp(F.regexp_extract(t, r"(\d{1,2} [A-Z][a-z]+ \d{4})", 1), F.lit("d MMMM yyyy"))),
-        F.to_date(F.try_to_timestamp(F.regexp_extract(t, r"(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit("M/d/yyyy"))),
-    ]
-    return F.coalesce(*found)
+    """The first whole date of a text; a clock or zone beside it does not shift it. Null if none is whole or real.
+
+    Of two numbers before a year the first is the month, unless it is above 12. Years of two digits are of 1969 to 2068."""
+    t = F.lower(repair_clock(c))
+    names = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, str(k + 1))])
+    found = []
+    for pattern, year, month, day in DATE_FORMS:
+        y, m, d = (F.regexp_extract(t, pattern, k) for k in (year, month, day))
+        if "jan" in pattern:
+            m = F.element_at(names, F.substring(m, 1, 3))
+        else:
+            swap = (year == 4) & (m.try_cast("int") > 12)
+            m, d = F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)
+        y = F.when(F.length(y) == 2, F.when(y.try_cast("int") < PIVOT, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))).otherwise(y)
+        day_ = F.to_date(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d")))
+        found.append(F.when(day_.isNotNull(), F.struct(F.regexp_instr(t, F.lit(pattern)).alias("at"), day_.alias("day"))))
+    return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))["day"]
+
+
+#: Currencies by sign or code, and words that multiply an amount.
+CURRENCIES = {"$": "USD", "us$": "USD", "usd": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP", "c$": "CAD", "cad": "CAD"}
+TIMES = {"k": 1_000, "thousand": 1_000, "m": 1_000_000, "million": 1_000_000, "billion": 1_000_000_000}
+AMOUNT = r"(?i)(?<![a-z])(us\$|c\$|\$|€|£|usd|eur|gbp|cad)\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(million|billion|thousand|m\b|k\b)?|(?<![\d.,])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(million|billion|thousand)?\s*(usd|eur|gbp|cad|dollars|euros)\b"
+
+
+def extract_amount(c: Column) -> Column:
+    """The first amount of money in a text as currency, blank, number with two places; null without one."""
+    g = lambda k: F.lower(F.regexp_extract(c, AMOUNT, k))
+    either = lambda a, b: F.coalesce(F.nullif(g(a), F.lit("")), F.nullif(g(b), F.lit("")))
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    code = F.try_element_at(table(CURRENCIES | {"dollars": "USD", "euros": "EUR"}), either(1, 6))
+    number = F.replace(either(2, 4), F.lit(",")).try_cast("decimal(24,6)") * F.coalesce(F.try_element_at(table(TIMES), either(3, 5)), F.lit(1))
+    return F.when(number.isNotNull(), F.concat(code, F.lit(" "), F.round(number, 2).cast("decimal(24,2)").cast("string")))
 
 
 def has_time(c: Column) -> Column:
@@ -117,6 +157,30 @@ def has_content(text: Column, items: Column, members: Column) -> Column:
     return F.coalesce(is_content(text), F.lit(False)) | F.coalesce(listed, F.lit(False)) | F.coalesce(F.cardinality(members) > 0, F.lit(False))
 
 
+#: What the scanner of cut records stops at: an escaped character, a quotation mark, a bracket, or a run of others.
+JSON_PIECES = r"""(?s)\\.|["{}\[\]]|[^"{}\[\]\\]+|\\"""
+
+
+def closed_part(c: Column) -> Column:
+    """A JSON object that was cut off, up to its last whole object-valued member, and closed; null if there is none.
+
+    Brackets are counted outside strings; escaped quotation marks end no string."""
+    pieces = F.regexp_extract_all(c, F.lit(JSON_PIECES), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("good"))
+
+    def step(s: Column, piece: Column) -> Column:
+        escaped = F.startswith(piece, F.lit("\\")) & (F.length(piece) == 2)
+        x = F.when(escaped, F.when(s["quoted"], F.lit("")).otherwise(F.substring(piece, 2, 1))).otherwise(piece)
+        at = s["at"] + F.length(piece)
+        opens, closes = ~s["quoted"] & x.isin("{", "["), ~s["quoted"] & x.isin("}", "]")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.struct(at.alias("at"), depth.alias("depth"), (s["quoted"] != (x == '"')).alias("quoted"),
+                        F.when(closes & (depth == 1) & (x == "}"), at).otherwise(s["good"]).alias("good"))
+
+    good = F.aggregate(pieces, zero, step, lambda s: s["good"])
+    return F.when(F.startswith(c, F.lit("{")) & (good > 0), F.concat(F.substring(c, F.lit(1), good), F.lit("}")))
+
+
 def truthy(c: Column) -> Column:
     """Any text but the empty one is true; null is not."""
     return F.coalesce(c != "", F.lit(False))

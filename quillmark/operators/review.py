@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from quillmark.functions import text as T
 from quillmark.operators import evidence
 
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -17,6 +19,69 @@ def verified_findings(sources: DataFrame, pages: DataFrame) -> DataFrame:
     return checked.groupBy("finding_id", "doc_id").agg(F.count("*").alias("sources"), F.count_if(ok).alias("verified")).where("verified > 0")
 
 
+#: A line that states something: a label, then a colon, an equals sign, a spaced dash or a leader, then the value.
+STATEMENT = r"^\s*([\p{L}][\p{L}\d ()/&'-]{1,60}?)\s*(?:[:=]|\.{3,}|\s[–—-]\s)\s*(\S.*?)\s*$"
+#: What parts the cells of a line, and rows that only repeat a sum or rule off a header.
+CELLS, TOTALS, RULE = r"\s*\|\s*|\t+|\s{3,}", r"^(sub)?totals?\b", r"^[\s|:+=-]*$"
+
+
+def _lines(pages: DataFrame) -> DataFrame:
+    return pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def statements(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, label, kind, value: what the lines of documents state.
+
+    Labels are squeezed and in lower case. kind: amount (currency and number), date, number (a percentage or a
+    plain one) or text. Written differently, equal dates and amounts have one value."""
+    rows = _lines(pages).where(F.col("line").rlike(STATEMENT))
+    raw = F.regexp_extract("line", STATEMENT, 2)
+    rows = rows.select("doc_id", "page_no", "line_no", T.squeeze(F.regexp_extract("line", STATEMENT, 1)).alias("label"), raw.alias("raw"))
+    number = F.nullif(F.regexp_extract("raw", r"^([\d,]*\d(?:\.\d+)?)\s*(?:%|points?|percent)?$", 1), F.lit(""))
+    rows = rows.withColumn("amount", T.extract_amount(F.col("raw"))).withColumn("day", T.extract_date(F.col("raw"))).withColumn("number", F.replace(number, F.lit(",")).try_cast("double"))
+    kind = F.when(F.col("amount").isNotNull(), "amount").when(F.col("day").isNotNull(), "date").when(F.col("number").isNotNull(), "number").otherwise("text")
+    value = F.coalesce("amount", F.col("day").cast("string"), F.col("number").cast("string"), T.squeeze(F.col("raw")))
+    return rows.select("doc_id", "page_no", "line_no", "label", kind.alias("kind"), value.alias("value"))
+
+
+def conflicts(stated: DataFrame) -> DataFrame:
+    """doc_id, label, kind, n, values: dates and amounts that a document states in more than one way under one label."""
+    sets = stated.where(F.col("kind").isin("date", "amount")).groupBy("doc_id", "label", "kind").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return sets.where(F.size("values") > 1).select("doc_id", "label", "kind", F.size("values").alias("n"), "values")
+
+
+def table_cells(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, table_no, row_no, col_no, header, cell of the tables in pages.
+
+    Lines in a row with equally many cells (two at least) are a table; its first line is the header, rules are left
+    out. table_no is the line of the header."""
+    rows = _lines(pages).where(~F.col("line").rlike(RULE))
+    place = W.partitionBy("doc_id", "page_no").orderBy("line_no")
+    trimmed = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
+    rows = rows.withColumn("at", F.row_number().over(place)).withColumn("cells", F.transform(F.split(F.trim(trimmed), CELLS), lambda x: F.trim(x)))
+    rows = rows.withColumn("width", F.size("cells")).where("width > 1")
+    block = F.col("at") - F.row_number().over(W.partitionBy("doc_id", "page_no", "width").orderBy("line_no"))
+    rows = rows.withColumn("block", block)
+    whole = W.partitionBy("doc_id", "page_no", "width", "block").orderBy("line_no")
+    rows = rows.withColumn("table_no", F.first("line_no").over(whole)).withColumn("names", F.first("cells").over(whole)).withColumn("row_no", F.row_number().over(whole) - 1).where("row_no > 0")
+    cells = rows.select("doc_id", "page_no", "table_no", "row_no", F.posexplode(F.arrays_zip(F.col("names").alias("header"), F.col("cells").alias("cell"))).alias("col_no", "c"), F.element_at("cells", 1).alias("head"))
+    return cells.select("doc_id", "page_no", "table_no", "row_no", "col_no", T.squeeze(F.col("c.header")).alias("header"), F.col("c.cell").alias("cell"), T.squeeze(F.col("head")).alias("head"))
+
+
+def weight_sums(cells: DataFrame) -> DataFrame:
+    """doc_id, page_no, table_no, col_no, total: sums of the columns that hold weights or points, without rows of totals."""
+    number = F.replace(F.regexp_extract("cell", r"^\s*([\d,]*\d(?:\.\d+)?)\s*(?:%|points?)?\s*$", 1), F.lit(",")).try_cast("double")
+    of = cells.where(F.col("header").rlike(r"weight|points|score|%")).where(~F.col("head").rlike(TOTALS)).withColumn("number", number)
+    return of.groupBy("doc_id", "page_no", "table_no", "col_no").agg(F.round(F.sum("number"), 6).alias("total")).where("total is not null")
+
+
+def minimum_breaches(stated: DataFrame, sums: DataFrame) -> DataFrame:
+    """doc_id, label, minimum, most: stated minimum scores that no table of the document can reach."""
+    least = stated.where((F.col("kind") == "number") & F.col("label").rlike(r"\bminimum\b")).select("doc_id", "label", F.col("value").cast("double").alias("minimum"))
+    most = sums.groupBy("doc_id").agg(F.max("total").alias("most"))
+    return least.join(most, "doc_id").where("minimum > most")
+
+
 def conflicting(stated: DataFrame) -> DataFrame:
     """doc_id, label, n of values that a document states in more than one way."""
     return stated.groupBy("doc_id", "label").agg(F.count_distinct("value").alias("n")).where("n > 1")

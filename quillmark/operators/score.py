@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from quillmark.sources.tables import kept
 
 VERDICTS = ("correct", "partial", "wrong", "missing")
 
@@ -68,3 +71,41 @@ def nested_accuracy(graded: DataFrame, outer: str, inner: str) -> DataFrame:
     rows = verdict_counts(graded, [outer, inner])
     entry = F.struct(inner, F.struct("correct", "total", "accuracy"))
     return rows.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("breakdown"))
+
+
+def exact_median(rows: DataFrame, by: list[str], value: str, bins: int = 1024) -> DataFrame:
+    """*by, median: exactly, by narrowing the range that holds the middle values until it is one value.
+
+    Each round counts the values of the range in ``bins`` bins before anything is shuffled, and goes on with the bin in
+    which the middle falls, between its own least and greatest value. State: ``bins`` counts a group, whatever its size.
+    Nulls are left out; values must be finite."""
+    v = F.col(value).cast("double")
+    rows = rows.where(v.isNotNull()).select(*by, v.alias("v"))
+    at = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    half = lambda k: F.floor((F.col("n") - k) / 2)
+    at = kept(at.select(*by, "lo", "hi", F.explode(F.array(F.struct(F.lit(0).alias("middle"), half(1).alias("rank")), F.struct(F.lit(1).alias("middle"), half(0).alias("rank")))).alias("m")).select(*by, "lo", "hi", "m.*"))
+    done = None
+    while True:
+        closed, open_ = at.where("lo = hi"), at.where("lo < hi")
+        done = closed if done is None else done.unionByName(closed)
+        if open_.isEmpty():
+            return done.groupBy(*by).agg(F.avg("lo").alias("median"))
+        same = [rows[c].eqNullSafe(open_[c]) for c in by]
+        inside = rows.join(open_, [*same, rows.v.between(open_.lo, open_.hi)] if by else rows.v.between(open_.lo, open_.hi))
+        spot = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counted = inside.groupBy(*[open_[c] for c in by], "middle", "rank", spot.alias("bin")).agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("k").over(W.partitionBy(*by, "middle").orderBy("bin"))
+        hit = counted.withColumn("before", upto - F.col("k")).where("rank >= before and rank < before + k")
+        at = kept(hit.select(*by, "lo", "hi", "middle", (F.col("rank") - F.col("before")).alias("rank")))
+
+
+def agreement_ratio(agreed: DataFrame, by: list[str]) -> DataFrame:
+    """*by, fields, agreeing, ratio of the rows of ``agreement``."""
+    return agreed.groupBy(*by).agg(F.count("*").alias("fields"), F.count_if("agree").alias("agreeing"), F.round(F.count_if("agree") / F.count("*"), 4).alias("ratio"))
+
+
+def disagreements(answers: DataFrame) -> DataFrame:
+    """doc_id, field_key, values: what each backend says where they differ, by backend."""
+    said = F.array_sort(F.collect_list(F.struct("backend", "shown")))
+    rows = answers.groupBy("doc_id", "field_key").agg(F.count_distinct("shown").alias("kinds"), said.alias("said")).where("kinds > 1")
+    return rows.select("doc_id", "field_key", F.array_join(F.transform("said", lambda x: F.concat(x["backend"].cast("string"), F.lit(": "), x["shown"])), "; ").alias("values"))

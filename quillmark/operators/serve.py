@@ -53,9 +53,11 @@ def field_filter(served: DataFrame, category=None, status=None, confidence=None,
     return served
 
 
-def comparable(kind: Column, present: Column, text: Column, items: Column) -> Column:
-    """Form in which backends are held against each other."""
-    body = F.when(kind == "list", F.array_join(F.array_sort(F.transform(items, lambda x: F.lower(x))), " | ")).otherwise(F.lower(text))
+def comparable(kind: Column, present: Column, text: Column, items: Column, email: Column | None = None, name: Column | None = None) -> Column:
+    """Form in which backends are held against each other; a contact is its address, else its name."""
+    none = F.lit(None).cast("string")
+    contact = F.lower(F.coalesce(F.nullif(none if email is None else email, F.lit("")), none if name is None else name, text))
+    body = F.when(kind == "contact", contact).when(kind == "list", F.array_join(F.array_sort(F.transform(items, lambda x: F.lower(x))), " | ")).otherwise(F.lower(text))
     return F.when(~present, "<absent>").otherwise(F.substring(F.trim(F.regexp_replace(body, r"\s+", " ")), 1, 120))
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as T
 from quillmark.functions.text import file_key
 
 #: Stored run records drift, so every column may be absent.
@@ -103,6 +104,17 @@ def salvage(raw: DataFrame, column: str = "body") -> DataFrame:
     return raw.withColumn("pair", F.explode(F.transform(pairs, one))).select(*[c for c in raw.columns if c != column], "pair.*")
 
 
+def salvage_nested(raw: DataFrame, column: str = "body") -> DataFrame:
+    """The other columns, complete, key, member: members of JSON objects, nested ones with all they hold, as JSON text.
+
+    A record that does not parse is read up to its last whole object-valued member; one without any gives no rows."""
+    parse = lambda c: F.from_json(F.to_json(F.try_parse_json(c)), "map<string,string>")
+    body = F.trim(F.col(column))
+    whole = F.when(F.startswith(body, F.lit("{")), parse(body))
+    out = raw.withColumn("complete", whole.isNotNull()).withColumn("members", F.coalesce(whole, parse(T.closed_part(body))))
+    return out.select(*[c for c in raw.columns if c != column], "complete", F.explode("members").alias("key", "member"))
+
+
 def expect_rows(df: DataFrame, n: int, what: str) -> DataFrame:
     """Fails the job unless there are exactly n rows."""
     got = df.agg(F.count("*").alias("n"))
