@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
+from quillmark.operators.serve import row_name, variant_items
+from quillmark.sources.tables import variant_kind
 
 #: Shares of list items, similarities of items and of free text.
 RECALL_GOOD, RECALL_SOME, ITEM, TEXT_GOOD, TEXT_SOME = 0.8, 0.4, 65.0, 70.0, 40.0
@@ -45,6 +47,11 @@ def item_set(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, T.squeeze), lambda x: x != ""))
 
 
+def variant_set(v: Column) -> Column:
+    """The items of a VARIANT list or table by the member that names them, squeezed, each once; a bare value is a list of one."""
+    return item_set(F.when(variant_kind(v) == "null", F.array().cast("array<string>")).otherwise(F.transform(variant_items(v), row_name)))
+
+
 def list_recall(truth: Column, answer: Column) -> Column:
     found = F.filter(truth, lambda t: F.exists(answer, lambda a: T.token_set_similarity(t, a) >= ITEM))
     return F.try_divide(F.size(found).cast("double"), F.size(truth).cast("double"))

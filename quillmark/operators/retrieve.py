@@ -40,18 +40,30 @@ def ranked(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1)
 
 
-def fused(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+def fusion_scores(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Reciprocal-rank fusion of two rankings: pages of either, sum of 1 / (FUSION + rank)."""
     keys = ["doc_id", *by, "page_no"]
     part = F.coalesce(1.0 / (FUSION + F.col("ra")), F.lit(0.0)) + F.coalesce(1.0 / (FUSION + F.col("rb")), F.lit(0.0))
     both = a.select(*keys, F.col("rank").alias("ra")).join(b.select(*keys, F.col("rank").alias("rb")), keys, "full")
-    return ranked(both.select(*keys, part.alias("score")), by)
+    return both.select(*keys, part.alias("score"))
+
+
+def fused(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """The ranking that follows from two others."""
+    return ranked(fusion_scores(a, b, by), by)
 
 
 def top(rows: DataFrame, k: int = PER_FIELD) -> DataFrame:
     return rows.where(F.col("rank") < k)
 
 
+def top_ranked(scores: DataFrame, by: list[str], k: int = PER_FIELD) -> DataFrame:
+    """The first ``k`` rows of ``ranked``. The bound stands on the row number itself, so that every task keeps k rows of
+    a document and field before anything is shuffled."""
+    w = W.partitionBy("doc_id", *by).orderBy(F.desc("score"), "page_no")
+    return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("rank", F.col("place") - 1).drop("place")
+
+
 def priorities(field_top: DataFrame) -> DataFrame:
     """doc_id, cluster, page_no, priority: the best rank over the cluster's fields."""
     return field_top.groupBy("doc_id", "cluster", "page_no").agg(F.min("rank").alias("priority"))
@@ -110,7 +122,7 @@ def question_pages(questions: DataFrame, pages: DataFrame, question_vectors: Dat
     hits = lambda w: F.floor((F.length("t") - F.length(F.replace(F.col("t"), w, F.lit("")))) / F.length(w))
     words = at.select("doc_id", *by, "page_no", F.aggregate("ws", F.lit(0.0), lambda s, w: s + F.least(hits(w), F.lit(HITS))).alias("score")).where("score > 0")
     near = page_vectors.join(question_vectors, "doc_id").select("doc_id", *by, "page_no", cosine(F.col("v"), F.col("q")).alias("score"))
-    return top(fused(ranked(near, by), ranked(words, by), by), k)
+    return top_ranked(fusion_scores(ranked(near, by), ranked(words, by), by), by, k)
 
 
 def cluster_subset(rows: DataFrame, fields: DataFrame, wanted: list[str]) -> DataFrame:

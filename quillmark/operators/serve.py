@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.sources.tables import variant_kind
+
 #: Cuts of page text for one block and for all pages, and the total.
 PAGE_CUT, SHORT_CUT, TOTAL_CUT, TURNS = 12_000, 3_000, 100_000, 6
 #: Fixed value: characters of a page that its vector is made from.
@@ -61,6 +63,45 @@ def comparable(kind: Column, present: Column, text: Column, items: Column, email
     return F.when(~present, "<absent>").otherwise(F.substring(F.trim(F.regexp_replace(body, r"\s+", " ")), 1, 120))
 
 
+#: Members that name a contact, in order, and that name a row of a table.
+CONTACT, ROW_NAMES = ("name", "email", "phone"), ("category", "coverage_type", "criterion", "coverage")
+
+
+def member(v: Column, name: str) -> Column:
+    """A member of a VARIANT object as text; null where it is none, empty or no plain value."""
+    return F.nullif(F.trim(F.try_variant_get(v, f"$.{name}", "string")), F.lit(""))
+
+
+def variant_items(v: Column) -> Column:
+    """The elements of a VARIANT array as VARIANTs; any other value stands alone."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+
+
+def row_name(v: Column) -> Column:
+    """What a row of a table or an item of a list is called: its naming member, else its text, else all of it."""
+    return F.coalesce(*[member(v, c) for c in ROW_NAMES], F.try_variant_get(v, "$", "string"), F.to_json(v))
+
+
+def typed_text(v: Column, joined: str = "; ") -> Column:
+    """A VARIANT as one string, by its own type: contacts by their members, lists by item, numbers with their unit."""
+    kind, number = variant_kind(v), F.try_variant_get(v, "$", "double")
+    plain = lambda n: F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string"))
+    contact = F.filter(F.array(*[member(v, c) for c in CONTACT]), lambda x: x.isNotNull())
+    inner = F.try_variant_get(v, "$.value", "double")
+    listed = F.array_join(F.filter(F.transform(variant_items(v), row_name), lambda x: F.trim(x) != ""), joined)
+    return (F.when(kind == "null", F.lit(None).cast("string")).when(kind == "array", listed).when(kind == "boolean", F.when(F.try_variant_get(v, "$", "boolean"), "Yes").otherwise("No"))
+            .when(kind == "number", plain(number)).when((kind == "object") & (F.size(contact) > 0), F.array_join(contact, " — "))
+            .when((kind == "object") & inner.isNotNull(), F.concat_ws(" ", plain(inner), member(v, "unit"))).when(kind == "object", row_name(v)).otherwise(F.try_variant_get(v, "$", "string")))
+
+
+def typed_comparable(v: Column, present: Column) -> Column:
+    """Form in which backends are held against each other, from a VARIANT: contacts by address, else name; lists sorted."""
+    kind = variant_kind(v)
+    items = F.array_sort(F.transform(variant_items(v), lambda x: F.lower(row_name(x))))
+    body = F.when(kind == "array", F.array_join(items, " | ")).when(kind == "object", F.coalesce(member(v, "email"), member(v, "name"), typed_text(v))).otherwise(typed_text(v))
+    return F.when(~present | body.isNull(), "<absent>").otherwise(F.substring(F.trim(F.regexp_replace(F.lower(body), r"\s+", " ")), 1, 120))
+
+
 def embedding_input(page_no: Column, text: Column, cut: int = EMBED_CUT) -> Column:
     return F.concat(F.lit("Page "), page_no.cast("string"), F.lit(": "), F.left(text, F.lit(cut)))
 

@@ -239,7 +239,7 @@ def r2_cosine(spark, d):
 
 @query("SELECT doc_id, field_key, page_no, CAST(rank AS INT) AS rank FROM vrank WHERE rank < 5", "vrank")
 def r4_vector_rank(spark, d):
-    return R.top(R.ranked(R.vector_scores(X.page_vectors(spark, d), X.field_vectors(spark, d), ["field_key"]), ["field_key"])).select("doc_id", "field_key", "page_no", "rank")
+    return R.top_ranked(R.vector_scores(X.page_vectors(spark, d), X.field_vectors(spark, d), ["field_key"]), ["field_key"]).select("doc_id", "field_key", "page_no", "rank")
 
 
 def _hybrid(spark, d):
@@ -255,12 +255,12 @@ def r5_rank_fusion(spark, d):
 
 @query("SELECT doc_id, field_key, page_no FROM krank WHERE rank < 5", "krank")
 def r6_field_top(spark, d):
-    return R.top(R.ranked(_kscores(spark, d), ["field_key"])).select("doc_id", "field_key", "page_no")
+    return R.top_ranked(_kscores(spark, d), ["field_key"]).select("doc_id", "field_key", "page_no")
 
 
 @query("SELECT doc_id, cluster, page_no, CAST(min(rank) AS INT) AS priority FROM krank WHERE rank < 5 GROUP BY ALL", "krank")
 def r7_priority(spark, d):
-    return R.priorities(R.top(R.ranked(_kscores(spark, d), ["field_key"])))
+    return R.priorities(R.top_ranked(_kscores(spark, d), ["field_key"]))
 
 
 SELECTED = """, top5 AS (SELECT k.*, type FROM krank k JOIN fields f USING (field_key) WHERE rank < 5),
@@ -286,7 +286,7 @@ def _oracle_select(cap: str) -> str:
 def _selected(spark, d, cap):
     # pages are scored once: both uses of the scores read the same exchange
     f, p, k = X.fields(spark), X.numbers(spark, d), _kscores(spark, d).repartition("doc_id")
-    top = R.top(R.ranked(k, ["field_key"])).join(F.broadcast(f.select("field_key", "type")), "field_key")
+    top = R.top_ranked(k, ["field_key"]).join(F.broadcast(f.select("field_key", "type")), "field_key")
     tables = p.select("doc_id", "page_no", ((F.col("doc_id") + F.col("page_no")) % 3 != 0).alias("is_table"))
     out = R.select_pages(p, f, k, top, tables, cap=cap)
     return out.select("doc_id", "cluster", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))

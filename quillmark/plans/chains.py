@@ -145,6 +145,59 @@ C.ORACLES["a13_ratio"] = _ANSWERS + "SELECT field_key, count(*) AS fields, count
 C.ORACLES["a13_disagreements"] = _ANSWERS + "SELECT doc_id, field_key, string_agg(backend || ': ' || shown, '; ' ORDER BY backend) AS values FROM shown GROUP BY doc_id, field_key HAVING count(DISTINCT shown) > 1"
 
 
+# --- values of any type
+
+
+def _values(spark, d):
+    """Stored values of five types, one per part, as VARIANTs."""
+    json = """case p_partkey % 5 when 0 then '{"name": "' || p_name || '", "email": "' || if(p_partkey % 2 = 0, upper(p_brand) || '@x.org', '') || '", "phone": null}'
+      when 1 then '["' || p_type || '", {"criterion": "' || p_name || '", "weight": 5}, ""]' when 2 then '{"value": ' || p_size || ', "unit": "mm"}' when 3 then if(p_size > 25, 'true', 'false') else cast(p_size as string) || '.50' end"""
+    return S.table(spark, d, "part").select("p_partkey", F.parse_json(F.expr(json)).alias("v"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || CASE WHEN p_partkey % 2 = 0 THEN ' — ' || upper(p_brand) || '@x.org' ELSE '' END WHEN 1 THEN p_type || '; ' || p_name WHEN 2 THEN p_size || ' mm' WHEN 3 THEN CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END ELSE p_size || '.5' END AS shown, "
+       "CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) || '@x.org' ELSE p_name END WHEN 1 THEN '| ' || array_to_string(list_sort([lower(p_type), lower(p_name)]), ' | ') WHEN 2 THEN p_size || ' mm' WHEN 3 THEN CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END ELSE p_size || '.5' END AS compared, CASE WHEN p_partkey % 5 = 1 THEN len(list_distinct([lower(p_type), lower(p_name)])) END AS items FROM part")
+def p2_typed(spark, d):
+    """Values shown, compared and listed by their own type."""
+    v = F.col("v")
+    compared = serve.typed_comparable(v, F.lit(True))
+    items = F.when(F.col("p_partkey") % 5 == 1, F.size(G.variant_set(v))).cast("long")
+    return _values(spark, d).select("p_partkey", serve.typed_text(v).alias("shown"), compared.alias("compared"), items.alias("items"))
+
+
+#: The contract of a stored order: every member, at every depth.
+ORDER_CONTRACT = {"id": "number", "state": {"code": "string", "paid": {"total": "number", "currency": "string|null"}}, "lines": [{"part": "number", "note": "string"}]}
+
+
+@query("SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN '$.state.paid.currency missing' END, CASE WHEN o_orderkey % 4 = 0 THEN '$.state.paid.rate extra' END, CASE WHEN o_orderkey % 5 = 0 THEN '$.state.paid.total wrong type' END, CASE WHEN o_orderkey % 7 = 0 THEN '$.lines[].part wrong type' END, CASE WHEN o_orderkey % 11 = 0 THEN '$.lines[].note missing' END], lambda x: x IS NOT NULL)) AS breach FROM orders")
+def q2_nested(spark, d):
+    """Members of stored orders that are missing, too many or of a wrong type, down to the third level."""
+    json = """'{"id": ' || o_orderkey || ', "state": {"code": "' || o_orderstatus || '", "paid": {"total": ' || if(o_orderkey % 5 = 0, '"much"', '12.5') || if(o_orderkey % 3 = 0, '', ', "currency": null')
+      || if(o_orderkey % 4 = 0, ', "rate": 1', '') || '}}, "lines": [{"part": ' || if(o_orderkey % 7 = 0, 'true', '3') || if(o_orderkey % 11 = 0, '', ', "note": "x"') || '}' || if(o_orderkey % 11 = 0, '', ', {"part": 4, "note": ""}') || ']}'"""
+    rows = S.table(spark, d, "orders").select("o_orderkey", F.parse_json(F.expr(json)).alias("v"))
+    return S.nested_breaches(rows, ["o_orderkey"], "v", ORDER_CONTRACT).select("o_orderkey", F.concat_ws(" ", "path", "breach").alias("breach"))
+
+
+# --- files
+
+
+def _text_files(docs, path: str) -> None:
+    """A file for every sixteenth of a source."""
+    rows = docs.where("text is not null").select(F.col("source").alias("s"), F.pmod("doc_id", F.lit(16)).alias("part"), "doc_id", "text")
+    rows.repartition("s", "part").sortWithinPartitions("s", "part", "doc_id").select("s", "part", F.regexp_replace("text", "\n", " ").alias("value")).write.mode("overwrite").partitionBy("s", "part").text(path)
+
+
+@query("SELECT key, CASE WHEN bool_and(doc_id % 16 = 3) THEN 'removed' WHEN bool_and(doc_id % 16 = 5) THEN 'added' WHEN bool_or(doc_id % 50 = 0) THEN 'changed' ELSE 'same' END AS change FROM (SELECT 's=' || source || '/part=' || doc_id % 16 AS key, doc_id FROM documents WHERE text IS NOT NULL) GROUP BY key")
+def s9_file_drift(spark, d):
+    """Two states of a folder of text files, held against each other by content."""
+    docs = S.table(spark, d, "documents")
+    one, two = (f"{S.shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}" for _ in range(2))
+    _text_files(docs.where(F.pmod("doc_id", F.lit(16)) != 5), one)
+    _text_files(docs.where(F.pmod("doc_id", F.lit(16)) != 3).withColumn("text", F.when(F.pmod("doc_id", F.lit(50)) == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), two)
+    key = F.regexp_extract("path", r"(s=[^/]*/part=[^/]*)/[^/]*$", 1)
+    return S.drift(*[S.manifest(spark, p).withColumn("key", key) for p in (one, two)], "key")
+
+
 # --- records that arrive
 
 _KEY = ["b", "doc_id", "item_id", "page"]

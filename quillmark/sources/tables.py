@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
@@ -86,8 +86,28 @@ def preferred_text(base: DataFrame, preferred: DataFrame) -> DataFrame:
     return base.join(p, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.coalesce(F.nullif("better", F.lit("")), "text").alias("text"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+def file_list(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modified of the files under a folder; their content is not read. Empty files are not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def file_contents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """path, content of the files in ``wanted`` (path, modified); those modified before or after all of these are not opened."""
+    span = wanted.agg(F.min("modified").alias("a"), F.max("modified").alias("b")).first()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(F.col("modificationTime").between(span.a, span.b)).select("path", "content").join(wanted.select("path"), "path", "left_semi")
+
+
+def manifest(spark: SparkSession, path: str, old: DataFrame | None = None) -> DataFrame:
+    """path, length, modified, sha256 of the files under a folder. With an ``old`` manifest, files of the same length and
+    time keep their hash, and only the others are read."""
+    now = file_list(spark, path)
+    same = None if old is None else now.join(old, ["path", "length", "modified"]).select("path", "length", "modified", "sha256")
+    changed = kept(now if old is None else now.join(old, ["path", "length", "modified"], "left_anti"))
+    hashed = changed.join(file_contents(spark, path, changed).select("path", F.sha2("content", 256).alias("sha256")), "path")
+    hashed = hashed.select("path", "length", "modified", "sha256")
+    return hashed if same is None else same.unionByName(hashed)
 
 
 def drift(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -121,6 +141,57 @@ def expect_rows(df: DataFrame, n: int, what: str) -> DataFrame:
     return got.select(F.lit(what).alias("what"), "n", F.when(F.col("n") != n, F.raise_error(F.concat(F.lit(f"{what}: {n} rows expected, "), "n"))).otherwise(F.lit("ok")).alias("state"))
 
 
+def variant_kind(v: Column) -> Column:
+    """object, array, string, number, boolean, null or another type in lower case."""
+    name = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^[A-Za-z]+", 0))
+    return F.when(name.isin("bigint", "int", "smallint", "tinyint", "decimal", "double", "float"), "number").when(name == "void", "null").otherwise(name)
+
+
+def variant_paths(rows: DataFrame, keys: list[str], column: str, depth: int) -> DataFrame:
+    """*keys, at, path, kind of every value down to ``depth`` levels; ``at`` numbers the elements of arrays, which share the path `[]`."""
+    spark = rows.sparkSession
+    level = rows.select(*keys, F.lit("$").alias("at"), F.lit("$").alias("path"), F.col(column).alias("v")).withColumn("kind", variant_kind(F.col("v")))
+    out = level.select(*keys, "at", "path", "kind")
+    for _ in range(depth):
+        inner = level.where(F.col("kind").isin("object", "array")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = lambda element: F.when(F.col("key").isNull(), element).otherwise(F.concat(F.lit("."), F.col("key")))
+        level = inner.select(*keys, F.concat("at", step(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))).alias("at"), F.concat("path", step(F.lit("[]"))).alias("path"), F.col("value").alias("v"))
+        level = level.withColumn("kind", variant_kind(F.col("v")))
+        out = out.unionByName(level.select(*keys, "at", "path", "kind"))
+    return out
+
+
+def contract_paths(contract, path: str = "$") -> list[tuple[str, str, str]]:
+    """path, parent, kinds of all values that a contract names: a dict is an object, a list of one an array of it, a text the
+    kinds that are allowed, parted by bars."""
+    kind = "object" if isinstance(contract, dict) else "array" if isinstance(contract, list) else contract
+    out = [(path, path.rpartition("[]")[0] if path.endswith("[]") else path.rpartition(".")[0], kind)]
+    inner = {f".{k}": v for k, v in contract.items()} if isinstance(contract, dict) else {"[]": contract[0]} if isinstance(contract, list) else {}
+    for k, v in inner.items():
+        out += contract_paths(v, path + k)
+    return out
+
+
+def nested_breaches(rows: DataFrame, keys: list[str], column: str, contract) -> DataFrame:
+    """*keys, path, breach: missing, extra or wrong type, at any depth of the contract.
+
+    All members are required and no others allowed; below a value that breaks the contract nothing more is reported."""
+    spec = contract_paths(contract)
+    depth = max(p.count(".") + p.count("[]") for p, _, _ in spec) + 1
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(spec, "path string, parent string, kinds string"))
+    seen = kept(variant_paths(rows, keys, column, depth))
+    ok = F.array_contains(F.split("kinds", r"\|"), F.col("kind"))
+    typed = seen.join(wanted, "path", "left")
+    wrong = typed.where(F.col("kinds").isNotNull() & ~ok).select(*keys, "path", F.lit("wrong type").alias("breach"))
+    objects = typed.where((F.col("kind") == "object") & ok).select(*keys, "at", F.col("path").alias("parent"))
+    members = wanted.where("path not like '%[]'").select("path", "parent")
+    due = objects.join(members, "parent").withColumn("at", F.concat("at", F.substr("path", F.length("parent") + 1)))
+    missing = due.join(seen.drop("path"), [*keys, "at"], "left_anti").select(*keys, "path", F.lit("missing").alias("breach"))
+    parent = F.regexp_extract("path", r"^(.*)(?:\.[^.\[\]]+)$", 1)
+    extra = typed.where(F.col("kinds").isNull()).withColumn("parent", parent).join(objects.select(*keys, "parent").distinct(), [*keys, "parent"], "left_semi").select(*keys, "path", F.lit("extra").alias("breach"))
+    return wrong.unionByName(missing).unionByName(extra).distinct()
+
+
 def contract_breaches(rows: DataFrame, keys: str, wanted: list[str]) -> DataFrame:
     """missing and extra keys of map columns against the contract; rows that keep it are left out."""
     have, want = F.map_keys(keys), F.array(*map(F.lit, wanted))
