@@ -10,6 +10,7 @@ from pyspark.sql import types as Y
 from quillmark.functions import text as T
 from quillmark.operators import evidence as E
 from quillmark.operators import grade as G
+from quillmark.operators import retrieve as R
 from quillmark.operators import review, score, serve
 from quillmark.plans import catalog as C
 from quillmark.plans import fixtures as X
@@ -228,3 +229,79 @@ def m1_chain(spark, d):
         stream = spark.readStream.schema(schema).parquet(f"{top}/in")
         feeds.scored_feed(stream, table, f"{top}/log", lambda batch: _chain(batch, X.pages(batch.sparkSession, d), truth), every=2)
     return table.read().select("b", "doc_id", "item_id", "status", "best_score", "verdict")
+
+
+# --- views that reach every case of their operator
+
+
+@query("SELECT b, doc_id, item_id, CASE WHEN item_id % 6 = 5 THEN 'manual review' ELSE CASE status WHEN 'verified' THEN 'low confidence' WHEN 'wrong_page' THEN 'found on another page' WHEN 'unverified' THEN 'quote not found' WHEN 'no_quote' THEN 'no quote given' ELSE 'manual review' END END AS reason FROM evidence", "evidence")
+def p7_reasons(spark, d):
+    """Why each verified answer is to be reviewed, also where no check was made."""
+    checked = F.when(F.col("item_id") % 6 != 5, F.col("status"))
+    return C._verified(spark, d).select("b", "doc_id", "item_id", score.review_reason(checked).alias("reason"))
+
+
+@query(f"SELECT backend, difficulty, field_key, doc_id, {C.COUNTS}, CAST(grouping(backend, difficulty, field_key, doc_id) AS INT) AS grain FROM graded GROUP BY GROUPING SETS ((), (backend), (difficulty), (field_key), (doc_id))", "graded")
+def a4_document_grain(spark, d):
+    """Overall, by backend, difficulty, field and document in one pass."""
+    return score.multi_grain(C._graded(spark, d), ["backend", "difficulty", "field_key", "doc_id"])
+
+
+@query("SELECT doc_id, field_key, " + ", ".join(f"max(said) FILTER (WHERE backend = {k}) AS m{k}" for k in range(3)) + " FROM (SELECT *, verdict || ': ' || coalesce(CAST(a AS VARCHAR), 'no answer') || ', ' || CASE status WHEN 'verified' THEN 'low confidence' WHEN 'wrong_page' THEN 'found on another page' ELSE 'quote not found' END AS said FROM graded) GROUP BY doc_id, field_key", "graded")
+def a20_answers(spark, d):
+    """Verdict, answer and reason of every backend beside each other, by document and field."""
+    said = F.concat("verdict", F.lit(": "), F.coalesce(F.col("a").cast("string"), F.lit("no answer")), F.lit(", "), score.review_reason(F.col("status")))
+    rows = C._graded(spark, d).withColumn("said", said).groupBy("doc_id", "field_key").pivot("backend", [0, 1, 2]).agg(F.first("said"))
+    return rows.select("doc_id", "field_key", *[F.col(str(k)).alias(f"m{k}") for k in range(3)])
+
+
+@query("SELECT p.doc_id, p.page_no, p.page_no + s AS cited, n.doc_id IS NOT NULL AS inside FROM doc_pages p CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS s) LEFT JOIN (SELECT doc_id, page_no FROM doc_pages) n ON n.doc_id = p.doc_id AND n.page_no = p.page_no + s", "doc_pages")
+def f13_both_bounds(spark, d):
+    """Cited pages before, on and after each page, and whether the document has them."""
+    last = F.max("page_no").over(C.W.partitionBy("doc_id"))
+    at = X.numbers(spark, d).withColumn("last", last).select("doc_id", "page_no", "last", F.explode(F.array(*[F.col("page_no") + k for k in (-2, -1, 0, 1, 2)])).alias("cited"))
+    return at.select("doc_id", "page_no", "cited", F.col("cited").between(1, F.col("last")).alias("inside"))
+
+
+def _ruled(spark, d):
+    """A text per customer: one sentence an order, of which the status decides between a firm and a loose modal."""
+    modal = F.element_at(F.create_map(*[F.lit(x) for kv in {"F": "shall", "O": "may", "P": "should"}.items() for x in kv]), F.col("o_orderstatus"))
+    said = F.concat(F.lit("Clause "), F.regexp_extract("o_orderpriority", r"^(\d)", 1), F.lit(" of the contract "), F.coalesce(modal, F.lit("must")), F.lit(" be met in full."))
+    o = S.table(spark, d, "orders")
+    return o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("text")).withColumn("page_no", F.lit(1))
+
+
+@query("SELECT o_custkey AS doc_id, 'clause ' || left(o_orderpriority, 1) AS head, count(*) FILTER (WHERE coalesce(o_orderstatus, 'x') NOT IN ('O', 'P')) AS firm, count(*) FILTER (WHERE o_orderstatus IN ('O', 'P')) AS loose FROM orders GROUP BY ALL HAVING firm > 0 AND loose > 0")
+def v4_rules(spark, d):
+    """Clauses that a text puts once as a duty and once as a choice."""
+    return review.modal_clashes(_ruled(spark, d), "shall|must", "should|may")
+
+
+_NEAR = token_set("text", "nxt")
+
+
+@query(f"SELECT conv_id, turn, verdict, verdict <> 'correct' AND (similarity BETWEEN 60 AND 99.999999 OR (coverage >= 0.8 AND coverage < 1)) AS mismatch FROM (SELECT *, CASE WHEN similarity >= 70 THEN 'correct' WHEN similarity >= 40 THEN 'partial' ELSE 'wrong' END AS verdict FROM (SELECT conv_id, turn, {_NEAR} AS similarity, CAST(len(list_filter(tw, x -> list_contains(nw, x))) AS DOUBLE) / nullif(len(tw), 0) AS coverage FROM (SELECT *, list_distinct(string_split(lower(text), ' ')) AS tw, list_distinct(string_split(lower(nxt), ' ')) AS nw FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)) WHERE nxt IS NOT NULL))".replace("x -> ", "lambda x: "))
+def g12_texts(spark, d):
+    """Turns whose verdict against the next turn is at odds with their likeness or the share of their words there."""
+    rows = S.table(spark, d, "conversations").withColumn("nxt", F.lead("text").over(C.W.partitionBy("conv_id").orderBy("turn"))).where("nxt is not null")
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    rows = rows.withColumn("similarity", T.token_set_similarity(F.col("text"), F.col("nxt"))).withColumn("coverage", T.containment(words("text"), words("nxt")))
+    verdict = G.banded(F.col("similarity"), G.TEXT_GOOD, G.TEXT_SOME)
+    return rows.select("conv_id", "turn", verdict.alias("verdict"), G.mismatch(verdict, F.col("similarity"), F.col("coverage")).alias("mismatch"))
+
+
+@query("SELECT cluster, greatest(8, count(*) + 5) AS k, string_agg(field_key, ',' ORDER BY number) AS listed FROM (SELECT p_type AS cluster, p_name AS field_key, min(p_partkey) AS number FROM part GROUP BY ALL) GROUP BY cluster")
+def r8_part_fields(spark, d):
+    """Budgets and listings of clusters whose fields are the names of parts."""
+    f = S.table(spark, d, "part").groupBy(F.col("p_type").alias("cluster"), F.col("p_name").alias("field_key")).agg(F.min("p_partkey").alias("number"))
+    names = f.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "field_key"))), lambda x: x["field_key"]), ",").alias("listed"))
+    return R.budget(f).join(names, "cluster").select("cluster", "k", "listed")
+
+
+@query("SELECT doc_id, field_key, page_no, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0), 9) AS score FROM vrank v FULL JOIN (SELECT doc_id, CAST(number AS VARCHAR) AS field_key, page_no, rank FROM krank JOIN fields USING (field_key)) k USING (doc_id, field_key, page_no)", "vrank", "krank", "fields")
+def r5_all_fields(spark, d):
+    """Both rankings fused for every field; a field's number names its vector."""
+    v = R.ranked(R.vector_scores(X.page_vectors(spark, d), X.field_vectors(spark, d), ["field_key"]), ["field_key"])
+    k = R.ranked(C._kscores(spark, d), ["field_key"]).join(F.broadcast(X.fields(spark).select("field_key", "number")), "field_key")
+    k = k.select("doc_id", F.col("number").cast("string").alias("field_key"), "page_no", "rank")
+    return R.fusion_scores(v, k, ["field_key"]).select("doc_id", "field_key", "page_no", F.round("score", 9).alias("score"))
