@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillmark.llm.common import cut, words
+from quillmark.llm.common import cut, spread_join, words
 
 #: Lines of fewer words are compared exactly; lines of fewer than LEAST characters, here the blank ones, always stay.
 NEAR, LEAST = 8, 1
@@ -44,8 +44,11 @@ def _line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
     """doc_id, line_no, w: the words of the lines at these places."""
     lists = places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("nos"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(lists, "doc_id")
-    at = texts.select("doc_id", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
-    return at.select("doc_id", "line_no", words(F.trim(F.element_at("all", F.col("line_no") + 1))).alias("w"))
+    # a text is split once and bound; picked from beside it, its lines would each split it again
+    both = F.array(F.struct(F.split("text", "\n").alias("all"), F.col("nos")))
+    picked = F.transform(both, lambda x: F.transform(x["nos"], lambda n: F.struct(n.alias("line_no"), F.get(x["all"], n).alias("line"))))
+    at = texts.select("doc_id", F.explode(F.element_at(picked, 1)).alias("p")).where("p.line is not null")
+    return at.select("doc_id", "p.line_no", words(F.trim("p.line")).alias("w"))
 
 
 def near_lines(docs: DataFrame, near_words: int = NEAR, least: int = LEAST) -> DataFrame:
@@ -84,8 +87,8 @@ def near_lines(docs: DataFrame, near_words: int = NEAR, least: int = LEAST) -> D
         F.struct(F.when(F.col("i") == F.col("n") - 1, F.xxhash64(F.col("n"), F.col("pl"), F.lit(0).cast("long"))).alias("k"), F.col("n").alias("i"), F.lit(0).alias("cut")),
     )).alias("v")).where("v.k is not null").select("doc_id", "line_no", "v.k", "v.i", "v.cut")
     keys = cut(keys)
-    lead = keys.groupBy("k").agg(F.min(F.struct("doc_id", "line_no", "i", "cut")).alias("b"), F.count("*").alias("m")).where("m > 1").select("k", "b")
-    near = keys.join(lead, "k").where("struct(doc_id, line_no) > struct(b.doc_id, b.line_no)")
+    lead = cut(keys.groupBy("k").agg(F.min(F.struct("doc_id", "line_no", "i", "cut")).alias("b"), F.count("*").alias("n")).where("n > 1"))
+    near = spread_join(keys, lead.select("k", "b"), ["k"], lead.select("k", "n"), ["doc_id", "line_no"]).where("struct(doc_id, line_no) > struct(b.doc_id, b.line_no)")
     near = near.select("doc_id", "line_no", "i", "cut", F.col("b.doc_id").alias("bd"), F.col("b.line_no").alias("bl"), F.col("b.i").alias("bi"), F.col("b.cut").alias("bc"))
     near = near.groupBy("doc_id", "line_no", "bd", "bl").agg(F.min(F.struct("i", "cut", "bi", "bc")).alias("v"))
 
@@ -117,9 +120,13 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR, least: int = LEAST) ->
     core = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     stay = near_lines(core, near_words, least).where("not near").groupBy("doc_id").agg(F.collect_set("line_no").alias("stay"))
     # the input's own columns travel in one struct, whatever their names
-    tagged = docs.select("doc_id", F.struct(*had).alias("row")).join(stay, "doc_id", "left").withColumn("lines", F.split(F.col("row.text"), "\n"))
-    ok = lambda x, i: (F.length(F.trim(x)) < least) | F.col("doc_id").isNull() | F.coalesce(F.array_contains("stay", i), F.lit(False))
-    tagged = tagged.withColumn("left", F.filter("lines", ok))
+    tagged = docs.select("doc_id", F.struct(*had).alias("row")).join(stay, "doc_id", "left")
+    # the places that stay and the blank lines, in order; the split text is bound once for both
+    whole = F.array(F.struct(F.split(F.col("row.text"), "\n").alias("all"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay")))
+    blank = lambda x: F.filter(F.transform(x["all"], lambda t, i: F.when(F.length(F.trim(t)) < least, i).otherwise(-1)), lambda i: i >= 0)
+    some = lambda x: F.filter(F.transform(F.array_sort(F.array_union(x["stay"], blank(x))), lambda i: F.get(x["all"], i)), lambda t: t.isNotNull())
+    left = lambda x: F.struct(x["all"].alias("lines"), F.when(F.col("doc_id").isNull(), x["all"]).otherwise(some(x)).alias("left"))
+    tagged = tagged.withColumn("pair", F.when(F.col("row.text").isNotNull(), F.element_at(F.transform(whole, left), 1))).select("row", "pair.lines", "pair.left")
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     return tagged.select(
         *[F.array_join("left", "\n").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in had],
