@@ -11,7 +11,9 @@ document with a smaller doc_id.
    side with another document cannot repeat and go.
 3. The words of the remaining distinct runs are fetched. Where a minimizer has very many
    distinct runs (a short passage in many surroundings), these are cut down to the windows whose
-   fingerprint two documents share, and equal parts are merged, so that no shard grows with them.
+   fingerprint two documents share, and equal parts are merged. A minimizer that still has very many
+   parts has them taken apart into single windows, which are dealt by their words: equal windows
+   meet, and no shard grows with them.
 4. The pieces of a shard (a hash range of minimizers) are put into an FM-index, whose wavelet
    matrix is packed; suffix classes and owners stay plain arrays. Every piece goes
    through backward search, which gives for each window the least doc_id that holds it.
@@ -161,8 +163,22 @@ def _shared_parts(hot: DataFrame, window: int) -> DataFrame:
     return part.select("g", "r", "a", "lo", F.xxhash64("codes").alias("p"), "codes")
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, stop (word numbers, stop exclusive) of passages that windows in smaller documents cover."""
+def _apart(part: DataFrame, window: int) -> DataFrame:
+    """``part`` with sub, by which the pieces of a minimizer are dealt: 0, or for minimizers of more than HOT parts the
+    words of each window, which is then a part of its own."""
+    many = part.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g")
+    some = cut(many)
+    if some.isEmpty():
+        return part.withColumn("sub", F.lit(0).cast("long"))
+    rest = part.join(some, "g", "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    each = part.join(some, "g", "left_semi").withColumn("o", F.explode(F.expr(f"sequence(0, length(codes) div {CODE} - {window})")))
+    each = each.withColumn("a", (F.col("a") + F.col("o")).cast("int")).withColumn("codes", F.expr(f"substring(codes, cast(o * {CODE} + 1 as int), {window * CODE})"))
+    each = each.withColumn("p", F.xxhash64("codes")).withColumn("sub", F.col("p"))
+    return rest.unionByName(each.select(*rest.columns))
+
+
+def _dealt(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """runs of all documents; g, r, n of the distinct ones; their pieces by shard; g, r, a, p: where the pieces lie in them."""
     runs = cut(_runs(docs, window))
     distinct = cut(runs.groupBy("g", "r").agg(
         F.min(F.struct("doc_id", "start", "n")).alias("f"), F.max("doc_id").alias("hi"), F.count("*").alias("held"), F.first("before").alias("before"), F.first("after").alias("after")))
@@ -177,15 +193,24 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     at = distinct.select(
         F.col("f.doc_id").alias("doc_id"), F.struct(F.col("f.start").alias("start"), F.col("f.n").alias("n"), "g", "r", F.col("f.doc_id").alias("lo"), "hi", "hot").alias("run"))
     content = _contents(docs, at.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), window)
-    pieces = content.where("spans is null").select("g", F.col("r").alias("p"), "lo", "codes")
+    pieces = content.where("spans is null").select("g", F.col("r").alias("p"), "lo", "codes", F.lit(0).cast("long").alias("sub"))
     places = distinct.where("not hot").select("g", "r", F.lit(0).alias("a"), F.col("r").alias("p"))
+    more = 0
     if not crowded.isEmpty():
-        part = cut(_shared_parts(cut(content.where("spans is not null")), window))
-        pieces = pieces.unionByName(part.groupBy("g", "p").agg(F.min("lo").alias("lo"), F.first("codes").alias("codes")))
+        part = cut(_apart(cut(_shared_parts(cut(content.where("spans is not null")), window)), window))
+        crowd = cut(part.groupBy("g", "p", "sub").agg(F.min("lo").alias("lo"), F.first("codes").alias("codes")))
+        pieces = pieces.unionByName(crowd)
         places = places.unionByName(part.select("g", "r", "a", "p"))
-    shards = max(1, distinct.count() // SHARD)
-    counts = distinct.select("g", "r", F.col("held").alias("n"))
-    least = pieces.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_search(window), "g long, p long, least array<long>")
+        more = crowd.count()
+    shards = max(1, (distinct.count() + more) // SHARD)
+    shard = F.pmod(F.when(F.col("sub") == 0, F.col("g")).otherwise(F.xxhash64("g", "sub")), F.lit(shards))
+    return runs, distinct.select("g", "r", F.col("held").alias("n")), pieces.withColumn("shard", shard), places
+
+
+def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, start, stop (word numbers, stop exclusive) of passages that windows in smaller documents cover."""
+    runs, counts, pieces, places = _dealt(docs, window)
+    least = pieces.drop("sub").groupBy("shard").applyInPandas(_search(window), "g long, p long, least array<long>")
     # a run that is cut down may have several parts
     found = cut(places.join(least, ["g", "p"]).groupBy("g", "r").agg(F.collect_list(F.struct("a", "least")).alias("parts")))
     back = spread_join(runs.select("doc_id", "start", "g", "r"), found, ["g", "r"], counts, ["doc_id", "start"])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat, decontaminate, fingerprints, lines, minhash, mixing, passages, pii, quality, urls
-from quillmark.llm.common import split_words, spread_join
+from quillmark.llm.common import grams, hash_words, split_words, spread_join
 from quillmark.llm.components import components
 from quillmark.llm.fmindex import FmIndex
 
@@ -373,6 +373,27 @@ def test_passages(docs, corpus, nothing, hot, monkeypatch):
     assert passages.dedup_passages(nothing).count() == 0
 
 
+def test_passages_of_one_phrase_in_many_surroundings(spark, monkeypatch):
+    """Each surrounding of the phrase stands in two documents: one minimizer has hundreds of parts, no shard has."""
+    monkeypatch.setattr(passages, "HOT", 50)
+    monkeypatch.setattr(passages, "SHARD", 50)
+    rng = random.Random(4)
+    pool = [f"p{k}" for k in range(20_000)]
+    at = int(np.argmin(grams(hash_words(pa.array(pool)), 8)))  # a phrase that is the minimizer wherever it stands
+    phrase = pool[at : at + 8]
+    word = lambda: f"u{rng.randrange(10**6)}"
+    rows = []
+    for k in range(200):
+        around = [word() for _ in range(45)], [word() for _ in range(45)]
+        rows += [(2 * k + c, " ".join([word() for _ in range(5)] + around[0] + phrase + around[1] + [word() for _ in range(5)])) for c in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, _, pieces, _ = passages._dealt(docs, 50)
+    sizes = [r["count"] for r in pieces.groupBy("shard").count().collect()]
+    assert max(sizes) <= 3 * 50 and pieces.groupBy("g").count().agg(F.max("count")).first()[0] > 150
+    got = {r.doc_id: r.n_removed for r in passages.dedup_passages(docs, with_text=False).collect()}
+    assert got == {i: 98 if i % 2 else 0 for i, _ in rows}
+
+
 def test_targets_and_routes():
     assert mixing.targets({"a": 10, "b": 1000, None: 5}) == pytest.approx({"a": 30.0, "b": 970.0, None: 15.0})
     supply = {("a",): 100, ("a", "b"): 100, ("b",): 10}
