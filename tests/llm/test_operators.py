@@ -623,3 +623,23 @@ def test_decontamination_of_reordered_items(spark, max_small):
     out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_small=max_small)
     assert {(r.doc_id, r.item_id): (r.start, r.shared, r.total) for r in out.collect()} == want
     assert len(want) > 45
+
+
+@pytest.mark.parametrize("n_items", [20, 40])
+def test_items_of_one_form_meet_only_their_own_windows(spark, n_items):
+    """Items of one length share half of their words; windows laid must not grow with the items."""
+    rng = random.Random(16)
+    frame = [f"f{k}" for k in range(20)]
+    items = [(k, " ".join(frame + [f"q{rng.randrange(9999)}" for _ in range(20)])) for k in range(n_items)]
+    items += [(500, items[0][1]), (501, items[0][1].upper()), (3, "another text of the same id " + " ".join(frame))]
+    rows = [(k, f"z{k} " + items[k][1] + " and more") for k in range(10)] + [(100 + k, " ".join([*frame, f"y{k}", *(f"x{rng.randrange(999)}" for _ in range(30))])) for k in range(30)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.shared, r.total) for r in decontaminate.leaks(docs, b).collect()}
+    want = {}
+    for item in items:
+        want |= {k: v for k, v in brute_leaks(rows, [item]).items() if k not in want or v[1] * want[k][2] > want[k][1] * v[2]}
+    assert got == want and {(0, 500), (0, 501), (0, 0)} <= set(got)
+    every = decontaminate.item_shingles(b).withColumn("item", F.xxhash64("n", "grams")).select("item", "n", "grams", "print").distinct()
+    # a copy and its shifts by up to a fifth of the item
+    assert decontaminate.windows(docs, every, [5], True).count() <= 10 * 9 + 60
