@@ -5,7 +5,8 @@ from patterns to sources: a pattern offers its words once at cost 0, again at co
 time at cost 2 (repetition grows dearer), a source takes its quota. Documents of a pattern
 are then taken in seeded order until the pattern's flow is used up.
 
-Scale: up to MAX_PATTERNS patterns are solved on the driver, which never sees documents. Beyond that
+Scale: up to MAX_PATTERNS patterns are solved on the driver, which never sees documents: that many over
+50 sources take 9 to 15 seconds and some 200 MB. Beyond that
 targets come from rounds over the table of sources, and each set of sources that patterns
 connect is solved by itself in a task. A pattern's seeded order is dealt into BINS hash bins whose sums tell whole bins in
 or out; only the rows of the one bin where the flow ends are sorted, so a source with a third
@@ -44,73 +45,90 @@ def targets(sizes: dict, weights=WEIGHTS, copies: int = MAX_COPIES, total: int |
     return {s: out[s] for s in order}
 
 
+def _fill(members: list, holders: list, flow: list, spare: list, need: list) -> bool:
+    """One round of a maximum flow: levels from the sources in need, back over what patterns give to other
+    sources, to patterns with spare words; then words are passed on along rising levels until none get through.
+    Returns whether any did."""
+    level, depth = [-1] * len(need), [-1] * len(members)
+    front, found = [s for s, n in enumerate(need) if n > 0], False
+    wanting = front
+    for s in front:
+        level[s] = 0
+    while front:
+        after = []
+        for s in front:
+            for p, _ in holders[s]:
+                if depth[p] < 0:
+                    depth[p] = level[s]
+                    found = found or spare[p] > 0
+                    for t, given in zip(members[p], flow[p]):
+                        if given and level[t] < 0:
+                            level[t] = level[s] + 1
+                            after.append(t)
+        front = after
+    if not found:
+        return False
+    # the next pattern to try at each source, and the next source to relieve at each pattern
+    tried, relieved = [0] * len(need), [0] * len(members)
+    for goal in wanting:
+        path, s = [], goal  # of each step: the source, its pattern, the source's place there, that of the one relieved
+        while need[goal] > 0:
+            if tried[s] == len(holders[s]):
+                if not path:
+                    break
+                s, p, _, _ = path.pop()
+                relieved[p] += 1
+                continue
+            p, j = holders[s][tried[s]]
+            if depth[p] != level[s]:
+                tried[s] += 1
+            elif spare[p]:
+                x = min(need[goal], spare[p], *(flow[q][k] for _, q, _, k in path))
+                spare[p] -= x
+                flow[p][j] += x
+                need[goal] -= x
+                for _, q, i, k in path:
+                    flow[q][k] -= x
+                    flow[q][i] += x
+                for c, (t, q, _, k) in enumerate(path):
+                    if not flow[q][k]:
+                        path, s = path[:c], t
+                        break
+            else:
+                k = relieved[p]
+                while k < len(members[p]) and not (flow[p][k] and level[members[p][k]] == level[s] + 1):
+                    k += 1
+                relieved[p] = k
+                if k == len(members[p]):
+                    tried[s] += 1
+                else:
+                    path.append((s, p, j, k))
+                    s = members[p][k]
+    return True
+
+
 def route(supply: dict[tuple, int], quota: dict, copies: int = MAX_COPIES) -> dict[tuple, int]:
     """Words taken from each pattern by the cheapest flow that fills the quotas as far as possible.
 
-    Successive cheapest paths. The cost of a path is the pattern's next repetition level minus
-    that of the levels which are freed on the way; moving words between sources is free.
-    Patterns and sources that do not touch are solved apart.
+    Moving words between sources is free, so the cost of a path is the repetition level of the pattern
+    where it starts. The cheapest flow is thus a maximum flow of the first repetitions, made greater by
+    the second ones, and by the third: one maximum flow a level, each going on from the one before.
+    The order of the patterns given does not matter.
     """
-    taken: dict[tuple, int] = {p: 0 for p in supply}
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for p in supply:
-        for s in p[1:]:
-            root[find(("s", s))] = find(("s", p[0]))
-    parts: dict = {}
-    for p in supply:
-        if p:
-            parts.setdefault(find(("s", p[0])), []).append(p)
-    for patterns in parts.values():
-        flow = {(p, s): 0 for p in patterns for s in p}
-        need = {s: quota.get(s, 0) for p in patterns for s in p}
-        holders: dict = {}
-        for p in patterns:
-            for s in p:
-                holders.setdefault(s, []).append(p)
-        while any(need.values()):
-            # from every unfilled source back over flows to the pattern with the cheapest spare level
-            best = None
-            for s0 in (s for s in need if need[s] > 0):
-                came, queue = {("s", s0): None}, [("s", s0)]
-                for kind, x in queue:
-                    if kind == "s":
-                        for p in holders[x]:
-                            if ("p", p) not in came:
-                                came["p", p] = ("s", x)
-                                queue.append(("p", p))
-                    else:
-                        level = taken[x] // supply[x] if supply[x] else copies
-                        if level < copies and (best is None or level < best[0]):
-                            best = (level, ("p", x), came)
-                        for s in x:
-                            if flow[x, s] > 0 and ("s", s) not in came:
-                                came["s", s] = ("p", x)
-                                queue.append(("s", s))
-            if best is None:
-                break
-            level, at, came = best
-            path = [at]
-            while came[path[-1]] is not None:
-                path.append(came[path[-1]])
-            first, last = path[0][1], path[-1][1]
-            amount = min((level + 1) * supply[first] - taken[first], need[last])
-            for a, b in zip(path[1:-1:2], path[2::2]):  # a source passes on what a pattern gave it
-                amount = min(amount, flow[b[1], a[1]])
-            for a, b in zip(path, path[1:]):
-                if a[0] == "p":
-                    flow[a[1], b[1]] += amount
-                else:
-                    flow[b[1], a[1]] -= amount
-            taken[first] += amount
-            need[last] -= amount
-    return taken
+    order = sorted((p for p in supply if p and supply[p]), key=lambda p: [(s is None, s or "") for s in p])
+    place = {s: k for k, s in enumerate(dict.fromkeys(s for p in order for s in p))}
+    members = [[place[s] for s in p] for p in order]
+    flow, spare, need = [[0] * len(p) for p in order], [0] * len(order), [quota.get(s, 0) for s in place]
+    holders: list = [[] for _ in place]
+    for p, held in enumerate(members):
+        for j, s in enumerate(held):
+            holders[s].append((p, j))
+    for _ in range(copies):
+        spare = [n + supply[p] for n, p in zip(spare, order)]
+        while _fill(members, holders, flow, spare, need):
+            pass
+    taken = dict.fromkeys(supply, 0)
+    return taken | {p: sum(given) for p, given in zip(order, flow)}
 
 
 PLAN = "pattern array<string>, source_size long, target double, rounds long, rest long"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -426,6 +427,22 @@ def test_routes_are_cheapest():
         assert (-sum(got.values()), sum(cost(n, got[p]) for p, n in supply.items())) == best
 
 
+def test_routes_of_many_patterns():
+    """All capacity is given out where quotas ask for more, in time that grows with the patterns."""
+    rng = random.Random(18)
+    names = [f"s{k:02d}" for k in range(30)]
+    supply = {tuple(sorted(set(rng.choices(names, k=rng.randrange(1, 5))))): rng.randrange(0, 10_000) for _ in range(12_000)}
+    whole = sum(supply.values())
+    asked = {s: 3 * whole * (k % 5 + 1) // 90 for k, s in enumerate(names)}
+    start = time.monotonic()
+    got = mixing.route(supply, asked)
+    assert time.monotonic() - start < 30
+    assert got == mixing.route(dict(reversed(supply.items())), asked)
+    assert all(0 <= got[p] <= 3 * n for p, n in supply.items())
+    assert sum(got.values()) <= sum(asked.values())
+    assert mixing.route(supply, {s: 10 * whole for s in names}) == {p: 3 * n for p, n in supply.items()}
+
+
 def test_mixing_of_overlapping_sources_apart_and_on_the_driver(spark):
     rng = random.Random(10)
     names = [None, *"abcdefgh"]
