@@ -16,7 +16,7 @@ Scale: the items' shingles and fingerprints are counted first and broadcast whil
 most MAX_SMALL shingles; beyond that, the same joins shuffle. Texts meet only items with which they share one of
 the shingles that fewest items hold (about a fifth of an item's), so wording that many items share
 brings nobody together, and a window is compared with such items alone, not with all of its length. Texts are shuffled once, by
-doc_id, to meet the windows found in them. Windows are few next to the texts: about a fifth of
+doc_id, to meet the windows found in them; while at most MAX_SMALL have any, only those. Windows are few next to the texts: about a fifth of
 an item's length for a whole copy of it.
 """
 
@@ -124,12 +124,18 @@ def _places(rows: DataFrame, items: DataFrame, sizes: list[int], small: bool, pe
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("words", "item", "n", "at")).alias("starts"))
 
 
-def windows(docs: DataFrame, items: DataFrame, sizes: list[int], small: bool, percent: int = PERCENT) -> DataFrame:
+def windows(docs: DataFrame, items: DataFrame, sizes: list[int], small: bool, percent: int = PERCENT, max_small: int = MAX_SMALL) -> DataFrame:
     """doc_id, item, start, part (shingles), mark (SimHash) of the windows that hold enough shingles of an item."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("w"))
-    rows = rows.withColumn("words", F.size("w"))
-    found = rows.join(_places(rows, items, sizes, small, percent), "doc_id")
-    found = found.select("doc_id", "words", "starts", *[shingles("w", k).alias(f"g{k}") for k in sizes]).withColumn("s", F.explode("starts"))
+    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def word_rows(rows):
+        return rows.withColumn("w", tokens(F.col("text"))).drop("text").withColumn("words", F.size("w"))
+
+    places = cut(_places(word_rows(base), items, sizes, small, percent))
+    if places.count() <= max_small:
+        # only the few texts with windows are shuffled
+        base = base.join(F.broadcast(places.select("doc_id")), "doc_id", "left_semi")
+    found = word_rows(base.join(places, "doc_id")).select("doc_id", "words", "starts", *[shingles("w", k).alias(f"g{k}") for k in sizes]).withColumn("s", F.explode("starts"))
     # texts of one doc_id may differ
     found = found.where(F.col("s.words") == F.col("words")).withColumn("start", F.explode("s.at")).withColumn("n", F.col("s.n"))
     part = F.lit(None).cast("array<long>")
@@ -160,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, max_sma
         each = ", ".join(f"struct({k} as block, {bits(c, a, b)} as value)" for k, (a, b) in enumerate(BLOCKS))
         return F.expr(f"explode(array({each}))").alias("x")
 
-    left = windows(docs, items, sizes, small, percent)
+    left = windows(docs, items, sizes, small, percent, max_small)
     left = left.select("*", blocks("mark")).select("doc_id", "item", "start", "part", "mark", "x.*")
     right = items.select("item", "print", blocks("print")).select("item", "print", "x.*")
     right = F.broadcast(right) if facts.items * len(BLOCKS) <= max_small else right
