@@ -109,3 +109,28 @@ def disagreements(answers: DataFrame) -> DataFrame:
     said = F.array_sort(F.collect_list(F.struct("backend", "shown")))
     rows = answers.groupBy("doc_id", "field_key").agg(F.count_distinct("shown").alias("kinds"), said.alias("said")).where("kinds > 1")
     return rows.select("doc_id", "field_key", F.array_join(F.transform("said", lambda x: F.concat(x["backend"].cast("string"), F.lit(": "), x["shown"])), "; ").alias("values"))
+
+
+def run_summary(per_doc: DataFrame, calls: DataFrame, by: list[str]) -> DataFrame:
+    """One row per run: documents, present and absent fields, mean rates of the documents that have any, cost and latency a document.
+
+    ``per_doc``: by, doc_id, asserted, absent, groundedness, hallucination. ``calls``: by, doc_id, cost, latency; calls are summed
+    before they meet the documents. A document without calls costs nothing; calls without a document do not count.
+    """
+    spent = calls.groupBy(*by, "doc_id").agg(F.sum("cost").alias("cost"), F.sum("latency").alias("latency"))
+    rows = per_doc.join(spent, [*by, "doc_id"], "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("docs"), F.sum("asserted").alias("present"), F.sum("absent").alias("absent"), F.round(F.avg("groundedness"), 4).alias("groundedness"),
+        F.round(F.avg("hallucination"), 4).alias("hallucination"), F.round(total("cost"), 2).alias("cost"), F.round(total("latency") / F.count("*"), 4).alias("latency_per_doc"))
+
+
+def tiles(served: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """Found, missing and open fields, the percentage of high confidence and the pages of the documents served (each document once)."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    per_doc = served.groupBy(*by, "doc_id").agg(
+        n("found").alias("found"), n("not_found").alias("missing"), n("needs_review").alias("review"), F.count_if(F.col("bucket") == "high").alias("top"), F.count("*").alias("n"))
+    rows = per_doc.join(pages.groupBy("doc_id").agg(F.count("*").alias("pages")), "doc_id", "left")
+    total = lambda c: F.sum(c).alias(c)
+    return rows.groupBy(*by).agg(
+        total("found"), total("missing"), total("review"), F.round(100.0 * F.sum("top") / F.sum("n"), 2).alias("high"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))

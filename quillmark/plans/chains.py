@@ -305,3 +305,20 @@ def r5_all_fields(spark, d):
     k = R.ranked(C._kscores(spark, d), ["field_key"]).join(F.broadcast(X.fields(spark).select("field_key", "number")), "field_key")
     k = k.select("doc_id", F.col("number").cast("string").alias("field_key"), "page_no", "rank")
     return R.fusion_scores(v, k, ["field_key"]).select("doc_id", "field_key", "page_no", F.round("score", 9).alias("score"))
+
+
+# --- summaries that span several tables
+
+
+@query(f"SELECT b, count(*) AS docs, CAST(sum(asserted) AS BIGINT) AS present, CAST(sum(absent) AS BIGINT) AS absent, round(avg(groundedness), 4) AS groundedness, round(avg(hallucination), 4) AS hallucination, round(coalesce(sum(cost), 0), 2) AS cost, round(coalesce(sum(latency), 0) / count(*), 4) AS latency_per_doc FROM (SELECT b, doc_id, {C.RATES} FROM evidence GROUP BY b, doc_id) LEFT JOIN (SELECT l_linenumber % 3 AS b, l_orderkey AS doc_id, sum(CAST(l_extendedprice AS DOUBLE)) AS cost, sum(CAST(l_quantity AS DOUBLE)) AS latency FROM lineitem GROUP BY ALL) USING (b, doc_id) GROUP BY b", "evidence")
+def a12_run_costs(spark, d):
+    """The run summary with what each document's calls cost and took; order lines stand in for calls."""
+    spent = S.table(spark, d, "lineitem").select((F.col("l_linenumber") % 3).cast("int").alias("b"), F.col("l_orderkey").alias("doc_id"),
+                                                 F.col("l_extendedprice").cast("double").alias("cost"), F.col("l_quantity").cast("double").alias("latency"))
+    return score.run_summary(E.rates(C._verified(spark, d), ["b", "doc_id"]), spent, ["b"])
+
+
+@query("SELECT backend, CAST(sum(found) AS BIGINT) AS found, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(review) AS BIGINT) AS review, round(100.0 * sum(top) / sum(n), 2) AS high, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages FROM (SELECT backend, doc_id, count(*) FILTER (WHERE status = 'found') AS found, count(*) FILTER (WHERE status = 'not_found') AS missing, count(*) FILTER (WHERE status = 'needs_review') AS review, count(*) FILTER (WHERE bucket = 'high') AS top, count(*) AS n FROM served3 GROUP BY backend, doc_id) LEFT JOIN (SELECT doc_id, count(*) AS pages FROM doc_pages GROUP BY doc_id) USING (doc_id) GROUP BY backend", "served3", "doc_pages")
+def a15_page_tiles(spark, d):
+    """Tiles with the pages of the documents behind them."""
+    return score.tiles(C._served(spark, d), X.pages(spark, d), ["backend"])

@@ -160,3 +160,15 @@ def test_scored_feed_equals_one_batch(spark, tmp_path):
         stream = spark.readStream.schema("k int, v string, version int").parquet(str(tmp_path / "in"))
         feeds.scored_feed(stream, table, str(tmp_path / "log"), lambda b: b.withColumn("v", F.upper("v")), every=2)
     assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "A"), (2, "B"), (3, "NEWER")]
+
+
+def test_summaries_of_documents_without_calls_or_pages(spark):
+    rates = spark.createDataFrame([(1, 10, 2, 1, 1.0, 0.0), (1, 11, 0, 3, None, None), (2, 10, 4, 0, 0.5, 0.5)], "b int, doc_id long, asserted long, absent long, groundedness double, hallucination double")
+    calls = spark.createDataFrame([(1, 10, 2.0, 4.0), (1, 10, 1.5, 2.0), (1, 99, 7.0, 7.0)], "b int, doc_id long, cost double, latency double")
+    got = {r.b: tuple(r)[1:] for r in score.run_summary(rates, calls, ["b"]).collect()}
+    assert got == {1: (2, 2, 4, 1.0, 0.0, 3.5, 3.0), 2: (1, 4, 0, 0.5, 0.5, 0.0, 0.0)}
+    shown = spark.createDataFrame([("a", 1, "found", "high"), ("a", 1, "needs_review", "low"), ("a", 2, "not_found", "low"), ("b", 2, "found", "high")], "m string, doc_id long, status string, bucket string")
+    pages = spark.createDataFrame([(1, 1), (1, 2), (3, 1)], "doc_id long, page_no int")
+    got = {r.m: tuple(r)[1:] for r in score.tiles(shown, pages, ["m"]).collect()}
+    assert got == {"a": (1, 1, 1, 33.33, 2), "b": (1, 0, 0, 100.0, 0)}
+    assert score.run_summary(rates.where("false"), calls, ["b"]).count() == 0 and score.tiles(shown.where("false"), pages, ["m"]).count() == 0
