@@ -660,3 +660,62 @@ def test_items_of_one_form_meet_only_their_own_windows(spark, n_items):
     every = decontaminate.item_shingles(b).withColumn("item", F.xxhash64("n", "grams")).select("item", "n", "grams", "print").distinct()
     # a copy and its shifts by up to a fifth of the item
     assert decontaminate.windows(docs, every, [5], True).count() <= 10 * 9 + 60
+
+
+def brute_url_scores(urls_seen, said):
+    """Score of each URL and the cut, from counted characters after every context of up to two."""
+    n_symbols = urls.SYMBOLS
+
+    def symbols(u):
+        return [n_symbols - 1] * 2 + [urls.ALPHABET.find("0" if c in "123456789" else c) + 1 for c in u.lower()]
+
+    held = {u: hashlib.md5(u.encode()).hexdigest()[0] in "0123" for u in urls_seen}
+    seen = {"allow": Counter(), "block": Counter()}
+    for u in urls_seen:
+        if said[u] and not held[u]:
+            a = symbols(u)
+            for i in range(2, len(a)):
+                for k in range(3):
+                    seen[said[u]][(*a[i - k : i], "next", a[i])] += 1
+                    seen[said[u]][(*a[i - k : i], "any")] += 1
+
+    def p(kind, context, c):
+        lower = p(kind, context[1:], c) if context else 1 / n_symbols
+        return (seen[kind][(*context, "next", c)] + urls.BACKOFF * lower) / (seen[kind][(*context, "any")] + urls.BACKOFF)
+
+    def score(u):
+        a, total = symbols(u), 0
+        for i in range(2, len(a)):
+            ratio = (math.log(p("allow", a[i - 2 : i], a[i])) - math.log(p("block", a[i - 2 : i], a[i]))) * urls.UNIT
+            total += int(math.copysign(math.floor(abs(ratio) + 0.5), ratio))
+        return math.floor(total / max(1, len(u)))
+
+    scores = {u: score(u) for u in set(urls_seen)}
+    cells = [(scores[u] // 1000, said[u]) for u in urls_seen if said[u] and held[u]]
+    n_allow, n_block = (sum(v == kind for _, v in cells) for kind in ("allow", "block"))
+    gain = {x: sum(c >= x and v == "allow" for c, v in cells) * n_block + sum(c < x and v == "block" for c, v in cells) * n_allow for x, _ in cells}
+    return scores, 1000 * max(gain, key=lambda x: (gain[x], -abs(x), -x))
+
+
+def test_url_scores_are_those_of_counted_characters(spark):
+    rng = random.Random(19)
+    hosts = ["shop.example.net", "a.b.net", "www.example.com", "data.org", "other.io", "x9.example.net"]
+    seen = [f"https://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr', 'zz'])}/" + "".join(rng.choice("abcxyz-_%?=~0123456789") for _ in range(rng.randrange(0, 25))) for _ in range(300)]
+    seen += seen[:20] + ["https://data.org/fr/" + "long" * 3000, "no scheme", "HTTPS://Data.ORG/fr/UP"]
+    rows = [(None if k % 50 == 0 else k, u, k) for k, u in enumerate(seen)]
+    # a null page_id, a column that clashes with a result, repeated rows
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, score long").withColumn("host", F.col("url"))).collect()
+    assert len(got) == len(rows)
+    said = {}
+    for u in seen:
+        host, _, path = (u.split("://", 1) + [""])[1].partition("/")
+        host, path = host.lower(), "/" + path.split("?")[0]
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        said[u] = max(fits)[1] if fits else None
+    scores, cut = brute_url_scores(seen, said)
+    assert cut != 0 and len({said[u] for u in seen}) == 3
+    for r in got:
+        if r.page_id is not None:
+            u = seen[r.page_id]
+            assert (r.score, r.cut_score) == (scores[u], cut), u
+            assert r.verdict == (said[u] or ("allow" if scores[u] >= cut else "block"))
