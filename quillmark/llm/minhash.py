@@ -7,6 +7,11 @@ candidates (at a similarity of 0.8 a pair escapes all 42 bands once in 300,000 t
 A collision-corrected Jaccard estimate from the registers discards candidates that are far
 from the threshold, the rest are confirmed on their full shingle sets.
 
+Sets of fewer than 128 shingles fill a band with one or two, so that a line they all carry would put
+them all in one bucket. They are indexed by their rarest shingles instead: in any one order of all shingles, two sets at
+the threshold share one of the first n - 0.8 n + 1 of each. The order goes by how many sets hold a shingle, counted
+over all sets in a table of fixed size; any order is exact, this one keeps frequent shingles out of the index.
+
 Scale: identical sets are merged first, so thousands of copies cost one representative.
 Inside a band bucket, members are linked to the bucket's least member only (a star). In buckets
 that still span several components, the members outside the largest one are then asked
@@ -35,6 +40,11 @@ MEMBER = ("doc_id", "n_shingles", "pos", "class", "low")
 SLACK = 4.0
 #: Four-bit cells of the brief word pair.
 CELLS = 32
+#: Largest size class (power of two) that goes by rarest shingles, and the sizes below it.
+SMALL_CLASS = 6
+SMALL = 1 << (SMALL_CLASS + 1)
+#: Bits of the table of shingle counts, one byte a cell (1 MB).
+CELL_BITS = 20
 #: Ids that a semi-join broadcasts at most (about 24 bytes each in a task's table); beyond it shuffles.
 MAX_IDS = 2_000_000
 #: Rows and shingles of a bucket that one block holds, about; hashes that a step of counting takes.
@@ -129,7 +139,7 @@ def likely(a, b, na, nb, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, n_shingles, two checksums of the set, registers and band keys of every row."""
+    """doc_id, n_shingles, two checksums of the set, registers and band keys of every row, and the hashes of small sets."""
     small_batches(docs.sparkSession)
 
     def work(batches):
@@ -149,14 +159,60 @@ def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
                         pa.array([r.tobytes() for r in reg], pa.binary()),
                         *(pa.array(signed(w)) for w in np.ascontiguousarray(brief(reg).T)),
                         pa.array([signed(k[f]) for k, f in zip(keys, full)], pa.list_(pa.int64())),
+                        pa.array([signed(s) if len(s) < SMALL else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "reg", "w0", "w1", "bands"],
+                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "reg", "w0", "w1", "bands", "few"],
                 )
 
-    schema = "doc_id long, n_shingles long, sum_a long, sum_b long, reg binary, w0 long, w1 long, bands array<long>"
+    schema = "doc_id long, n_shingles long, sum_a long, sum_b long, reg binary, w0 long, w1 long, bands array<long>, few array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
+def rarity(small: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each cell of the count table are, in quarter powers of two."""
+    cell = F.col("h").bitwiseAND((1 << CELL_BITS) - 1).alias("cell")
+    counts = small.select(F.explode("few").alias("h")).groupBy(cell).agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    out[counts.column("cell").to_numpy()] = (4 * np.log2(counts.column("n").to_numpy())).clip(0, 255)
+    return out
+
+
+def rarest(small: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, shingle: the rarest of each set, of which a set at the threshold holds one at least."""
+    rank = rarity(small)
+
+    def work(batches):
+        for t in batches:
+            n = t.column("n_shingles").to_numpy()
+            flat = t.column("few").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, rank[flat & np.uint64((1 << CELL_BITS) - 1)], owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = place < (n - (percent * n + 99) // 100 + 1)[owner]
+            yield pa.RecordBatch.from_arrays(
+                [t.column("doc_id").take(pa.array(owner[first])), pa.array(n[owner[first]]), pa.array(signed(flat[order[first]]))],
+                names=["doc_id", "n_shingles", "shingle"])
+
+    return small.select("doc_id", "n_shingles", "few").mapInArrow(work, "doc_id long, n_shingles long, shingle long")
+
+
+def bucket_rows(sig: DataFrame, percent: int) -> DataFrame:
+    """key and MEMBER of every bucket a set is in: bands, and the rarest shingles of small sets, whose pos is -1.
+
+    A set is up to 100 / percent times as large as its partner: it stands under its own power of
+    two and that of its largest partner, so a pair meets under the larger one's.
+    """
+    power = lambda n: F.floor(F.log2(n)).cast("int")
+    spread = F.array_distinct(F.array(power(F.col("n_shingles")), power(F.col("n_shingles") * (100 / percent) + 1)))
+    low = power(F.col("n_shingles")).alias("low")
+    bands = sig.select("doc_id", "n_shingles", low, "bands", F.explode(F.filter(spread, lambda c: c > SMALL_CLASS)).alias("class"))
+    bands = bands.select("doc_id", "n_shingles", "low", "class", F.posexplode("bands").alias("pos", "band"))
+    bands = bands.select(F.xxhash64("band", "class").alias("key"), *MEMBER)
+    small = rarest(sig.where("few is not null"), percent)
+    small = small.select("doc_id", "n_shingles", low, "shingle", F.lit(-1).alias("pos"), F.explode(F.filter(spread, lambda c: c <= SMALL_CLASS)).alias("class"))
+    return bands.unionByName(small.select(F.xxhash64("shingle", "class", F.lit("rare")).alias("key"), *MEMBER))
+
+
 def _with(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
     """The pairs with the columns of ``table``, by its column ``side``; ids in many pairs are dealt over several tasks."""
     counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
@@ -327,7 +383,7 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
 
     def ask(t, c, asks, told):
         """The rows of a block that have a likely partner in another component, by their registers.
-        A pair counts in the first band that both share, and there in the lower class."""
+        A pair counts in the first band that both share (in any of their rare shingles), and there in the lower class."""
         reg = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         hit, n, step = np.zeros(t.num_rows, bool), c["n_shingles"].astype(float), max(1, 8192 // len(told))
         keys, full = band_keys(reg)
@@ -339,7 +395,7 @@ def _block_links(rows: DataFrame, sig: DataFrame, docs: DataFrame, size: int, pe
             ok = likely(reg[i], reg[j], n[i], n[j], percent)
             i, j = i[ok], j[ok]
             band = ((keys[i] == keys[j]) & full[i] & full[j]).argmax(1)
-            ok = (place[i, band] == c["pos"][i]) & (c["class"][i] == np.maximum(c["low"][i], c["low"][j]))
+            ok = ((c["pos"][i] < 0) | (place[i, band] == c["pos"][i])) & (c["class"][i] == np.maximum(c["low"][i], c["low"][j]))
             hit[i[ok]] = hit[j[ok]] = True
         return t.select(["key", "x", "y", "asks", "told", "doc_id", "component"]).filter(pa.array(hit))
 
@@ -402,15 +458,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     real = rows.where("n_shingles > 0 and doc_id is not null")
     # an id with several texts stands for all of them, under its least set
     sig = cut(
-        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "w0", "w1", "bands")).alias("m"), F.count("*").alias("n"))
-        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.w0", "m.w1", "m.bands", "n"))
+        real.groupBy(*key).agg(F.min(F.struct("doc_id", "reg", "w0", "w1", "bands", "few")).alias("m"), F.count("*").alias("n"))
+        .select(F.col("m.doc_id").alias("doc_id"), *key, "m.reg", "m.w0", "m.w1", "m.bands", "m.few", "n"))
     classes = sig.select(*key, F.col("doc_id").alias("rep"), "n")
-    # a set is up to 100 / percent times as large as its partner: it stands under its own power of two and that of its largest partner
-    power = lambda n: F.floor(F.log2(n)).cast("int")
-    spread = F.array_distinct(F.array(power(F.col("n_shingles")), power(F.col("n_shingles") * (100 / percent) + 1)))
-    bands = sig.select("doc_id", "n_shingles", power(F.col("n_shingles")).alias("low"), F.posexplode("bands").alias("pos", "band"), spread.alias("spread"))
-    bands = bands.select("doc_id", "n_shingles", "low", "pos", "band", F.explode("spread").alias("class"))
-    bands = bands.select(F.xxhash64("band", "class").alias("key"), *MEMBER)
+    bands = bucket_rows(sig, percent)
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("a < z").select("key", "a", "n")
     hubs = cut(hubs)
     buckets = cut(spread_join(bands, hubs.drop("n"), ["key"], hubs.select("key", "n"), ["doc_id"]))

@@ -130,6 +130,31 @@ def test_bands_find_pairs_at_the_threshold():
         assert all(((key[k] == key[k + 1]) & full[k]).any() for k in range(0, len(sets), 2))
 
 
+def test_small_sets_share_a_rare_shingle(spark):
+    """Every pair of small sets at 0.8 or more meets under one key; texts that share one shingle alone do not crowd it."""
+    rng = random.Random(8)
+    for copies in (300, 600):  # a shared line of four words is one shingle of all
+        rows = [(i, " ".join([f"a{i}", f"b{i}", f"c{i}", "all", "rights", "are", "reserved"][: 7 if i % 2 else 5 + i % 3])) for i in range(copies)]
+        rows = [(i, t + " all rights are reserved") for i, t in rows]
+        sig = minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+        keys = minhash.bucket_rows(sig.where("n_shingles > 0"), 80)
+        assert keys.groupBy("key").count().agg(F.max("count")).first()[0] <= 2
+        assert keys.count() <= 6 * copies
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(6, 120))]
+        rows.append((2 * k, " ".join(base)))
+        base[rng.choice([0, -1, rng.randrange(len(base))])] = "edit"
+        rows.append((2 * k + 1, " ".join(base[rng.randrange(2) :])))
+    sets, _ = brute_groups(rows, 4, 80)
+    sig = minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = {}
+    for r in minhash.bucket_rows(sig.where("n_shingles > 0"), 80).collect():
+        held.setdefault(r.doc_id, set()).add((r.key))
+    near = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(near) > 20 and all(held[i] & held[j] for i, j in near)
+
+
 @pytest.mark.parametrize("n", [6, 40, 300])
 def test_brief_words_part_short_texts_too(n):
     rng = np.random.default_rng(n)
