@@ -1,7 +1,9 @@
 """Chat formatting in budgeted windows.
 
 Turns are marked by a template and cut into windows of at most ``budget`` tokens, at turn
-boundaries: a running sum of turn tokens decides where a window ends. Every later window
+boundaries. Tokens are counted before the shuffle, so those of a long conversation are counted by many tasks; their
+prefix sums in turn order, taken batch by batch, choose the spans: where a window ends and how far back its history
+goes are differences of two of them. Every later window
 repeats the conversation's system turn and the last turns before it, up to ``history``
 tokens, and masks both from the loss; so each assistant turn is a target exactly once.
 """
@@ -11,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import deque
+from bisect import bisect_left
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,37 +53,41 @@ def counter(vocabulary: bytes | None):
     return lambda text: len(code.encode_ordinary(text)) + 4  # marks and role
 
 
-def windows_of(turns, count, budget: int, history: int):
-    """Windows of one conversation's (role, text) turns in order: (context, new turns, tokens).
+def spans(turns, budget: int, history: int):
+    """Windows of one conversation's turns (role, text, tokens, prefix sum of tokens) in order: (context, new turns, tokens).
 
     Tokens stay within the budget, but for a turn that alone exceeds it and stands alone. The system turn is
-    repeated wherever it fits beside the next turn.
+    repeated wherever it fits beside the next turn. Only differences of prefix sums count, so they may begin anywhere.
     """
-    system, recent, kept = None, deque(), 0
-    context, new, used = [], [], 0
-    for role, text in turns:
-        cost = count(text)
-        if new and used + cost > budget:
-            yield context, new, used
-            new = []
-            lead = [system] if system and system[2] + cost <= budget else []
-            room = min(history, budget - cost - sum(t[2] for t in lead))
-            while recent and kept > room:
-                kept -= recent.popleft()[2]
-            context = lead + list(recent)
-            used = sum(t[2] for t in context)
-        turn = (role, text, cost)
-        new.append(turn)
-        used += cost
+    system, context, new, lead, start = None, [], [], 0, None
+    recent, before = [], []  # turns that a window may repeat, and the prefix sum without the system turn before each
+    for role, text, cost, upto in turns:
+        body = upto - cost - (system[2] if system else 0)
+        if new and lead + upto - start > budget:
+            yield context, new, lead + upto - cost - start
+            fixed = [system] if system and system[2] + cost <= budget else []
+            lead = sum(t[2] for t in fixed)
+            back = bisect_left(before, body - min(history, budget - cost - lead))
+            context, new, start = fixed + recent[back:], [], None
+            lead += body - before[back] if back < len(before) else 0
+        start = upto - cost if start is None else start
+        new.append((role, text, cost))
         if role == "system" and system is None:
-            system = turn
+            system = new[-1]
         else:
-            recent.append(turn)
-            kept += cost
-            while kept > history and recent:
-                kept -= recent.popleft()[2]
+            recent.append(new[-1])
+            before.append(body)
+            gone = bisect_left(before, body + cost - history)
+            del recent[:gone], before[:gone]
     if new:
-        yield context, new, used
+        yield context, new, lead + upto - start
+
+
+def windows_of(turns, count, budget: int, history: int):
+    """``spans`` of (role, text) turns that are not counted yet."""
+    turns = [(role, text, count(text)) for role, text in turns]
+    sums = np.cumsum([t[2] for t in turns], dtype=np.int64).tolist()
+    return spans(((*t, u) for t, u in zip(turns, sums)), budget, history)
 
 
 def render(context, new) -> tuple[str, list[tuple[int, int]]]:
@@ -95,10 +103,17 @@ def render(context, new) -> tuple[str, list[tuple[int, int]]]:
 
 def _runs(batches, key: str):
     """(key, iterator of rows) for consecutive equal keys; one row is held at a time."""
-    import itertools
-
     rows = (r for b in batches for r in b.to_pylist())
-    return itertools.groupby(rows, key=lambda r: r[key])
+    return groupby(rows, key=lambda r: r[key])
+
+
+def _summed(batches):
+    """The batches with the prefix sum of their tokens, over all batches of the task."""
+    last = 0
+    for b in batches:
+        sums = last + np.cumsum(b.column("tokens").to_numpy(), dtype=np.int64)
+        last = int(sums[-1]) if len(sums) else last
+        yield b.append_column("upto", pa.array(sums))
 
 
 def format_chats(turns: DataFrame, budget: int = 1024, history: int = 192, vocabulary: str | None = None) -> DataFrame:
@@ -114,7 +129,6 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 192, vocab
     small_batches(turns.sparkSession)
     fields = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")]
     fields += [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
-    rows = turns.select(*fields).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     names = ["conv_id", "window", "n_context", "tokens", "text", "loss"]
@@ -122,10 +136,19 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 192, vocab
     # read here once and shipped: executors need not see the file
     ranks = turns.sparkSession.read.format("binaryFile").load(vocabulary).first().content if vocabulary else None
 
+    def tally(batches):
+        count = counter(bytes(ranks) if ranks else None)
+        for b in batches:
+            yield b.append_column("tokens", pa.array([count(t) for t in b.column("text").to_pylist()], pa.int64()))
+
+    rows = turns.select(*fields).mapInArrow(tally, "conv_id long, turn long, role string, text string, tokens long")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
     def work(batches):
-        count, held, chars = counter(bytes(ranks) if ranks else None), [], 0
-        for conv, group in _runs(batches, "conv_id"):
-            for k, (context, new, used) in enumerate(windows_of(((r["role"], r["text"]) for r in group), count, budget, history)):
+        held, chars = [], 0
+        for conv, group in _runs(_summed(batches), "conv_id"):
+            counted = ((r["role"], r["text"], r["tokens"], r["upto"]) for r in group)
+            for k, (context, new, used) in enumerate(spans(counted, budget, history)):
                 text, loss = render(context, new)
                 held.append((conv, k, len(context), used, text, [{"start": a, "end": b} for a, b in loss]))
                 chars += len(text)

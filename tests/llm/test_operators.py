@@ -349,6 +349,31 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(wins.where("false").selectExpr("conv_id", "window as turn", "text as role", "text")).count() == 0
 
 
+def test_chat_spans_are_those_of_adding_up():
+    """Prefix sums, beginning anywhere, choose the windows that adding up turn by turn gives."""
+    rng = random.Random(21)
+    for _ in range(300):
+        turns = [(rng.choice(["system", "user", "assistant"]) if rng.random() < 0.3 else "user", str(k), rng.choice([0, 1, 3, 9, 40, 70])) for k in range(rng.randrange(1, 40))]
+        budget, history, at = rng.randrange(20, 80), rng.randrange(0, 30), rng.randrange(1000)
+        first = next((t for t in turns if t[0] == "system"), None)
+        want, i = [], 0
+        while i < len(turns):
+            past, context = turns[:i], []
+            if i:
+                context = [first] if first in past and first[2] + turns[i][2] <= budget else []
+                room = min(history, budget - turns[i][2] - sum(t[2] for t in context))
+                older = [t for t in past if t is not first]
+                back = next((k for k in range(len(older) + 1) if sum(t[2] for t in older[k:]) <= room), len(older))
+                context = context + older[back:]
+            used, j = sum(t[2] for t in context) + turns[i][2], i + 1
+            while j < len(turns) and used + turns[j][2] <= budget:
+                used, j = used + turns[j][2], j + 1
+            want.append((context, turns[i:j], used))
+            i = j
+        sums = np.cumsum([t[2] for t in turns]) + at
+        assert list(chat.spans([(*t, int(u)) for t, u in zip(turns, sums)], budget, history)) == want
+
+
 def test_chat_budget_holds_beside_a_large_system_turn():
     """The window of a turn that fits alone, but not with the system turn, goes without it."""
     turns = [("system", "s" * 40), ("user", "u" * 10), ("assistant", "a" * 40), ("user", "v" * 15)]
