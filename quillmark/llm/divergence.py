@@ -32,46 +32,70 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, TOP = 10, 10
 #: Bytes of text counted at once, terms of a shard, sources of a block, chunks of open terms up to which they are broadcast.
 STEP_BYTES, SHARD, BLOCK, MAX_SMALL = 32 << 20, 8192, 48, 1_000_000
+#: Sums that are added and go to Spark at once, about, and how many of them one is looked at to part them.
+OUT_ROWS, SPARSE = 65_536, 256
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _grouped(table: pa.Table) -> tuple:
-    """The words of these documents: their dictionary, its codes, and the place of each word's document."""
-    flat, at = split_words(table.column("text").combine_chunks())
-    coded = flat.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(table.num_rows), np.diff(at))
+def _coded(pieces: list[pa.RecordBatch]) -> tuple:
+    """The words of these documents: their dictionary, and by piece its codes and where each document's begin. Takes the
+    pieces off the list, as their texts are not needed after."""
+    coded, starts = [], []
+    while pieces:
+        flat, at = split_words(pieces.pop(0).column("text"))
+        coded.append(flat.dictionary_encode())
+        starts.append(at)
+    chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+    return chunks[0].dictionary, [c.indices.to_numpy() for c in chunks], starts
 
 
-def _count(table: pa.Table) -> pa.RecordBatch:
-    """lang, source, chunk, n, docs of these documents."""
-    lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
-    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-    names, code, row = _grouped(table)
-    width = max(1, len(names))
-    held, times = np.unique(row * width + code, return_counts=True)
-    key = group[held // width] * width + held % width
+def _summed(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple:
+    """The distinct keys, ascending, and the sums of both counts."""
     order = np.argsort(key, kind="stable")
-    key, times = key[order], times[order]
+    key = key[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-    n = np.add.reduceat(times, first) if len(first) else times
-    docs, every = np.diff(np.append(first, len(key))), key[first] // width
-    take = lambda column, at: column.take(pa.array(at))
-    return pa.RecordBatch.from_arrays(
-        [take(lang.dictionary, every // len(source.dictionary)), take(source.dictionary, every % len(source.dictionary)), take(names, key[first] % width), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=COUNTS)
+    return (key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)) if len(first) else (key, n, docs)
+
+
+def _count(pieces: list[pa.RecordBatch]):
+    """lang, source, chunk, n, docs of these documents. A document lies in one piece, so pieces are counted one after the other
+    and their sums are added: only these, not an entry for each word, are held for the whole step."""
+    names_of = pa.Table.from_batches([p.select(["lang", "source"]) for p in pieces])
+    lang, source = (names_of.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    names, codes, starts = _coded(pieces)
+    width, base, parts = max(1, len(names)), 0, []
+    for code, at in zip(codes, starts):
+        row = np.repeat(np.arange(base, base + len(at) - 1), np.diff(at))
+        held, times = np.unique(row * width + code, return_counts=True)
+        key, n, docs = _summed(group[held // width] * width + held % width, times, np.ones(len(held), np.int64))
+        parts.append((key, n.astype(np.int32), docs.astype(np.int32)))
+        base += len(at) - 1
+    del codes, starts
+    # the sums of all pieces are in order, so they are added range by range of their keys
+    bounds = np.sort(np.concatenate([key[::SPARSE] for key, _, _ in parts]))[:: OUT_ROWS // SPARSE][1:]
+    ends = [[0, *np.searchsorted(key, bounds).tolist(), len(key)] for key, _, _ in parts]
+    for k in range(len(bounds) + 1):
+        key, n, docs = _summed(*(np.concatenate([part[c][at[k] : at[k + 1]] for part, at in zip(parts, ends)]) for c in range(3)))
+        every, name = key // width, key % width
+        yield pa.RecordBatch.from_arrays(
+            [lang.dictionary.take(pa.array(every // len(source.dictionary))), source.dictionary.take(pa.array(every % len(source.dictionary))), names.take(pa.array(name)),
+             pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64))], schema=COUNTS)
 
 
 def _steps(batches):
-    """Tables of about STEP_BYTES, and the number of the first document of each."""
+    """Pieces of batches, of STEP_BYTES together, and the number of the first document of each step."""
     base, held, size = TaskContext.get().partitionId() << 40, [], 0
     for batch in batches:
         for piece in slices(batch, "text"):
             held.append(piece)
             size += piece.nbytes
             if size >= STEP_BYTES:
-                yield pa.Table.from_batches(held), base
-                base, held, size = base + sum(x.num_rows for x in held), [], 0
+                rows = sum(x.num_rows for x in held)
+                yield held, base
+                base, held, size = base + rows, [], 0
     if held:
-        yield pa.Table.from_batches(held), base
+        yield held, base
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -84,7 +108,7 @@ def chunk_terms(docs: DataFrame) -> DataFrame:
     A chunk is split at its first group; the others take the terms from there. Written to the shared folder.
     """
     small_batches(docs.sparkSession)
-    counts = _texts(docs).mapInArrow(lambda batches: (_count(t) for t, _ in _steps(batches)), "lang string, source string, chunk string, n long, docs long")
+    counts = _texts(docs).mapInArrow(lambda batches: (b for pieces, _ in _steps(batches) for b in _count(pieces)), "lang string, source string, chunk string, n long, docs long")
     # tasks have summed their chunks: rows are dealt first, as summing once more before that finds nothing to sum
     counts = counts.repartition("lang", "source", "chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = W.partitionBy("chunk")
@@ -103,17 +127,20 @@ def _chunk_documents(docs: DataFrame, spots: DataFrame, max_small: int) -> DataF
     known = np.sort(wanted.toPandas().h.to_numpy()) if wanted.count() <= max_small else None
 
     def find(batches):
-        for table, base in _steps(batches):
-            names, code, row = _grouped(table)
-            some = np.arange(len(names))
-            if known is not None:
-                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in names.to_pylist()), np.uint64, len(names))
-                some = np.flatnonzero(np.isin(h.view(np.int64), known))
-            held = np.zeros(len(names), bool)
-            held[some] = True
-            at = np.unique(row[held[code]] * max(1, len(names)) + code[held[code]])
-            row, code = at // max(1, len(names)), at % max(1, len(names))
-            yield pa.RecordBatch.from_arrays([table.column("lang").combine_chunks().take(pa.array(row)), names.take(pa.array(code)), pa.array(base + row, pa.int64())], names=["lang", "chunk", "id"])
+        for pieces, base in _steps(batches):
+            lang = [p.column("lang") for p in pieces]
+            names, codes, starts = _coded(pieces)
+            held = np.ones(len(names), bool)
+            for k in range(0, len(names) if known is not None else 0, OUT_ROWS):
+                some = names.slice(k, OUT_ROWS).to_pylist()
+                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in some), np.uint64, len(some))
+                held[k : k + OUT_ROWS] = np.isin(h.view(np.int64), known)
+            width = max(1, len(names))
+            for langs, code, at in zip(lang, codes, starts):
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                row, code = np.divmod(np.unique(row[held[code]] * width + code[held[code]]), width)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(row)), names.take(pa.array(code)), pa.array(base + row, pa.int64())], names=["lang", "chunk", "id"])
+                base += len(at) - 1
 
     return _texts(docs).mapInArrow(find, "lang string, chunk string, id long")
 

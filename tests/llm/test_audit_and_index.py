@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,19 @@ def test_manifest_of_one_source(spark, n):
 
 def test_manifest_of_an_empty_table(table):
     assert merkle.manifest(table.where("doc_id < -1")).count() == 0
+
+
+def test_chunks_of_a_step_are_summed_piece_by_piece(monkeypatch):
+    """A step counts as its documents do, and goes on in bounded batches, not as one of all its chunks."""
+    monkeypatch.setattr(divergence, "OUT_ROWS", 512)
+    rng = random.Random(5)
+    docs = [(rng.choice("ab"), rng.choice("xyz"), " ".join(f"w{rng.randint(0, 1500)}" for _ in range(rng.randint(0, 60)))) for _ in range(600)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*docs)], names=["lang", "source", "text"])
+    got = list(divergence._count([whole.slice(k, 90) for k in range(0, 600, 90)]))
+    n, held = Counter(), Counter()
+    for lang, source, text in docs:
+        n.update((lang, source, w) for w in text.split())
+        held.update({(lang, source, w) for w in text.split()})
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert sorted(rows) == sorted((*k, n[k], held[k]) for k in n)
+    assert len(got) > 5 and max(b.num_rows for b in got) < 2000 < len(rows)
