@@ -95,24 +95,45 @@ DATE_FORMS = (
 )
 
 
+def bind(c: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _day(found: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """The day that a match of a form names; null if there is none. A match is a match of its form by itself too, as no form
+    looks farther than its ends forbid, so the groups are read from it and not from the whole text again."""
+    y, m, d = (F.regexp_extract(found, pattern, k) for k in (year, month, day))
+    if "jan" in pattern:
+        m = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(MONTHS) for x in (name, str(k + 1))]), F.substring(m, 1, 3))
+
+    def read(x: Column) -> Column:
+        y, m, d = x["y"], x["m"], x["d"]
+        if year == 4:
+            swap = m.try_cast("int") > 12
+            m, d = F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)
+        y = F.when(F.length(y) == 2, F.when(y.try_cast("int") < PIVOT, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))).otherwise(y)
+        return F.to_date(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d")))
+
+    return F.when(found != "", bind(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), read))
+
+
 def extract_date(c: Column) -> Column:
     """The first whole date of a text; a clock or zone beside it does not shift it. Null if none is whole or real.
 
-    Of two numbers before a year the first is the month, unless it is above 12. Years of two digits are of 1969 to 2068."""
-    t = F.lower(repair_clock(c))
-    names = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, str(k + 1))])
-    found = []
-    for pattern, year, month, day in DATE_FORMS:
-        y, m, d = (F.regexp_extract(t, pattern, k) for k in (year, month, day))
-        if "jan" in pattern:
-            m = F.element_at(names, F.substring(m, 1, 3))
-        else:
-            swap = (year == 4) & (m.try_cast("int") > 12)
-            m, d = F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)
-        y = F.when(F.length(y) == 2, F.when(y.try_cast("int") < PIVOT, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))).otherwise(y)
-        day_ = F.to_date(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d")))
-        found.append(F.when(day_.isNotNull(), F.struct(F.regexp_instr(t, F.lit(pattern)).alias("at"), day_.alias("day"))))
-    return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))["day"]
+    Of two numbers before a year the first is the month, unless it is above 12. Years of two digits are of 1969 to 2068.
+    Each form searches the text once; where its match stands is asked only if several forms have a day."""
+    def earliest(t: Column, days: Column) -> Column:
+        at = [F.when(days[k].isNotNull(), F.struct(F.regexp_instr(t, F.lit(form[0])).alias("at"), days[k].alias("day"))) for k, form in enumerate(DATE_FORMS)]
+        several = F.size(F.filter(days, lambda x: x.isNotNull())) > 1
+        return F.when(several, F.array_min(F.filter(F.array(*at), lambda x: x.isNotNull()))["day"]).otherwise(F.coalesce(*[days[k] for k in range(len(DATE_FORMS))]))
+
+    def search(t: Column) -> Column:
+        found = F.array(*[F.regexp_extract(t, form[0], 0) for form in DATE_FORMS])
+        days = bind(found, lambda f: F.array(*[_day(f[k], *form) for k, form in enumerate(DATE_FORMS)]))
+        return bind(days, lambda x: earliest(t, x))
+
+    return F.when(c.rlike(r"\d"), bind(F.lower(repair_clock(c)), search))
 
 
 #: Currencies by sign or code, and words that multiply an amount.
@@ -123,12 +144,15 @@ AMOUNT = r"(?i)(?<![a-z])(us\$|c\$|\$|€|£|usd|eur|gbp|cad)\s*(\d{1,3}(?:,\d{3
 
 def extract_amount(c: Column) -> Column:
     """The first amount of money in a text as currency, blank, number with two places; null without one."""
-    g = lambda k: F.lower(F.regexp_extract(c, AMOUNT, k))
-    either = lambda a, b: F.coalesce(F.nullif(g(a), F.lit("")), F.nullif(g(b), F.lit("")))
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    code = F.try_element_at(table(CURRENCIES | {"dollars": "USD", "euros": "EUR"}), either(1, 6))
-    number = F.replace(either(2, 4), F.lit(",")).try_cast("decimal(24,6)") * F.coalesce(F.try_element_at(table(TIMES), either(3, 5)), F.lit(1))
-    return F.when(number.isNotNull(), F.concat(code, F.lit(" "), F.round(number, 2).cast("decimal(24,2)").cast("string")))
+
+    def worth(x: Column) -> Column:
+        either = lambda a, b: F.coalesce(F.nullif(x[a], F.lit("")), F.nullif(x[b], F.lit("")))
+        code = F.try_element_at(table(CURRENCIES | {"dollars": "USD", "euros": "EUR"}), either("g1", "g6"))
+        number = F.replace(either("g2", "g4"), F.lit(",")).try_cast("decimal(24,6)") * F.coalesce(F.try_element_at(table(TIMES), either("g3", "g5")), F.lit(1))
+        return F.concat(code, F.lit(" "), F.round(number, 2).cast("decimal(24,2)").cast("string"))
+
+    return F.when(c.rlike(r"\d"), bind(F.struct(*[F.lower(F.regexp_extract(c, AMOUNT, k)).alias(f"g{k}") for k in range(1, 7)]), worth))
 
 
 def has_time(c: Column) -> Column:

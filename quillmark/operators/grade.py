@@ -21,9 +21,12 @@ def presence(truth_present: Column, answered: Column, answer_present: Column, co
 
 
 def date_verdict(truth: Column, answer: Column) -> Column:
-    t, a = T.extract_date(truth), T.extract_date(answer)
-    return (F.when(truth.isNull(), "correct").when(a.isNull() | t.isNull(), "wrong").when(a != t, "wrong")
-            .when(T.has_time(answer) & ~T.has_time(truth), "partial").otherwise("correct"))
+    def judged(x: Column) -> Column:
+        t, a = x["t"], x["a"]
+        return (F.when(truth.isNull(), "correct").when(a.isNull() | t.isNull(), "wrong").when(a != t, "wrong")
+                .when(T.has_time(answer) & ~T.has_time(truth), "partial").otherwise("correct"))
+
+    return T.bind(F.struct(T.extract_date(truth).alias("t"), T.extract_date(answer).alias("a")), judged)
 
 
 def number_verdict(truth: Column, answer: Column) -> Column:

@@ -9,6 +9,7 @@ from quillmark.functions import text as T
 from quillmark.operators import evidence as E
 from quillmark.operators import grade as G
 from quillmark.operators import retrieve as R
+from quillmark.operators import review
 from quillmark.sources import tables as S
 
 
@@ -131,3 +132,21 @@ def test_expectation_fails_the_job(spark):
     assert S.expect_rows(df, 3, "rows").first().state == "ok"
     with pytest.raises(Exception, match="4 rows expected"):
         S.expect_rows(spark.range(3), 4, "rows: 4 rows expected").collect()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_form_of_a_date_searches_the_text_once(spark):
+    """Groups are read from the match, and a verdict works both days out once."""
+    df = spark.createDataFrame([("a", "b")], "t string, a string").repartition(2)
+    assert _plan(df.select(T.extract_date(F.col("t")).alias("x"))).count("regexp_extract(") <= 4 * len(T.DATE_FORMS)
+    assert _plan(df.select(G.date_verdict(F.col("t"), F.col("a")).alias("x"))).count("regexp_extract(") <= 8 * len(T.DATE_FORMS)
+
+
+@pytest.mark.parametrize("text, day", [
+    ("12/6/3/2026 then 6/3/2026", datetime.date(2026, 6, 3)), ("3 June 2026, 2026-06-04", datetime.date(2026, 6, 3)), ("2026-06-04 or 3 June 2026", datetime.date(2026, 6, 4)),
+    ("2026-13-01 or June 3, 20261", None), ("31/12/99", datetime.date(1999, 12, 31)), ("20260603T10:00", datetime.date(2026, 6, 3)), ("no number", None)])
+def test_dates_of_several_forms(spark, text, day):
+    assert one(spark, T.extract_date(F.col("c")), c=text) == day
