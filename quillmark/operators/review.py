@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillmark.functions import text as T
 from quillmark.operators import evidence
@@ -25,20 +24,19 @@ STATEMENT = r"^\s*([\p{L}][\p{L}\d ()/&'-]{1,60}?)\s*(?:[:=]|\.{3,}|\s[–—-]\
 CELLS, TOTALS, RULE = r"\s*\|\s*|\t+|\s{3,}", r"^(sub)?totals?\b", r"^[\s|:+=-]*$"
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    return pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
 def statements(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no, label, kind, value: what the lines of documents state.
 
     Labels are squeezed and in lower case. kind: amount (currency and number), date, number (a percentage or a
-    plain one) or text. Written differently, equal dates and amounts have one value."""
-    rows = _lines(pages).where(F.col("line").rlike(STATEMENT))
-    raw = F.regexp_extract("line", STATEMENT, 2)
-    rows = rows.select("doc_id", "page_no", "line_no", T.squeeze(F.regexp_extract("line", STATEMENT, 1)).alias("label"), raw.alias("raw"))
+    plain one) or text. Written differently, equal dates and amounts have one value. Label and values are made as the lines
+    are taken apart, so that conditions on the result do not make them again."""
+    parts = F.transform(F.split("text", "\n"), lambda line, i: F.struct(
+        i.alias("line_no"), F.regexp_extract(line, STATEMENT, 1).alias("label"), F.regexp_extract(line, STATEMENT, 2).alias("raw")))
+    rows = pages.select("doc_id", "page_no", F.inline(F.filter(parts, lambda x: x["label"] != "")))
     number = F.nullif(F.regexp_extract("raw", r"^([\d,]*\d(?:\.\d+)?)\s*(?:%|points?|percent)?$", 1), F.lit(""))
-    rows = rows.withColumn("amount", T.extract_amount(F.col("raw"))).withColumn("day", T.extract_date(F.col("raw"))).withColumn("number", F.replace(number, F.lit(",")).try_cast("double"))
+    read = F.struct(T.squeeze(F.col("label")).alias("label"), "raw", T.extract_amount(F.col("raw")).alias("amount"), T.extract_date(F.col("raw")).alias("day"),
+                    F.replace(number, F.lit(",")).try_cast("double").alias("number"))
+    rows = rows.select("doc_id", "page_no", "line_no", F.inline(F.array(read)))
     kind = F.when(F.col("amount").isNotNull(), "amount").when(F.col("day").isNotNull(), "date").when(F.col("number").isNotNull(), "number").otherwise("text")
     value = F.coalesce("amount", F.col("day").cast("string"), F.col("number").cast("string"), T.squeeze(F.col("raw")))
     return rows.select("doc_id", "page_no", "line_no", "label", kind.alias("kind"), value.alias("value"))
@@ -55,17 +53,24 @@ def table_cells(pages: DataFrame) -> DataFrame:
 
     Lines in a row with equally many cells (two at least) are a table; its first line is the header, rules are left
     out. table_no is the line of the header."""
-    rows = _lines(pages).where(~F.col("line").rlike(RULE))
-    place = W.partitionBy("doc_id", "page_no").orderBy("line_no")
-    trimmed = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
-    rows = rows.withColumn("at", F.row_number().over(place)).withColumn("cells", F.transform(F.split(F.trim(trimmed), CELLS), lambda x: F.trim(x)))
-    rows = rows.withColumn("width", F.size("cells")).where("width > 1")
-    block = F.col("at") - F.row_number().over(W.partitionBy("doc_id", "page_no", "width").orderBy("line_no"))
-    rows = rows.withColumn("block", block)
-    whole = W.partitionBy("doc_id", "page_no", "width", "block").orderBy("line_no")
-    rows = rows.withColumn("table_no", F.first("line_no").over(whole)).withColumn("names", F.first("cells").over(whole)).withColumn("row_no", F.row_number().over(whole) - 1).where("row_no > 0")
-    cells = rows.select("doc_id", "page_no", "table_no", "row_no", F.posexplode(F.arrays_zip(F.col("names").alias("header"), F.col("cells").alias("cell"))).alias("col_no", "c"), F.element_at("cells", 1).alias("head"))
-    return cells.select("doc_id", "page_no", "table_no", "row_no", "col_no", T.squeeze(F.col("c.header")).alias("header"), F.col("c.cell").alias("cell"), T.squeeze(F.col("head")).alias("head"))
+    cells_of = lambda line: F.transform(F.split(F.trim(F.regexp_replace(F.trim(line), r"^\||\|$", "")), CELLS), lambda x: F.trim(x))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
+    rows = F.transform(F.filter(lines, lambda x: ~x["line"].rlike(RULE)), lambda x: F.struct(x["line_no"].alias("line_no"), cells_of(x["line"]).alias("cells")))
+
+    def tables(r: Column) -> Column:
+        width = lambda i: F.size(F.get(r, i)["cells"])
+        places = F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (width(i) != width(i - 1)))
+        ended = T.bind(starts, lambda s: F.transform(s, lambda i, k: F.slice(r, i + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - i)))
+        return F.filter(ended, lambda t: (F.size(t) > 1) & (F.size(t[0]["cells"]) > 1))
+
+    # a page is taken apart in place: lines are neither dealt nor ordered again
+    found = pages.select("doc_id", "page_no", F.explode(T.bind(rows, tables)).alias("t"))
+    found = found.select("doc_id", "page_no", F.col("t")[0]["line_no"].alias("table_no"), F.transform(F.col("t")[0]["cells"], T.squeeze).alias("names"),
+                         F.posexplode(F.slice("t", F.lit(2), F.size("t") - 1)).alias("at", "r"))
+    cells = found.select("doc_id", "page_no", "table_no", (F.col("at") + 1).alias("row_no"), T.squeeze(F.col("r.cells")[0]).alias("head"),
+                         F.posexplode(F.arrays_zip(F.col("names").alias("header"), F.col("r.cells").alias("cell"))).alias("col_no", "c"))
+    return cells.select("doc_id", "page_no", "table_no", "row_no", "col_no", F.col("c.header").alias("header"), F.col("c.cell").alias("cell"), "head")
 
 
 def weight_sums(cells: DataFrame) -> DataFrame:

@@ -150,3 +150,15 @@ def test_a_form_of_a_date_searches_the_text_once(spark):
     ("2026-13-01 or June 3, 20261", None), ("31/12/99", datetime.date(1999, 12, 31)), ("20260603T10:00", datetime.date(2026, 6, 3)), ("no number", None)])
 def test_dates_of_several_forms(spark, text, day):
     assert one(spark, T.extract_date(F.col("c")), c=text) == day
+
+
+def test_tables_and_statements_stay_in_place(spark):
+    """Lines of a page are neither dealt nor ordered again, and conditions on what is stated do not read it twice."""
+    pages = spark.createDataFrame([(1, 1, "Due: 2026-06-03\n| a | b |\n|--|--|\n| x | 1 |\nText\n| c | d | e |\n| 1 | 2 | 3 |\n")], "doc_id int, page_no int, text string").repartition(2)
+    cells = review.table_cells(pages)
+    assert "Window" not in _plan(cells)
+    got = sorted((r.table_no, r.row_no, r.col_no, r.header, r.cell, r.head) for r in cells.collect())
+    assert got == [(1, 1, 0, "a", "x", "x"), (1, 1, 1, "b", "1", "x"), (5, 1, 0, "c", "1", "1"), (5, 1, 1, "d", "2", "1"), (5, 1, 2, "e", "3", "1")]
+    dated = review.statements(pages).where("kind in ('date', 'amount')")
+    assert _plan(dated).count("regexp_instr(") == len(T.DATE_FORMS)
+    assert [(r.label, r.value) for r in dated.collect()] == [("due", "2026-06-03")]
