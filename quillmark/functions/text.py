@@ -228,11 +228,24 @@ def token_set_similarity(a: Column, b: Column) -> Column:
 
     An approximation of a character-aligned score, not the same scale.
     """
-    wa, wb = F.array_distinct(F.split(squeeze(a), " ")), F.array_distinct(F.split(squeeze(b), " "))
-    both = F.array_join(F.array_sort(F.array_intersect(wa, wb)), " ")
-    ra, rb = F.array_join(F.array_sort(F.array_except(wa, wb)), " "), F.array_join(F.array_sort(F.array_except(wb, wa)), " ")
-    n, la, lb = F.length(both), F.length(ra), F.length(rb)
-    full = lambda m: n + F.when((n > 0) & (m > 0), 1).otherwise(0) + m
-    close = lambda m: F.when(n > 0, 100.0 * 2 * n / (n + full(m))).otherwise(0.0)
-    rest = 100.0 * (1 - F.levenshtein(ra, rb) / F.greatest(la, lb, F.lit(1)))
-    return F.when((n > 0) & ((la == 0) | (lb == 0)), 100.0).otherwise(F.greatest(close(la), close(lb), rest))
+    def compare(w: Column) -> Column:
+        both = F.array_join(F.array_sort(F.array_intersect(w["a"], w["b"])), " ")
+        ra, rb = (F.array_join(F.array_sort(F.array_except(w[x], w[y])), " ") for x, y in ("ab", "ba"))
+        return bind(F.struct(F.length(both).alias("n"), ra.alias("ra"), rb.alias("rb"), F.length(ra).alias("la"), F.length(rb).alias("lb")), closest)
+
+    def closest(x: Column) -> Column:
+        n, la, lb = x["n"], x["la"], x["lb"]
+        full = lambda m: n + F.when((n > 0) & (m > 0), 1).otherwise(0) + m
+        close = lambda m: F.when(n > 0, 100.0 * 2 * n / (n + full(m))).otherwise(0.0)
+        longer = F.greatest(la, lb, F.lit(1))
+
+        def edited(best: Column) -> Column:
+            # more edits than these leave less than the best so far; they are not counted out
+            most = F.ceil(longer * (1 - best / 100.0)).cast("int") + 1
+            apart = F.call_function("levenshtein", x["ra"], x["rb"], most)
+            return F.when(F.abs(la - lb) > most, best).otherwise(bind(apart, lambda n: F.when(n < 0, best).otherwise(F.greatest(best, 100.0 * (1 - n / longer)))))
+
+        return F.when((n > 0) & ((la == 0) | (lb == 0)), 100.0).otherwise(bind(F.greatest(close(la), close(lb)), edited))
+
+    words = lambda c: F.array_distinct(F.split(squeeze(c), " "))
+    return F.when(a.isNotNull() & b.isNotNull(), bind(F.struct(words(a).alias("a"), words(b).alias("b")), compare))

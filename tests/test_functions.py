@@ -152,6 +152,42 @@ def test_dates_of_several_forms(spark, text, day):
     assert one(spark, T.extract_date(F.col("c")), c=text) == day
 
 
+def test_similarity_is_worked_out_once(spark):
+    df = spark.createDataFrame([("a", "b")], "a string, b string").repartition(2)
+    assert _plan(df.select(T.token_set_similarity(F.col("a"), F.col("b")).alias("x"))).count("levenshtein(") == 1
+    assert _plan(df.select(T.token_set_similarity(F.col("a"), F.col("b")).alias("x"))).count("array_distinct(") == 2
+
+
+def test_similarity_equals_its_closed_form(spark):
+    import random
+
+    rng, rows = random.Random(2), [(None, "a"), ("", ""), ("a", "")]
+    rows += [tuple(" ".join(rng.choice(("ab", "abc", "b", "Bd", "cde", "xyzzy")) for _ in range(rng.randint(1, 6))) for _ in "ab") for _ in range(150)]
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, last = [i], line
+            for j, y in enumerate(b, 1):
+                line.append(min(last[j] + 1, line[j - 1] + 1, last[j - 1] + (x != y)))
+        return line[-1]
+
+    def want(a, b):
+        if a is None or b is None:
+            return None
+        wa, wb = (set(x.lower().split(" ")) for x in (a, b))
+        both, ra, rb = (" ".join(sorted(x)) for x in (wa & wb, wa - wb, wb - wa))
+        n, whole = len(both), lambda m: len(both) + (1 if both and m else 0) + m
+        if n and (not ra or not rb):
+            return 100.0
+        near = [200.0 * n / (n + whole(len(m))) if n else 0.0 for m in (ra, rb)]
+        return max(*near, 100.0 * (1 - edits(ra, rb) / max(len(ra), len(rb), 1)))
+
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.token_set_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        assert (r.s is None) == (want(r.a, r.b) is None) and (r.s is None or abs(r.s - want(r.a, r.b)) < 1e-9), r
+
+
 def test_tables_and_statements_stay_in_place(spark):
     """Lines of a page are neither dealt nor ordered again, and conditions on what is stated do not read it twice."""
     pages = spark.createDataFrame([(1, 1, "Due: 2026-06-03\n| a | b |\n|--|--|\n| x | 1 |\nText\n| c | d | e |\n| 1 | 2 | 3 |\n")], "doc_id int, page_no int, text string").repartition(2)
