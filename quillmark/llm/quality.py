@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quillmark.llm.common import hash_words, mix, slices, small_batches, split_words
+from quillmark.llm.common import cut, hash_words, mix, signed, slices, small_batches, split_words
 
 BITS, SAMPLE, EPOCHS = 18, 8000, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
@@ -86,37 +87,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Slot weights and bias. Features are made on the executors; the driver sees slot counts of
-    the bounded sample only. Without labelled rows all scores are 0.5."""
-    small_batches(docs.sparkSession)
-
-    def work(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                slots, doc = features(part.column("text"))
-                key, n = np.unique(doc * (1 << BITS) + slots, return_counts=True)
-                ends = np.searchsorted(key >> BITS, np.arange(part.num_rows + 1))
-                rows = list(zip(ends, ends[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("y").cast(pa.int32()),
-                     pa.array([(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in rows], pa.binary()),
-                     pa.array([n[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary())], names=["doc_id", "y", "slots", "n"])
-
-    rows = sample_rows(docs, labels, sample).select("doc_id", "text", "y").mapInArrow(work, "doc_id long, y int, slots binary, n binary").collect()
-    rows = sorted(rows, key=lambda r: (mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], r.y, r.slots))
-    data = []
-    for r in rows:
-        n = np.frombuffer(r.n, np.int32).astype(float)
-        data.append((np.append(np.frombuffer(r.slots, np.int32), 1 << BITS), np.append(SCALE * n / max(n.sum(), 1), 1.0), float(r.y)))
-    model = Ftrl((1 << BITS) + 1)
-    apart = len(data) // 5
-    for _ in range(EPOCHS):
-        for slots, x, y in data[apart:]:
-            model.learn(slots, x, y)
+def _learnt(rows, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Slot weights and bias from rows of (step, y, slots, n) in order: step 0 to ``epochs`` - 1 teach, those of step ``epochs``
+    set the cut and those of the last are learnt too. Rows are used as they come; none is held."""
+    model, w, z = Ftrl((1 << BITS) + 1), None, []
+    for step, y, slots, n in rows:
+        n = np.frombuffer(n, np.int32).astype(float)
+        slots, x = np.append(np.frombuffer(slots, np.int32), 1 << BITS), np.append(SCALE * n / max(n.sum(), 1), 1.0)
+        if step == epochs:
+            w = model.weights() if w is None else w
+            z.append((float(w[slots] @ x), float(y)))
+        else:
+            model.learn(slots, x, float(y))
     # the cut that separates best on a fifth kept apart becomes CUT; then that fifth is learnt too
-    w = model.weights()
-    z = sorted((float(w[s] @ x), y) for s, x, y in data[:apart])
+    z.sort()
     right, pos, neg = [], sum(y for _, y in z), sum(1 - y for _, y in z)
     below = {0.0: 0, 1.0: 0}
     shift = 0.0
@@ -127,12 +111,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         top = max(r for r, _, _ in right)
         lo, hi = next((a, b) for r, a, b in right if r == top)
         shift = float(np.log(CUT / (1 - CUT))) - (lo + hi) / 2
-    for slots, x, y in data[:apart]:
-        model.learn(slots, x, y)
     w = model.weights()
     return w[:-1].astype(np.float32), float(w[-1]) + shift
 
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Slot weights and bias. Features are made by all tasks and written to the shared folder; one task takes the bounded
+    sample from there in order, row by row, once for each step. The driver sees the weights only. Without labelled rows all scores are 0.5."""
+    small_batches(docs.sparkSession)
+
+    def work(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                slots, doc = features(part.column("text"))
+                key, n = np.unique(doc * (1 << BITS) + slots, return_counts=True)
+                ends = np.searchsorted(key >> BITS, np.arange(part.num_rows + 1))
+                rows = list(zip(ends, ends[1:]))
+                place = mix(part.column("doc_id").cast(pa.int64()).to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)  # ascends as the mixed number does
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(place)), part.column("y").cast(pa.int32()),
+                     pa.array([(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in rows], pa.binary()),
+                     pa.array([n[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary())], names=["place", "y", "slots", "n"])
+
+    def learn(batches):
+        weights, bias = _learnt(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.select(["step", "y", "slots", "n"]).columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+    made = cut(sample_rows(docs, labels, sample).select("doc_id", "text", "y").mapInArrow(work, "place long, y int, slots binary, n binary"))
+    apart = F.col("at") <= made.count() // 5
+    steps = F.when(apart, F.array(F.lit(EPOCHS), F.lit(EPOCHS + 1))).otherwise(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
+    rows = made.withColumn("at", F.row_number().over(W.orderBy("place", "y", "slots", "n"))).withColumn("step", F.explode(steps))
+    rows = rows.sortWithinPartitions("step", "at").select("step", "y", "slots", "n")
+    got = rows.mapInArrow(learn, "weights binary, bias double").first()
+    return (np.frombuffer(got.weights, np.float32), got.bias) if got else (np.zeros(1 << BITS, np.float32), 0.0)
+
+
 def score_quality(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """doc_id, score (0 to 1) of every row; null and empty texts get the score of no n-grams."""
     small_batches(docs.sparkSession)

@@ -769,3 +769,17 @@ def test_url_scores_are_those_of_counted_characters(spark):
             u = seen[r.page_id]
             assert (r.score, r.cut_score) == (scores[u], cut), u
             assert r.verdict == (said[u] or ("allow" if scores[u] >= cut else "block"))
+
+
+def test_the_driver_sees_only_the_classifiers_weights(spark, monkeypatch):
+    """Features of the sample are learnt by a task that streams them; their size does not reach the driver."""
+    rng = random.Random(3)
+    texts = [(k, " ".join(f"{rng.choice('ab')}{rng.randint(0, 99999)}" for _ in range(2500))) for k in range(160)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(160)], "doc_id long, quality int")
+    seen, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: [seen.extend(len(v) for r in x for v in r if isinstance(v, (bytes, bytearray))) or x for x in [real(self)]][0])
+    weights, bias = quality.fit(docs, labels)
+    assert len(weights) == 1 << quality.BITS and np.count_nonzero(weights)
+    assert sum(seen) <= 4 << quality.BITS
+    assert np.array_equal(quality.fit(docs.repartition(7), labels)[0], weights)
