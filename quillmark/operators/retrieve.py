@@ -21,12 +21,15 @@ def keyword_scores(pages: DataFrame, keywords: DataFrame, by: list[str]) -> Data
 
     ``keywords``: *by, keyword. A phrase weighs PHRASE_WEIGHT, a word 1; a keyword listed twice counts twice.
     """
-    lists = keywords.groupBy(*by).agg(F.collect_list(F.lower("keyword")).alias("kws"))
+    one = F.struct(F.lower("keyword").alias("k"), F.when(F.instr("keyword", " ") > 0, PHRASE_WEIGHT).otherwise(1.0).alias("weight"))
+    lists = keywords.groupBy(*by).agg(F.collect_list(one).alias("kws")).agg(F.collect_list(F.struct(*by, "kws")).alias("lists"))
     at = pages.where(F.trim("text") != "").select("doc_id", "page_no", F.lower("text").alias("t")).join(F.broadcast(lists), F.lit(True))
-    hits = lambda k: F.floor((F.length("t") - F.length(F.replace(F.col("t"), k, F.lit("")))) / F.length(k))
-    one = lambda k: F.when(F.instr(k, " ") > 0, PHRASE_WEIGHT).otherwise(1.0) * F.least(hits(k), F.lit(HITS))
-    score = F.aggregate("kws", F.lit(0.0), lambda s, k: s + one(k))
-    return at.select("doc_id", *by, "page_no", score.alias("score")).where("score > 0")
+    # as many bytes go as the hits have, so that no characters are counted
+    hits = lambda k: F.floor((F.octet_length("t") - F.octet_length(F.replace(F.col("t"), k, F.lit("")))) / F.octet_length(k))
+    score = lambda kws: F.aggregate(kws, F.lit(0.0), lambda s, x: s + x["weight"] * F.least(hits(x["k"]), F.lit(HITS)))
+    scored = F.transform("lists", lambda x: F.struct(*[x[c].alias(c) for c in by], score(x["kws"]).alias("score")))
+    found = at.select("doc_id", "page_no", F.inline(F.filter(scored, lambda x: x["score"] > 0)))
+    return found.select("doc_id", *by, "page_no", "score")
 
 
 def vector_scores(page_vectors: DataFrame, field_vectors: DataFrame, by: list[str]) -> DataFrame:
@@ -83,10 +86,13 @@ def continued(field_top: DataFrame, tables: DataFrame) -> DataFrame:
     return steps.select("doc_id", "cluster", (F.col("page_no") + F.col("step")).alias("page_no")).distinct()
 
 
-def gaps(chosen: DataFrame) -> DataFrame:
-    """Single pages that are missing between two chosen ones."""
-    w = W.partitionBy("doc_id", "cluster").orderBy("page_no")
-    return chosen.withColumn("next", F.lead("page_no").over(w)).where("next - page_no = 2").select("doc_id", "cluster", (F.col("page_no") + 1).alias("page_no"))
+def with_gaps(chosen: DataFrame) -> DataFrame:
+    """The chosen pages and, with ``keep``, single pages that are missing between two of them."""
+    here = F.struct("page_no", "priority", "keep")
+    gap = F.struct((F.col("page_no") + 1).alias("page_no"), F.lit(None).cast("int").alias("priority"), F.lit(True).alias("keep"))
+    after = F.lead("page_no").over(W.partitionBy("doc_id", "cluster").orderBy("page_no"))
+    both = F.when(F.col("next") - F.col("page_no") == 2, F.array(here, gap)).otherwise(F.array(here))
+    return chosen.withColumn("next", after).select("doc_id", "cluster", F.inline(both))
 
 
 def select_pages(pages: DataFrame, fields: DataFrame, scores: DataFrame, field_top: DataFrame, tables: DataFrame, k: int = 8, cap: int | None = None) -> DataFrame:
@@ -96,19 +102,26 @@ def select_pages(pages: DataFrame, fields: DataFrame, scores: DataFrame, field_t
     lasts, single gaps; ``pages`` are numbers only, ``scores`` those of the fields' keywords. If ``cap`` is set, pinned and gap pages stay and the rest goes by priority, ties by page.
     """
     keys = ["doc_id", "cluster", "page_no"]
-    best = priorities(field_top)
-    clusters = fields.select("cluster").distinct()
-    front = pages.where(F.col("page_no") <= PINNED).select("doc_id", "page_no").join(F.broadcast(clusters), F.lit(True)).select(*keys)
-    base = best.select(*keys).unionByName(continued(field_top, tables)).unionByName(front).distinct()
-    room = base.groupBy("doc_id", "cluster").agg(F.count("*").alias("n")).join(F.broadcast(budget(fields, k)), "cluster").select("doc_id", "cluster", (F.col("k") - F.col("n")).alias("room"))
-    fill = ranked(scores.groupBy(*keys).agg(F.sum("score").alias("score")), ["cluster"]).join(base, keys, "left_anti")
-    fill = fill.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "cluster").orderBy("rank"))).join(room, ["doc_id", "cluster"]).where("place <= room")
-    chosen = base.join(best, keys, "left").unionByName(fill.select(*keys, F.col("rank").alias("priority")))
-    chosen = chosen.withColumn("keep", F.col("page_no") <= PINNED).unionByName(gaps(chosen).withColumn("priority", F.lit(None).cast("int")).withColumn("keep", F.lit(True)))
+    clusters = F.broadcast(fields.select("cluster").distinct())
+    front = pages.where(F.col("page_no") <= PINNED).select("doc_id", "page_no").join(clusters, F.lit(True))
+    row = lambda rows, base, rank=None, score=None: rows.select(*keys, F.lit(base).alias("base"), F.lit(rank).cast("int").alias("priority"), F.lit(score).cast("double").alias("score"))
+    rows = row(field_top, True, rank=F.col("rank")).unionByName(row(continued(field_top, tables), True)).unionByName(row(front, True)).unionByName(row(scores, False, score=F.col("score")))
+    # a document's pages meet once; all steps from here on find them together
+    rows = rows.repartition("doc_id", "cluster").groupBy(*keys).agg(F.max("base").alias("base"), F.min("priority").alias("priority"), F.sum("score").alias("score"))
+    rows = rows.join(F.broadcast(budget(fields, k)), "cluster", "left")
+    by_score = W.partitionBy("doc_id", "cluster").orderBy(F.desc_nulls_last("score"), "page_no")
+    free = F.col("score").isNotNull() & ~F.col("base")
+    upto, whole = by_score.rowsBetween(W.unboundedPreceding, W.currentRow), by_score.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.select("*", F.row_number().over(by_score).alias("place"), F.count_if(free).over(upto).alias("filled"), F.count_if("base").over(whole).alias("n"))
+    # a null doc_id is no document, so it has no room
+    room = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("k") - F.col("n"))
+    chosen = rows.where(F.col("base") | F.coalesce(free & (F.col("filled") <= room), F.lit(False)))
+    priority = F.when(F.col("base"), F.when(F.col("doc_id").isNotNull(), F.col("priority"))).otherwise(F.col("place") - 1)
+    chosen = with_gaps(chosen.select(*keys, priority.alias("priority"), (F.col("page_no") <= PINNED).alias("keep")))
     if cap is not None:
         w = W.partitionBy("doc_id", "cluster")
         order = w.orderBy(F.col("keep").desc(), F.coalesce("priority", F.lit(999)), "page_no")
-        chosen = chosen.withColumn("place", F.row_number().over(order)).withColumn("kept", F.count_if("keep").over(w)).where((F.col("place") <= cap) | F.col("keep"))
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where((F.col("place") <= cap) | F.col("keep"))
     return chosen.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_set("page_no")).alias("pages"))
 
 

@@ -284,8 +284,8 @@ def _oracle_select(cap: str) -> str:
 
 
 def _selected(spark, d, cap):
-    # pages are scored once: both uses of the scores read the same exchange
-    f, p, k = X.fields(spark), X.numbers(spark, d), _kscores(spark, d).repartition("doc_id")
+    # texts are gone through once for the scores and once for the numbers; the steps read what is kept of them
+    f, p, k = X.fields(spark), S.kept(X.numbers(spark, d)), S.kept(_kscores(spark, d))
     top = R.top_ranked(k, ["field_key"]).join(F.broadcast(f.select("field_key", "type")), "field_key")
     tables = p.select("doc_id", "page_no", ((F.col("doc_id") + F.col("page_no")) % 3 != 0).alias("is_table"))
     out = R.select_pages(p, f, k, top, tables, cap=cap)
