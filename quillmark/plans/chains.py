@@ -219,6 +219,8 @@ def m1_chain(spark, d):
     older version, and part of it in a newer one. The table is compacted on the way."""
     top = f"{S.shared_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}"
     records = S.kept(X.quotes(spark, d))
+    # no batch goes through the documents that no record cites
+    docs = S.kept(S.table(spark, d, "documents").select("doc_id", "text").join(records.select("doc_id").distinct(), "doc_id", "left_semi"))
     part = lambda n: records.where(F.pmod("doc_id", F.lit(3)) == n).withColumn("version", F.lit(1))
     spoilt = part(0).withColumn("quote", F.lit("an older and quite wrong quotation")).withColumn("version", F.lit(0))
     truth = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"))
@@ -227,7 +229,7 @@ def m1_chain(spark, d):
     for n, rows in enumerate((part(0), part(1), part(2), spoilt, part(0).where("item_id % 2 = 0").withColumn("version", F.lit(2)))):
         rows.write.mode("append").parquet(f"{top}/in")
         stream = spark.readStream.schema(schema).parquet(f"{top}/in")
-        feeds.scored_feed(stream, table, f"{top}/log", lambda batch: _chain(batch, X.pages(batch.sparkSession, d), truth), every=2)
+        feeds.scored_feed(stream, table, f"{top}/log", lambda batch: _chain(batch, X.pages_of(docs, batch), truth), every=2)
     return table.read().select("b", "doc_id", "item_id", "status", "best_score", "verdict")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.sources.tables import line_pages, page_numbers, table
+from quillmark.sources.tables import kept, line_pages, page_numbers, table
 
 #: Demonstration fields over words that occur: (field, number, type, cluster, keywords).
 FIELDS = (
@@ -33,6 +33,11 @@ def pages(spark, d):
     return line_pages(table(spark, d, "documents"))
 
 
+def pages_of(docs, rows):
+    """Pages of the documents that ``rows`` name; the others are left out before they are cut."""
+    return line_pages(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
 def numbers(spark, d):
     return page_numbers(table(spark, d, "documents"))
 
@@ -43,9 +48,9 @@ def hits(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), T.normalise(F.col("text")).alias("needle"))
     b = b.withColumn("w", F.split("needle", " ")).withColumn("k", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(5)])).drop("w")
     p = pages(spark, d).select("doc_id", "page_no", T.normalise(F.col("text")).alias("hay"))
-    at = runs(p, "hay").join(b.select("k", "item_id"), "k").select("doc_id", "page_no", "item_id").distinct()
+    at = kept(runs(p, "hay").join(b.select("k", "item_id"), "k").select("doc_id", "page_no", "item_id").distinct())
     # texts are fetched for the candidates only
-    at = pages(spark, d).join(at, ["doc_id", "page_no"]).join(b, "item_id")
+    at = pages_of(table(spark, d, "documents"), at).join(at, ["doc_id", "page_no"]).join(b, "item_id")
     return at.where(F.instr(T.normalise(F.col("text")), F.col("needle")) > 0).select("item_id", "doc_id", "page_no", "quote")
 
 
@@ -59,8 +64,9 @@ def runs(rows, text: str, size: int = 5):
 def quotes(spark, d):
     """Hits cited by three backends, some absent, without quote, on a wrong page, garbled, altered in
     their last word, or going on to the next page."""
-    after = pages(spark, d).select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("on"))
-    q = hits(spark, d).join(after, ["doc_id", "page_no"], "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("b"))
+    found = kept(hits(spark, d))
+    after = pages_of(table(spark, d, "documents"), found).select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("on"))
+    q = found.join(after, ["doc_id", "page_no"], "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("b"))
     r = F.pmod(7 * F.col("item_id") + 3 * F.col("doc_id") + 5 * F.col("b"), F.lit(10))
     q = q.withColumn("r", r)
     return q.select(

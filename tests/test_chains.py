@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import review, score, serve
+from quillmark.plans import fixtures as X
 from quillmark.sources import tables as S
 from quillmark.streaming import feeds
 
@@ -172,3 +173,13 @@ def test_summaries_of_documents_without_calls_or_pages(spark):
     got = {r.m: tuple(r)[1:] for r in score.tiles(shown, pages, ["m"]).collect()}
     assert got == {"a": (1, 1, 1, 33.33, 2), "b": (1, 0, 0, 100.0, 0)}
     assert score.run_summary(rates.where("false"), calls, ["b"]).count() == 0 and score.tiles(shown.where("false"), pages, ["m"]).count() == 0
+
+
+def test_uncited_documents_are_left_out_before_they_are_cut(spark, capsys):
+    docs = spark.createDataFrame([(k, "a\nb\nc\nd\ne") for k in (1, 2, 3)] + [(None, "x"), (4, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(1,), (3,), (3,), (4,), (None,)], "doc_id long")
+    got = X.pages_of(docs, rows)
+    assert sorted(map(tuple, got.collect())) == [(k, n, t) for k in (1, 3) for n, t in ((1, "a\nb\nc\nd"), (2, "e"))]
+    got.explain(extended=True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.index("Generate") < plan.index("LeftSemi")  # the join stands below
