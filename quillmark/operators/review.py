@@ -12,8 +12,11 @@ SEVERITIES = ("critical", "high", "medium", "low")
 
 
 def verified_findings(sources: DataFrame, pages: DataFrame) -> DataFrame:
-    """finding_id, sources: findings of which at least one quote stands in its document."""
-    checked = evidence.verify(sources, pages, ["finding_id", "source_no", "doc_id"])
+    """finding_id, doc_id, sources, verified: findings of which at least one quote stands in its document. A source may
+    be cited on several pages, in other words on each; all of these quotes are judged."""
+    # a null page is no key for joins
+    sources = sources.withColumn("page", F.coalesce("page", F.lit(-1)))
+    checked = evidence.verify(sources, pages, ["finding_id", "source_no", "doc_id", "page"])
     ok = F.col("status").isin("verified", "wrong_page")
     return checked.groupBy("finding_id", "doc_id").agg(F.count("*").alias("sources"), F.count_if(ok).alias("verified")).where("verified > 0")
 

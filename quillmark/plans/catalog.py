@@ -620,7 +620,7 @@ ORACLES["r15_questions"] = QUESTIONS.replace("{pages}", "SELECT doc_id, CAST(i /
 
 def _findings(spark, d):
     q = X.quotes(spark, d)
-    return q.select(F.floor(F.col("item_id") / 3).cast("long").alias("finding_id"), (F.col("item_id") * 3 + F.col("b")).alias("source_no"), "doc_id", "present", F.coalesce("page", F.lit(-1)).alias("page"), "quote").dropDuplicates(["finding_id", "source_no", "doc_id"])
+    return q.select(F.floor(F.col("item_id") / 3).cast("long").alias("finding_id"), (F.col("item_id") * 3 + F.col("b")).alias("source_no"), "doc_id", "present", "page", "quote").distinct()
 
 
 @query("SELECT item_id // 3 AS finding_id, doc_id FROM evidence GROUP BY ALL HAVING bool_or(status IN ('verified', 'wrong_page'))", "evidence")
