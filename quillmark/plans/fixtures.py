@@ -43,12 +43,16 @@ def numbers(spark, d):
 
 
 def hits(spark, d):
-    """item_id, doc_id, page_no, quote: passages that stand on a page. Candidates share the
-    passage's first five words with the page; only those are searched."""
+    """item_id, doc_id, page_no, quote: passages that stand on a page. Candidates share the passage's second to
+    sixth word with the page, as its first and last may be parts of longer ones there; only those are searched. Passages
+    of fewer than seven words are searched on every page."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), T.normalise(F.col("text")).alias("needle"))
-    b = b.withColumn("w", F.split("needle", " ")).withColumn("k", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(5)])).drop("w")
+    w = F.split("needle", " ")
+    inner = b.where(F.size(w) > 6).select("item_id", F.xxhash64(*[F.get(w, F.lit(k)) for k in range(1, 6)]).alias("k"))
+    brief = b.where(F.size(w) <= 6).select("item_id", "needle")
     p = pages(spark, d).select("doc_id", "page_no", T.normalise(F.col("text")).alias("hay"))
-    at = kept(runs(p, "hay").join(b.select("k", "item_id"), "k").select("doc_id", "page_no", "item_id").distinct())
+    key = ["doc_id", "page_no", "item_id"]
+    at = kept(runs(p, "hay").join(inner, "k").select(*key).union(p.join(brief, F.instr("hay", F.col("needle")) > 0).select(*key)).distinct())
     # texts are fetched for the candidates only
     at = pages_of(table(spark, d, "documents"), at).join(at, ["doc_id", "page_no"]).join(b, "item_id")
     return at.where(F.instr(T.normalise(F.col("text")), F.col("needle")) > 0).select("item_id", "doc_id", "page_no", "quote")
